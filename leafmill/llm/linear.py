@@ -48,13 +48,13 @@ class Logistic:
     bias: float
 
     @classmethod
-    def fit(cls, x: Sparse, extra: np.ndarray, y: np.ndarray, l2: float = 1e-3, steps: int = 300, rate: float = 0.5) -> Logistic:
-        """Full-batch AdaGrad, from zero: the same rows give the same model."""
-        n = max(len(y), 1)
+    def fit(cls, x: Sparse, extra: np.ndarray, y: np.ndarray, weight: np.ndarray, l2: float = 1e-3, steps: int = 300, rate: float = 0.5) -> Logistic:
+        """Full-batch AdaGrad on weighted rows, from zero: the same rows give the same model."""
+        n = max(float(weight.sum()), 1e-9)
         w, d, b = np.zeros(x.width), np.zeros(extra.shape[1]), 0.0
         sums = [np.full(x.width, 1e-8), np.full(extra.shape[1], 1e-8), 1e-8]
         for _ in range(steps):
-            g = (sigmoid(x.dot(w) + extra @ d + b) - y) / n
+            g = weight * (sigmoid(x.dot(w) + extra @ d + b) - y) / n
             grads = x.back(g) + l2 * w / n, extra.T @ g + l2 * d / n, float(g.sum())
             for i, one in enumerate(grads):
                 sums[i] = sums[i] + one * one

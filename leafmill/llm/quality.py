@@ -3,8 +3,9 @@
 Tokens are runs of word characters or of punctuation, case kept, hashed to ``BUCKETS``.  Every
 bucket has a fixed random index vector (few +1 and -1); a bucket's word vector is the sum of the
 index vectors of its neighbours over all tokens of all documents, scaled, plus its own.  The sums are
-integers, added up per task and then natively, so they are the same whatever the partitioning.  A
-document is the mean of its tokens' vectors.
+integers, added up per task and then natively, so they are the same whatever the partitioning.
+Vectors are centred on the corpus mean; a document is the mean of its tokens' vectors, drawn towards
+the corpus mean if it is short.
 
 The network (one hidden layer, numpy) is fitted on a bounded sample of ``SAMPLE`` labelled documents,
 those of lowest hashed id; a fifth of it is set aside to calibrate a temperature.
@@ -28,7 +29,7 @@ from pyspark.sql import types as T
 
 from . import textwork as tw
 from .linear import sigmoid
-from .shared import aside, id_crc, restored, table
+from .shared import aside, hash_sample, id_crc, restored, table
 from .toxicity import labelled
 
 BUCKETS = 2048
@@ -37,6 +38,8 @@ NONZERO = 8
 SAMPLE = 8000
 HIDDEN = 32
 THRESHOLD = 0.3
+#: Tokens' weight of the corpus mean in a document's mean: short texts say little.
+SHRINK = 8
 _PAIRS = 4_000_000
 
 
@@ -50,8 +53,13 @@ def index_vectors(seed: int = 11) -> np.ndarray:
 
 
 def _tokens(array: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Row and bucket of each token.  Bucket 0 is kept for words that repeat the word before them."""
     words = tw.runs(array)
-    return words.row, (words.hash % np.uint64(BUCKETS)).astype(np.int64)
+    bucket = (words.hash % np.uint64(BUCKETS - 1)).astype(np.int64) + 1
+    word = np.flatnonzero(tw.RUN_CLASS[words.data[words.start]] == 1) if len(words.start) else np.zeros(0, np.int64)
+    again = (words.hash[word[1:]] == words.hash[word[:-1]]) & (words.row[word[1:]] == words.row[word[:-1]])
+    bucket[word[1:][again]] = 0
+    return words.row, bucket
 
 
 def word_vectors(docs: DataFrame, text_col: str = "text") -> np.ndarray:
@@ -80,23 +88,26 @@ def word_vectors(docs: DataFrame, text_col: str = "text") -> np.ndarray:
         for at in range(0, BUCKETS, 256):
             sums[at : at + 256] += (pairs[at : at + 256].astype(np.float64) @ index).astype(np.int64)
             sums += (pairs[at : at + 256].T.astype(np.float64) @ index[at : at + 256]).astype(np.int64)
-        some = np.flatnonzero(sums.any(axis=1))
-        yield pa.RecordBatch.from_arrays([pa.array(some), *(pa.array(c) for c in sums[some].T)], names=["bucket", *(f"d{i}" for i in range(DIMENSIONS))])
+        seen = pairs.sum(axis=1, dtype=np.int64)
+        some = np.flatnonzero(sums.any(axis=1) | (seen > 0))
+        yield pa.RecordBatch.from_arrays([pa.array(some), *(pa.array(c) for c in sums[some].T), pa.array(seen[some])], names=["bucket", *names])
 
-    names = [f"d{i}" for i in range(DIMENSIONS)]
+    names = [*(f"d{i}" for i in range(DIMENSIONS)), "seen"]
     parts = docs.select(F.col(text_col).cast("string")).mapInArrow(rows, ", ".join(["bucket long", *(f"{c} long" for c in names)]))
     summed = parts.groupBy("bucket").agg(*[F.sum(c).alias(c) for c in names]).toArrow()  # BUCKETS rows at most
-    context = np.zeros((BUCKETS, DIMENSIONS))
-    context[summed.column("bucket").to_numpy()] = np.column_stack([summed.column(c).to_numpy() for c in names]) if summed.num_rows else 0
+    sums = np.zeros((BUCKETS, DIMENSIONS + 1))
+    sums[summed.column("bucket").to_numpy()] = np.column_stack([summed.column(c).to_numpy() for c in names]) if summed.num_rows else 0
     unit = lambda m: m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-9)
-    return (unit(context) + unit(index)).astype(np.float32)
+    vectors = unit(sums[:, :-1]) + unit(index)
+    seen = sums[:, -1:]
+    return (vectors - (vectors * seen).sum(axis=0) / max(seen.sum(), 1)).astype(np.float32)
 
 
 def pool(array: pa.Array, vectors: np.ndarray) -> np.ndarray:
     row, bucket = _tokens(array)
     n = len(array)
     counts = np.bincount(row * BUCKETS + bucket, minlength=n * BUCKETS).reshape(n, BUCKETS).astype(np.float32)
-    return (counts @ vectors) / np.maximum(counts.sum(axis=1, keepdims=True), 1)
+    return (counts @ vectors) / (counts.sum(axis=1, keepdims=True) + SHRINK)
 
 
 @dataclass
@@ -157,7 +168,9 @@ def train(docs: DataFrame, labels: DataFrame, vectors: np.ndarray, learn: Column
                 x = pool(piece.column(0), held.value).astype(np.float32)
                 yield pa.RecordBatch.from_arrays([pa.array([r.tobytes() for r in x], pa.binary()), piece.column(1)], names=["x", "y"])
 
-    got = labelled(docs, labels, "quality", size, learn).mapInArrow(rows, "x binary, y int").toArrow()
+    marks = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isNotNull())
+    marks = (marks if learn is None else marks.where(learn)).select("doc_id", F.col("quality").cast("int").alias("y"))
+    got = labelled(docs, hash_sample(marks, "doc_id", size)).mapInArrow(rows, "x binary, y int").toArrow()
     pairs = sorted(zip(got.column("x").to_pylist(), got.column("y").to_pylist(), strict=True))
     order = np.random.default_rng(1).permutation(len(pairs))
     x = np.frombuffer(b"".join(v for v, _ in pairs), np.float32).reshape(-1, DIMENSIONS).astype(np.float64)

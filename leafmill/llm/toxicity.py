@@ -1,6 +1,6 @@
 """Toxicity by a classifier chain over categories, trained with out-of-fold predictions.
 
-Features are the presence of words and of word beginnings in a document's whole text, hashed to 64
+Features are the presence of words and of word beginnings in a document's whole text, hashed to 32
 bits; those that tell the classes apart best on the training sample are kept.  The chain's linear
 models are fitted in order of ``CHAIN``: each sees the probabilities of the categories before it.
 While training, these are out-of-fold predictions, so later models meet them as they are on unseen
@@ -10,7 +10,8 @@ documents; the final models are fitted on the whole sample.
 toxic document that addresses persons, or that runs things down, by the fixed words below.  They
 teach the first models in languages of those words; the last model, ``toxic``, is fitted to the label.
 
-The sample is bounded: ``SAMPLE`` labelled documents, those of lowest hashed id.
+The sample is bounded: ``SAMPLE`` labelled documents, those of lowest hashed id, up to ``TOXIC_SHARE``
+of them toxic; rows are weighted so that the classes count as they do among all labels.
 
 Defined results: null, empty and word-less texts get the models' score of a document without
 features; a document labelled more than once counts with its largest label; without labelled
@@ -34,6 +35,8 @@ from .linear import Logistic, Sparse
 from .shared import aside, hash_sample, restored, table
 
 SAMPLE = 12_000
+#: Share of the sample that may be toxic.
+TOXIC_SHARE = 0.4
 FEATURES = 4096
 FOLDS = 5
 THRESHOLD = 0.5
@@ -55,7 +58,7 @@ def _features(array: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     for k, h in zip(PREFIXES, starts, strict=True):
         rows.append(words.row[size > k])
         hashes.append(h[size > k])
-    row, h = np.concatenate(rows), np.concatenate(hashes)
+    row, h = np.concatenate(rows), (np.concatenate(hashes) >> np.uint64(32)).astype(np.uint32)
     order = np.lexsort((h, row))
     row, h = row[order], h[order]
     first = np.ones(len(h), bool)
@@ -65,7 +68,7 @@ def _features(array: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 def word_hash(word: str) -> int:
     words, _ = tw.tokenize(pa.array([word]))
-    return int(words.hash[0])
+    return int(words.hash[0] >> np.uint64(32))
 
 
 @dataclass
@@ -77,10 +80,14 @@ class Chain:
     models: list[Logistic]
 
     @classmethod
-    def fit(cls, rows: list[np.ndarray], toxic: np.ndarray, features: int = FEATURES, folds: int = FOLDS) -> Chain:
+    def fit(cls, rows: list[np.ndarray], toxic: np.ndarray, share: float | None = None, features: int = FEATURES, folds: int = FOLDS) -> Chain:
+        """``share``: the toxic share among all labels, if the sample's is another."""
+        own = toxic.mean() if len(toxic) else 0.0
+        even = share is None or own in (0.0, 1.0)
+        weight = np.ones(len(toxic)) if even else np.where(toxic, share / own, (1 - share) / (1 - own))
         labels = {"toxic": toxic.astype(np.float64)}
         for name, seeds in SEEDS.items():
-            wanted = np.array([word_hash(s) for s in seeds], np.uint64)
+            wanted = np.array([word_hash(s) for s in seeds], np.uint32)
             labels[name] = np.array([t and np.isin(wanted, r).any() for r, t in zip(rows, toxic, strict=True)], np.float64)
         known = _select(rows, labels["toxic"], features)
         x = Sparse.of([_lookup(known, r) for r in rows], len(known))
@@ -89,11 +96,11 @@ class Chain:
         models = []
         for name in CHAIN:
             y = labels[name]
-            models.append(Logistic.fit(x, seen, y))
+            models.append(Logistic.fit(x, seen, y, weight))
             out = np.zeros(len(rows))
             for f in range(folds if len(rows) else 0):
                 inside, outside = np.flatnonzero(fold != f), np.flatnonzero(fold == f)
-                part = Logistic.fit(x.take(inside), seen[inside], y[inside])
+                part = Logistic.fit(x.take(inside), seen[inside], y[inside], weight[inside])
                 out[outside] = part.predict(x.take(outside), seen[outside])
             seen = np.column_stack((seen, out))
         return cls(CHAIN, known, models)
@@ -125,7 +132,7 @@ def _lookup(known: np.ndarray, hashes: np.ndarray) -> np.ndarray:
 def _select(rows: list[np.ndarray], y: np.ndarray, features: int) -> np.ndarray:
     """The features whose document counts differ most between the classes (log-likelihood ratio)."""
     if not len(rows) or y.min() == y.max():
-        return np.zeros(0, np.uint64)
+        return np.zeros(0, np.uint32)
     every, at = np.unique(np.concatenate(rows), return_inverse=True)
     label = np.repeat(y, [len(r) for r in rows])
     n = np.bincount(at)
@@ -139,13 +146,11 @@ def _select(rows: list[np.ndarray], y: np.ndarray, features: int) -> np.ndarray:
     return np.sort(every[best[gain[best] > 2.0]])
 
 
-def labelled(docs: DataFrame, labels: DataFrame, label: str, size: int, keep: object = None) -> DataFrame:
-    """(text, y) of a bounded sample of labelled documents; ``keep`` filters by label row first."""
-    marks = labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull())
-    marks = marks if keep is None else marks.where(keep)
-    marks = hash_sample(marks.select("doc_id", label), "doc_id", size).groupBy("doc_id").agg(F.max(label).cast("int").alias("y"))
-    # The sample's size bounds what is broadcast.
-    return docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(marks), "doc_id").select("text", "y")
+def labelled(docs: DataFrame, marks: DataFrame) -> DataFrame:
+    """(text, y) of the documents in ``marks`` (doc_id, y), a bounded sample: its size bounds what is
+    broadcast.  A document marked more than once counts with its largest mark."""
+    once = marks.groupBy("doc_id").agg(F.max("y").cast("int").alias("y"))
+    return docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(once), "doc_id").select("text", "y")
 
 
 def train(docs: DataFrame, labels: DataFrame, size: int = SAMPLE) -> Chain:
@@ -157,10 +162,13 @@ def train(docs: DataFrame, labels: DataFrame, size: int = SAMPLE) -> Chain:
                 found = [h[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array(found, pa.binary()), piece.column(1)], names=["h", "y"])
 
-    got = labelled(docs, labels, "toxic", size).mapInArrow(rows, "h binary, y int").toArrow()
+    marks = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull()).select("doc_id", F.col("toxic").cast("int").alias("y"))
+    share = marks.agg(F.avg(F.when(F.col("y") > 0, 1.0).otherwise(0.0))).first()[0]
+    bad, good = hash_sample(marks.where("y > 0"), "doc_id", int(size * TOXIC_SHARE)), hash_sample(marks.where("y <= 0"), "doc_id", int(size * (1 - TOXIC_SHARE)))
+    got = labelled(docs, bad.unionByName(good)).mapInArrow(rows, "h binary, y int").toArrow()
     # In an order of their own, whatever the partitions: the same sample gives the same model.
     pairs = sorted(zip(got.column("h").to_pylist(), got.column("y").to_pylist(), strict=True))
-    return Chain.fit([np.frombuffer(h, np.uint64) for h, _ in pairs], np.array([y for _, y in pairs], bool))
+    return Chain.fit([np.frombuffer(h, np.uint32) for h, _ in pairs], np.array([y > 0 for _, y in pairs], bool), share)
 
 
 def score(docs: DataFrame, chain: Chain, text_col: str = "text") -> DataFrame:
