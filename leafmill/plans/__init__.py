@@ -1,6 +1,6 @@
 """Queries over the bound tables, each with the SQL that must give the same rows."""
 
-from . import core, documents, spatial
+from . import core, documents, review, spatial, stateful, streams
 from .registry import QUERIES, SQL
 
-__all__ = ["QUERIES", "SQL", "core", "documents", "spatial"]
+__all__ = ["QUERIES", "SQL", "core", "documents", "review", "spatial", "stateful", "streams"]
