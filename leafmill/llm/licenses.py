@@ -89,8 +89,10 @@ def _windows(df: DataFrame, stride: int) -> DataFrame:
 def _bands(windows: DataFrame) -> DataFrame:
     """A row per band of each window; ``key`` is the band's minimum (the band's number hashed in)."""
     hs = [f"h{j}" for j in range(WINDOW - SHINGLE + 1)]
-    rows = windows.withColumn("band", F.explode(F.array(*[F.lit(b) for b in range(BANDS)])))
-    return rows.withColumn("key", F.least(*[F.xxhash64(F.col(h), F.col("band")) for h in hs])).drop("band", *hs)
+    rows = windows.withColumn("band", F.explode(F.array(*[F.lit(b * 64 // BANDS) for b in range(BANDS)])))
+    # The hashes are random bits already: turned by the band's bits, they sort in another order.
+    turned = [F.expr(f"shiftleft({h}, band) | shiftrightunsigned({h}, 64 - band)") for h in hs]
+    return rows.withColumn("key", F.least(*turned)).drop("band", *hs)
 
 
 def _shingles(words: Column) -> Column:
