@@ -33,7 +33,7 @@ from .shared import table
 
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
-MAX_NODES = 400_000
+MAX_NODES = 1_000_000
 #: Longer pre-tokens are not kept in the trie.
 LONG = 64
 
@@ -82,29 +82,64 @@ def step(model: Unigram, text: str, end: int, best: list[float], count: list[int
 
 @dataclass
 class Trie:
+    """Nodes are numbered; ``child`` maps (node, character) to a node.  ``ends`` holds every suffix of
+    every piece, with the piece's score if it is one, so that a search for pieces that end at a node
+    stops at the first suffix that no piece has."""
+
     model: Unigram
     child: dict[tuple[int, str], int] = field(default_factory=dict)
     best: list[float] = field(default_factory=lambda: [0.0])
     count: list[int] = field(default_factory=lambda: [0])
     terminal: dict[bytes, int] = field(default_factory=dict)
+    ends: dict[str, float] = field(default_factory=dict)
+
+    def __post_init__(self) -> None:
+        if not self.ends:
+            for piece in self.model.score:
+                for at in range(1, len(piece)):
+                    self.ends.setdefault(piece[at:], -math.inf)
+            self.ends.update(self.model.score)
+
+    def renewed(self) -> Trie:
+        return Trie(self.model, ends=self.ends)
 
     def tokens(self, word: bytes) -> int:
         """The token count of a pre-token, given as UTF-8 without its mark."""
         text = MARK + word.decode("utf-8", "replace")
         if len(text) > LONG:
             return self.alone(text)
-        child, best, count = self.child, self.best, self.count
+        child, best, count, ends = self.child, self.best, self.count, self.ends
         node, path, counts = 0, [0.0], [0]
-        for end, c in enumerate(text, 1):
-            key = (node, c)
-            node = child.get(key, 0)
-            if not node:
-                top, tokens = step(self.model, text, end, path, counts)
-                node = child[key] = len(best)
-                best.append(top)
-                count.append(tokens)
+        shared = 0
+        for c in text:
+            known = child.get((node, c))
+            if known is None:
+                break
+            node = known
             path.append(best[node])
             counts.append(count[node])
+            shared += 1
+        for end in range(shared + 1, len(text) + 1):
+            top, tokens, start = -math.inf, 0, end - 1
+            while start >= 0:
+                s = ends.get(text[start:end])
+                if s is None:
+                    break
+                s += path[start]
+                if s > top or (s == top and s > -math.inf):
+                    top, tokens = s, counts[start] + 1
+                start -= 1
+            c = text[end - 1]
+            if c not in self.model.score:
+                n = len(c.encode("utf-8", "surrogatepass"))
+                s = path[end - 1] + n * self.model.byte_score
+                if s > top:
+                    top, tokens = s, counts[end - 1] + n
+            child[node, c] = node = len(best)
+            best.append(top)
+            count.append(tokens)
+            path.append(top)
+            counts.append(tokens)
         self.terminal[word] = counts[-1]
         return counts[-1]
 
@@ -137,7 +172,7 @@ def _count(name: str, model: Unigram, batches: Iterator[pa.RecordBatch]) -> Iter
                     if n is None:
                         found[at] = known.get(words[at]) or trie.tokens(words[at])
                 if len(trie.best) > MAX_NODES:
-                    trie = Trie(model)
+                    trie = trie.renewed()
             n_words[i], n_tokens[i] = len(words), sum(found)
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n_words), pa.array(n_tokens)], names=["id", "n_words", "n_tokens"])
     _worker.clear()
