@@ -39,6 +39,8 @@ _LETTER = regex.compile(r"\p{L}")
 def codewords(classes: int, seed: int = 5) -> np.ndarray:
     """+1/-1 codes, a row per class: all different splits for up to five classes, else random columns
     of 10 log2(n) bits, the set of greatest least distance out of fifty."""
+    if classes < 2:
+        return np.ones((classes, 0), np.int64)
     if classes <= 5:
         splits = [[(s >> i) & 1 for i in range(classes)] for s in range(1, 2**classes, 2) if s != 2**classes - 1]
         return np.array(splits).T.reshape(classes, -1) * 2 - 1

@@ -50,6 +50,8 @@ class Logistic:
     @classmethod
     def fit(cls, x: Sparse, extra: np.ndarray, y: np.ndarray, weight: np.ndarray, l2: float = 1e-3, steps: int = 300, rate: float = 0.5) -> Logistic:
         """Full-batch AdaGrad on weighted rows, from zero: the same rows give the same model."""
+        if not len(y) or y.min() == y.max():  # nothing to tell apart: a constant
+            return cls(np.zeros(x.width), np.zeros(extra.shape[1]), 40.0 if len(y) and y[0] else -40.0)
         n = max(float(weight.sum()), 1e-9)
         w, d, b = np.zeros(x.width), np.zeros(extra.shape[1]), 0.0
         sums = [np.full(x.width, 1e-8), np.full(extra.shape[1], 1e-8), 1e-8]
