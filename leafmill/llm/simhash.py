@@ -23,33 +23,46 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from . import textwork as tw
 from .shared import discard, materialize, table
 
+#: Word-set fingerprints a text is looked up by, and their bits.
+TABLES = 6
+TABLE_BITS = 48
+#: 64-bit SimHashes of the five-word shingles, and how many of all their bits may differ: two sets of
+#: 0.8 Jaccard similarity differ in 39 of 256 bits on average, with a deviation of 6; unrelated ones in 128.
+CHECKS = 4
+CHECK_DISTANCE = 42
+
 #: Bits set in a byte value, one per byte lane of a 64-bit word.
 _LANES = np.array([sum(((b >> i) & 1) << (8 * i) for i in range(8)) for b in range(256)], np.uint64)
 
 
+def majority(hashes: np.ndarray) -> np.ndarray:
+    """Per row of a matrix of 64-bit hashes: the bits set in over half of them."""
+    n = hashes.shape[1]
+    lanes = _LANES[np.ascontiguousarray(hashes).astype("<u8").view(np.uint8).reshape(*hashes.shape, 8)]
+    sums = np.add.reduceat(lanes, np.arange(0, n, 255), axis=1)  # of 255 hashes at most, so no lane overflows
+    counts = np.ascontiguousarray(sums).astype("<u8").view(np.uint8).reshape(len(hashes), -1, 64).sum(axis=1, dtype=np.int64)
+    return np.packbits(2 * counts > n, axis=1, bitorder="little").view("<u8").ravel()
+
+
+def shingle_hashes(words: list[bytes], k: int, seed: int) -> np.ndarray:
+    """XXH64 of all k-word shingles joined by spaces, repeats included; of all words if they are fewer."""
+    digest = xxhash.xxh64_intdigest
+    joined = b" ".join(words)
+    n = len(words) - k + 1
+    if n <= 1:
+        return np.array([digest(joined, seed)], np.uint64)
+    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
+    starts = np.concatenate(([0], ends[:-1] + 1))
+    return np.fromiter((digest(joined[a:b], seed) for a, b in zip(starts[:n].tolist(), ends[k - 1 :].tolist(), strict=True)), np.uint64, n)
+
+
 def fingerprint(text: bytes, k: int, seed: int) -> int:
     """Majority bits of the hashes of all k-word shingles, repeats included."""
     words = text.lower().split()  # bytes: A-Z only, and the six ASCII white-space characters
-    if not words:
-        return 0
-    n = max(1, len(words) - k + 1)
-    if len(words) <= k:
-        hashes = np.array([xxhash.xxh64_intdigest(b" ".join(words), seed)], np.uint64)
-    else:
-        joined = b" ".join(words)
-        ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
-        starts = np.concatenate(([0], ends[:-1] + 1))
-        digest = xxhash.xxh64_intdigest
-        hashes = np.fromiter((digest(joined[a:b], seed) for a, b in zip(starts[:n].tolist(), ends[k - 1 :].tolist(), strict=True)), np.uint64, n)
-    counts = np.zeros(64, np.int64)
-    cuts = np.arange(0, n, 255)
-    for byte in range(8):
-        lanes = _LANES[((hashes >> np.uint64(8 * byte)) & np.uint64(255)).astype(np.int64)]
-        sums = np.add.reduceat(lanes, cuts)  # of 255 rows at most, so no lane overflows
-        counts[8 * byte : 8 * byte + 8] = sums.astype("<u8").view(np.uint8).reshape(-1, 8).sum(axis=0, dtype=np.int64)
-    return int(sum(1 << int(i) for i in np.flatnonzero(2 * counts > n)))
+    return int(majority(shingle_hashes(words, k, seed)[None, :])[0]) if words else 0
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 3, seed: int = 42) -> DataFrame:
@@ -64,12 +77,12 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("t")).mapInArrow(rows, f"id {kind}, fp long")
 
 
-def ball(fp: Column, radius: int) -> Column:
-    """All values within ``radius`` bits, the value itself first."""
+def ball(fp: Column, radius: int, bits: int = 64) -> Column:
+    """All values within ``radius`` of the low ``bits``, the value itself first."""
     masks = [0]
     layer = {0}
     for _ in range(radius):
-        layer = {m | 1 << b for m in layer for b in range(64) if not m >> b & 1}
+        layer = {m | 1 << b for m in layer for b in range(bits) if not m >> b & 1}
         masks += sorted(layer)
     signed = [m - (1 << 64) if m >> 63 else m for m in masks]
     return F.transform(F.array(*[F.lit(m) for m in signed]), lambda m: fp.bitwiseXOR(m))
@@ -147,11 +160,74 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 3, radius: int = 2) -> DataFrame:
-    """Keep one row per component, that of its smallest id; rows that repeat this id fall to one.
+def _seeds(n: int, start: int) -> np.ndarray:
+    return tw.mix(np.arange(start + 1, start + n + 1, dtype=np.uint64))
+
+
+def sketch(text: bytes) -> np.ndarray:
+    """The query's fingerprint, ``TABLES`` fingerprints of the word set (48 bits each) and ``CHECKS``
+    of the set of five-word shingles (64 bits each).  Blank texts are all zero."""
+    words = text.lower().split()
+    out = np.zeros(1 + TABLES + CHECKS, np.uint64)
+    if words:
+        out[0] = majority(shingle_hashes(words, 3, 42)[None, :])[0]
+        single = np.fromiter((xxhash.xxh64_intdigest(w, 7) for w in set(words)), np.uint64)
+        out[1 : 1 + TABLES] = majority(tw.mix(single[None, :] ^ _seeds(TABLES, 0)[:, None])) & np.uint64(2**TABLE_BITS - 1)
+        whole = np.unique(shingle_hashes(words, 5, 7))
+        for i, seed in enumerate(_seeds(CHECKS, 100)):  # one at a time: long texts have many shingles
+            out[1 + TABLES + i] = majority(tw.mix(whole ^ seed)[None, :])[0]
+    return out
+
+
+def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, component) of near duplicates: texts whose sets of five-word shingles are 0.8 alike or
+    more, as four 64-bit SimHashes of these sets measure it, and texts that the query links.
+
+    One fingerprint of radius two finds few of such pairs.  So each text has several, of its word set,
+    in tables of their own; each is looked up by ball hashing.  Texts of one fingerprint meet in its
+    smallest node first, so that a ball only holds distinct fingerprints - 65 at most - whatever the
+    size of a group.  Candidate pairs are deduplicated and verified on the shingle SimHashes.
+    """
+    names = ["fp", *(f"w{i}" for i in range(TABLES)), *(f"s{i}" for i in range(CHECKS))]
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = np.stack([sketch(t.as_buffer().to_pybytes() if t.is_valid else b"") for t in batch.column(1)]) if batch.num_rows else np.zeros((0, len(names)), np.uint64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(np.ascontiguousarray(c).view(np.int64)) for c in found.T)], names=["id", *names])
+
+    kind = docs.schema[id_col].dataType.simpleString()
+    cells = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("t"))
+    marked = cells.mapInArrow(rows, ", ".join([f"id {kind}", *(f"{c} long" for c in names)])).withColumn("node", F.xxhash64(*names))
+    marked = materialize(marked, "sketches")
+    distinct = materialize(marked.groupBy("node", *names).agg(F.min("id").alias("least")), "distinct")
+    tables = ["fp", *(f"w{i}" for i in range(TABLES))]
+    entries = distinct.select("node", F.posexplode(F.array(*tables)).alias("table", "value"))
+    heads = materialize(entries.groupBy("table", "value").agg(F.min("node").alias("head")), "heads")
+    same = entries.join(heads, ["table", "value"]).where("node <> head").select(F.col("head").alias("a"), F.col("node").alias("b"))
+    around = F.when(F.col("table") == 0, ball(F.col("value"), 1)).otherwise(ball(F.col("value"), 1, TABLE_BITS))
+    met = heads.select("head", "table", F.explode(around).alias("variant")).select("head", F.xxhash64("table", "variant").alias("bucket"))
+    order = Window.partitionBy("bucket").orderBy("head")
+    near = met.select(F.col("head").alias("b"), F.array(F.lag("head", 1).over(order), F.lag("head", 2).over(order)).alias("before"))
+    near = near.select(F.explode("before").alias("a"), "b").where(F.col("a").isNotNull() & (F.col("a") != F.col("b")))
+    pairs = same.unionByName(near).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    checks = ["fp", *(f"s{i}" for i in range(CHECKS))]
+    side = lambda x: distinct.select(F.col("node").alias(x), *[F.col(c).alias(x + c) for c in checks])
+    apart = lambda c: F.bit_count(F.col("a" + c).bitwiseXOR(F.col("b" + c)))
+    alike = sum((apart(f"s{i}") for i in range(1, CHECKS)), apart("s0")) <= CHECK_DISTANCE
+    verified = pairs.join(side("a"), "a").join(side("b"), "b").where((apart("fp") <= 2) | alike).select("a", "b")
+    roots = components(verified)
+    rooted = distinct.select("node", "least").join(roots, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root"))
+    named = rooted.groupBy("root").agg(F.min("least").alias("component"))
+    named = materialize(rooted.join(named, "root").select("node", "component"), "named")
+    return marked.select("id", "node").join(named, "node").select("id", "component")
+
+
+def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Keep one row per group of :func:`similar_groups`, that of its smallest id; rows that repeat this
+    id fall to one.
 
     Rows with a null id cannot be named as anyone's copy and are kept."""
-    found = near_duplicates(docs, id_col, text_col, k=k, radius=radius)
+    found = similar_groups(docs, id_col, text_col)
     keep = found.where(F.col("id") == F.col("component")).select(F.col("id").alias(id_col)).distinct()
     kept = docs.join(keep, id_col, "left_semi").dropDuplicates([id_col])  # partitioned by the id already
     return kept.unionByName(docs.where(F.col(id_col).isNull()))
