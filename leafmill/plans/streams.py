@@ -12,20 +12,20 @@ from .registry import query
 
 @query("""SELECT time_bucket(INTERVAL 6 HOUR, ts) AS start, count(*) AS n, count(*) FILTER (event_type = 'error') AS errors, round(count(*) FILTER (event_type = 'error') / count(*), 4) AS error_ratio FROM events GROUP BY 1""")
 def stream_tumbling_error_ratio(spark: SparkSession, sf: str) -> DataFrame:
-    out = st.collect_stream(st.tumbling_errors(st.event_stream(spark, sf)), "complete")
+    out = st.run_to_table(st.tumbling_errors(st.event_stream(spark, sf)), "complete")
     return out.withColumn("start", F.col("start").cast("timestamp_ntz"))
 
 
 @query("SELECT DISTINCT user_id, event_type FROM events")
 def stream_dedup(spark: SparkSession, sf: str) -> DataFrame:
-    out = st.collect_stream(st.deduplicated(st.event_stream(spark, sf), ["user_id", "event_type"], "60 days"), "append")
+    out = st.run_to_table(st.deduplicated(st.event_stream(spark, sf), ["user_id", "event_type"], "60 days"), "append")
     return out.select("user_id", "event_type")
 
 
 @query("""WITH g AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 6 HOUR THEN 0 ELSE 1 END AS b FROM events),
 s AS (SELECT *, sum(b) OVER (PARTITION BY user_id ORDER BY ts) AS s FROM g) SELECT user_id, min(ts) AS start, count(*) AS n FROM s GROUP BY user_id, s""")
 def stream_session_gap(spark: SparkSession, sf: str) -> DataFrame:
-    out = st.collect_stream(st.sessions(st.event_stream(spark, sf)), "complete")
+    out = st.run_to_table(st.sessions(st.event_stream(spark, sf)), "complete")
     return out.withColumn("start", F.col("start").cast("timestamp_ntz"))
 
 
@@ -33,4 +33,4 @@ def stream_session_gap(spark: SparkSession, sf: str) -> DataFrame:
 s AS (SELECT event_id, user_id, CAST(sum(CASE WHEN event_type = 'error' THEN 1 ELSE 0 END) OVER (PARTITION BY user_id, g ORDER BY event_id) AS BIGINT) AS streak FROM g)
 SELECT * FROM s WHERE streak >= 3""")
 def stream_failure_streaks(spark: SparkSession, sf: str) -> DataFrame:
-    return st.collect_stream(st.streak_alerts(st.event_stream(spark, sf)), "append")
+    return st.run_to_table(st.streak_alerts(st.event_stream(spark, sf)), "append")

@@ -57,15 +57,27 @@ def streak_alerts(events: DataFrame, least: int = 3) -> DataFrame:
     return events.groupBy("user_id").applyInPandasWithState(step, "event_id long, user_id long, streak long", "run long", "append", GroupStateTimeout.NoTimeout)
 
 
-def collect_stream(stream: DataFrame, mode: str) -> DataFrame:
-    """Runs a stream over what is there and returns its result table (small results)."""
-    name = f"s{uuid.uuid4().hex}"
-    q = stream.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
+def run_to_table(stream: DataFrame, mode: str) -> DataFrame:
+    """Runs a stream over what is there and returns its result table, written to the shared folder:
+    complete results replace each other, appended ones add up."""
+    spark = stream.sparkSession
+    root = (spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints").rstrip("/")
+    path = f"{root}/{spark.sparkContext.applicationId}/stream-{uuid.uuid4().hex}"
+
+    def each(batch: DataFrame, epoch: int) -> None:
+        if mode == "complete":
+            batch.write.mode("overwrite").parquet(f"{path}/table")
+        else:  # a folder per batch: one that runs again replaces what it wrote
+            batch.write.mode("overwrite").parquet(f"{path}/table/epoch={epoch}")
+
+    q = stream.writeStream.foreachBatch(each).outputMode(mode).option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start()
     try:
         q.awaitTermination()
-        return stream.sparkSession.table(name)
     finally:
         q.stop()
+    if q.lastProgress is None:
+        return spark.createDataFrame([], stream.schema)
+    return spark.read.schema(stream.schema).parquet(f"{path}/table/*" if mode != "complete" else f"{path}/table")
 
 
 def fan_out(stream: DataFrame, handlers: dict[str, Callable[[DataFrame, int], None]], checkpoint: str) -> dict[str, str]:
