@@ -19,6 +19,9 @@ class Sparse:
     column: np.ndarray
     width: int
 
+    def __post_init__(self) -> None:
+        self.row = np.repeat(np.arange(len(self.start) - 1), np.diff(self.start))
+
     @classmethod
     def of(cls, rows: list[np.ndarray], width: int) -> Sparse:
         start = np.concatenate(([0], np.cumsum([len(r) for r in rows]))).astype(np.int64)
@@ -31,12 +34,11 @@ class Sparse:
         return Sparse.of([self.column[self.start[i] : self.start[i + 1]] for i in rows], self.width)
 
     def dot(self, w: np.ndarray) -> np.ndarray:
-        sums = np.concatenate(([0.0], np.cumsum(w[self.column])))
-        return sums[self.start[1:]] - sums[self.start[:-1]]
+        return np.bincount(self.row, w[self.column], minlength=len(self))
 
     def back(self, g: np.ndarray) -> np.ndarray:
         """The transposed product."""
-        return np.bincount(self.column, np.repeat(g, np.diff(self.start)), minlength=self.width)
+        return np.bincount(self.column, g[self.row], minlength=self.width)
 
 
 @dataclass
@@ -48,7 +50,7 @@ class Logistic:
     bias: float
 
     @classmethod
-    def fit(cls, x: Sparse, extra: np.ndarray, y: np.ndarray, weight: np.ndarray, l2: float = 1e-3, steps: int = 300, rate: float = 0.5) -> Logistic:
+    def fit(cls, x: Sparse, extra: np.ndarray, y: np.ndarray, weight: np.ndarray, l2: float = 1e-3, steps: int = 150, rate: float = 0.5) -> Logistic:
         """Full-batch AdaGrad on weighted rows, from zero: the same rows give the same model."""
         if not len(y) or y.min() == y.max():  # nothing to tell apart: a constant
             return cls(np.zeros(x.width), np.zeros(extra.shape[1]), 40.0 if len(y) and y[0] else -40.0)

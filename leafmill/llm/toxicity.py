@@ -37,7 +37,7 @@ from .shared import aside, hash_sample, restored, table
 SAMPLE = 12_000
 #: Share of the sample that may be toxic.
 TOXIC_SHARE = 0.4
-FEATURES = 4096
+FEATURES = 2048
 FOLDS = 5
 THRESHOLD = 0.5
 PREFIXES = (4, 5, 6)
@@ -133,17 +133,24 @@ def _select(rows: list[np.ndarray], y: np.ndarray, features: int) -> np.ndarray:
     """The features whose document counts differ most between the classes (log-likelihood ratio)."""
     if not len(rows) or y.min() == y.max():
         return np.zeros(0, np.uint32)
-    every, at = np.unique(np.concatenate(rows), return_inverse=True)
-    label = np.repeat(y, [len(r) for r in rows])
-    n = np.bincount(at)
-    pos = np.bincount(at, label)
+    key = np.concatenate(rows).astype(np.uint64)  # sorted in place, the label in the lowest bit
+    key <<= np.uint64(1)
+    key |= np.repeat(y.astype(np.uint64), [len(r) for r in rows])
+    key.sort()
+    if not len(key):
+        return np.zeros(0, np.uint32)
+    first = np.flatnonzero(np.concatenate(([True], (key[1:] >> np.uint64(1)) != (key[:-1] >> np.uint64(1)))))
+    n = np.diff(np.append(first, len(key)))
+    pos = np.add.reduceat((key & np.uint64(1)).astype(np.int32), first)
+    often = n >= 2
+    first, n, pos = first[often], n[often], pos[often]
     share = y.mean()
     with np.errstate(divide="ignore", invalid="ignore"):
         up = np.where(pos > 0, pos * np.log(pos / (n * share)), 0)
         down = np.where(n > pos, (n - pos) * np.log((n - pos) / (n * (1 - share))), 0)
-    gain = np.where(n >= 2, up + down, 0)
+    gain = up + down
     best = np.argsort(-gain, kind="stable")[:features]
-    return np.sort(every[best[gain[best] > 2.0]])
+    return np.sort((key[first[best[gain[best] > 2.0]]] >> np.uint64(1)).astype(np.uint32))
 
 
 def labelled(docs: DataFrame, marks: DataFrame) -> DataFrame:
