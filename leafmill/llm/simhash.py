@@ -146,8 +146,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     distinct = materialize(marked.groupBy("fp").agg(F.min("id").alias("least")), "distinct")
     roots = components(links(distinct, radius))
     rooted = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    named = rooted.groupBy("root").agg(F.min("least").alias("component"))
-    named = materialize(rooted.join(named, "root").select("fp", "component"), "named")
+    # Written first, so that the join exchanges both sides and a large component can be split.
+    least = materialize(rooted.groupBy("root").agg(F.min("least").alias("component")), "components")
+    named = materialize(rooted.join(least, "root").select("fp", "component"), "named")
     return marked.join(named, "fp").select("id", "fp", "component")
 
 
@@ -217,8 +218,9 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     verified = pairs.join(side("a"), "a").join(side("b"), "b").where((apart("fp") <= 2) | alike).select("a", "b")
     roots = components(verified)
     rooted = distinct.select("node", "least").join(roots, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root"))
-    named = rooted.groupBy("root").agg(F.min("least").alias("component"))
-    named = materialize(rooted.join(named, "root").select("node", "component"), "named")
+    # Written first, so that the join exchanges both sides and a large component can be split.
+    least = materialize(rooted.groupBy("root").agg(F.min("least").alias("component")), "components")
+    named = materialize(rooted.join(least, "root").select("node", "component"), "named")
     return marked.select("id", "node").join(named, "node").select("id", "component")
 
 
