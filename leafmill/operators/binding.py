@@ -122,37 +122,52 @@ def distance_limit(layout: Column) -> Column:
     return out
 
 
-def _pairs(skus: DataFrame, images: DataFrame) -> DataFrame:
-    s = skus.select("page", "pos", "sku", "product", "layout", *[F.col(c).alias(f"s_{c}") for c in ("x0", "y0", "x1", "y1")])
-    i = images.select("page", "image", F.col("pos").alias("i_pos"), *[F.col(c).alias(f"i_{c}") for c in ("x0", "y0", "x1", "y1")])
+def pairs(skus: DataFrame, images: DataFrame) -> DataFrame:
+    """Every record of a page with every image of the page, with what the choice depends on.  Both
+    sides are ranked within their page first, so all that follows stays partitioned by the page.
+    Records of pages without images have one row, without an image."""
+    page = Window.partitionBy("page")
+    zero = geo.is_zero(geo.box())
+    s = skus.select(
+        "page", "pos", "sku", "product", "layout", *[F.col(c).alias(f"s_{c}") for c in ("x0", "y0", "x1", "y1")], zero.alias("zero"),
+        F.count("*").over(page).alias("n_skus"), F.sum(zero.cast("int")).over(page).alias("n_zero"), F.row_number().over(page.orderBy("pos")).alias("place"),
+    )
+    i = images.select(
+        "page", "image", F.col("pos").alias("i_pos"), *[F.col(c).alias(f"i_{c}") for c in ("x0", "y0", "x1", "y1")],
+        F.count("*").over(page).alias("images_here"), F.max(geo.area(geo.box())).over(page).alias("max_area"),
+        F.row_number().over(page.orderBy(F.col("y0") + F.col("y1"), "pos")).alias("i_place"),
+        F.row_number().over(page.orderBy(F.desc(geo.area(geo.box())), "pos")).alias("size_rank"),
+        ((F.max("x1").over(page) - F.min("x0").over(page)) * (F.max("y1").over(page) - F.min("y0").over(page))).alias("span"),
+    )
     sb, ib = geo.box("s_"), geo.box("i_")
-    pairs = s.join(i, "page").withColumn("d", geo.distance(sb, ib)).withColumn("limit", distance_limit(F.col("layout")))
-    largest = F.max(geo.area(ib)).over(Window.partitionBy("page"))
-    return pairs.withColumns({"i_area": geo.area(ib), "max_area": largest, "inside": geo.overlap_of(sb, ib), "zero": geo.is_zero(sb), "method": method(F.col("layout"), sb, ib)})
+    return s.join(i, "page", "left").withColumns(
+        {
+            "n_images": F.coalesce("images_here", F.lit(0)), "d": geo.distance(sb, ib), "limit": distance_limit(F.col("layout")), "s_area": geo.area(sb),
+            "i_area": geo.area(ib), "inside": geo.overlap_of(sb, ib), "way": method(F.col("layout"), sb, ib),
+        }
+    )
 
 
-def candidates(pairs: DataFrame) -> DataFrame:
-    """Scored candidates within the layout's distance limit, and nearest fallbacks within three times
-    the limit for records without any."""
+def _scored(p: DataFrame) -> DataFrame:
+    """Adds the confidence of near images (within the layout's limit) and of far ones (thrice that)."""
     conf = F.greatest(F.lit(0.01), 1 - F.col("d") / F.col("limit"))
     conf = F.when(F.col("inside") > 0.5, F.least(F.lit(1.0), conf + 0.3)).otherwise(conf)
-    conf = F.least(F.lit(1.0), conf + 0.15 * F.col("i_area") / F.greatest(F.lit(1), F.col("max_area")))
-    near = pairs.where("d <= limit").select("page", "pos", "sku", "product", "image", "i_pos", stable_round(conf, 3).alias("confidence"), "method")
-    far = pairs.join(near.select("page", "sku").distinct(), ["page", "sku"], "left_anti").where("d <= 3 * limit")
-    first = F.row_number().over(Window.partitionBy("page", "sku").orderBy("d", "i_pos"))
+    conf = stable_round(F.least(F.lit(1.0), conf + 0.15 * F.col("i_area") / F.greatest(F.lit(1), F.col("max_area"))), 3)
     weak = stable_round(0.5 * F.greatest(F.lit(0.01), 1 - F.col("d") / (3 * F.col("limit"))), 3)
-    far = far.withColumn("n", first).where("n = 1").select("page", "pos", "sku", "product", "image", "i_pos", weak.alias("confidence"), F.lit("fallback_nearest").alias("method"))
-    return near.unionByName(far)
+    near = F.coalesce(F.col("d") <= F.col("limit"), F.lit(False))
+    far = F.coalesce(F.col("d") <= 3 * F.col("limit"), F.lit(False)) & ~near
+    return p.withColumns({"near": near, "far": far, "confidence": F.when(near, conf).otherwise(weak)})
 
 
-def choose(found: DataFrame) -> DataFrame:
-    """The best candidate of each record; ambiguous (and at 0.7 of its confidence) if the runner-up
-    is within the gap."""
-    w = Window.partitionBy("page", "sku").orderBy(F.desc("confidence"), "i_pos")
-    ranked = found.withColumn("rank", F.row_number().over(w)).withColumn("next", F.lead("confidence").over(w))
-    fits = F.coalesce(F.round(F.col("confidence") - F.col("next"), 3) < GAP, F.lit(False)) & (F.col("method") != "fallback_nearest")
-    best = ranked.withColumn("ambiguous", fits).where("rank = 1")
-    return best.select("page", "pos", "sku", "product", "image", F.when(F.col("ambiguous"), stable_round(F.col("confidence") * 0.7, 3)).otherwise(F.col("confidence")).alias("confidence"), "method", "ambiguous")
+def candidates(skus: DataFrame, images: DataFrame) -> DataFrame:
+    """Each record's candidate images in order: those within the limit by confidence, or else the
+    nearest one within three times the limit."""
+    own = Window.partitionBy("page", "sku")
+    p = _scored(pairs(skus, images)).withColumn("any_near", F.max("near").over(own))
+    kept = p.where(F.col("near") | (F.col("far") & ~F.col("any_near")))
+    rank = F.row_number().over(own.orderBy(F.when(F.col("near"), -F.col("confidence")).otherwise(F.col("d")), "i_pos"))
+    kept = kept.withColumn("rank", rank).where(F.col("near") | (F.col("rank") == 1))
+    return kept.select("page", "sku", "image", "confidence", F.when(F.col("near"), F.col("way")).otherwise("fallback_nearest").alias("method"), "rank")
 
 
 def positional(skus: DataFrame, images: DataFrame) -> DataFrame:
@@ -179,11 +194,13 @@ def positional(skus: DataFrame, images: DataFrame) -> DataFrame:
     )
 
 
-def inherit(bound: DataFrame) -> DataFrame:
+def inherit(bound: DataFrame, apart: Column | None = None) -> DataFrame:
     """Records of a product without an image take the best image of the product, at 0.9 of its
-    confidence."""
+    confidence; rows for which ``apart`` holds are left as they are."""
     w = Window.partitionBy("page", "product").orderBy(F.col("image").isNull(), F.desc("confidence"), "pos").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     heir = F.col("image").isNull() & F.col("product").isNotNull()
+    if apart is not None:
+        heir = heir & ~apart
     out = bound.withColumn("b_image", F.first("image").over(w)).withColumn("b_conf", F.first("confidence").over(w))
     takes = heir & F.col("b_image").isNotNull()
     return out.select(
@@ -199,42 +216,48 @@ def bind(skus: DataFrame, images: DataFrame) -> DataFrame:
     """The cascade, the first branch that applies to a page or record: a single record takes all
     images; a single image goes to all records; pages whose records all lack boxes bind by position;
     records without a box take the largest image; records that span the page take the largest image
-    in them; else by distance, else nothing.  ``skus`` have a layout."""
-    page = Window.partitionBy("page")
-    zero = geo.is_zero(geo.box())
-    s = skus.withColumn("n_skus", F.count("*").over(page)).withColumn("n_zero", F.sum(zero.cast("int")).over(page))
-    i = images.withColumn("n_images", F.count("*").over(page))
-    n = i.groupBy("page").agg(F.count("*").alias("n_images"), F.min("x0").alias("ux0"), F.min("y0").alias("uy0"), F.max("x1").alias("ux1"), F.max("y1").alias("uy1"))
-    s = s.join(n, "page", "left").withColumn("n_images", F.coalesce("n_images", F.lit(0)))
-    span = geo.area(geo.box("u"))
+    in them; else by distance, else nothing.  ``skus`` have a layout.
+
+    One join by page; every branch marks its rows among the pairs and one rank per record picks.
+    """
+    p = _scored(pairs(skus, images))
     branch = (
         F.when((F.col("n_skus") == 1) & (F.col("n_images") >= 1), "single_sku")
         .when(F.col("n_images") == 1, "single_image")
         .when(F.col("n_skus") == F.col("n_zero"), "positional")
         .when(F.col("n_images") == 0, "none")
-        .when(zero, "largest")
-        .when((span > 0) & (geo.area(geo.box()) > 0.85 * span), "containment")
+        .when(F.col("zero"), "largest")
+        .when((F.col("span") > 0) & (F.col("s_area") > 0.85 * F.col("span")), "containment")
         .otherwise("distance")
     )
-    s = s.withColumn("branch", branch)
-    out = ("page", "pos", "sku", "product", "image", "confidence", "method", "ambiguous")
-    fixed = lambda df, c, m, a=False: df.select("page", "pos", "sku", "product", "image", F.lit(c).alias("confidence"), F.lit(m).alias("method"), F.lit(a).alias("ambiguous"))
-    ids = images.select("page", "image", F.col("pos").alias("i_pos"), geo.area(geo.box()).alias("i_area"), *[F.col(c).alias(f"i_{c}") for c in ("x0", "y0", "x1", "y1")])
-    single = fixed(s.where("branch = 'single_sku'").join(ids, "page"), 0.7, "single_sku_all_images")
-    one = fixed(s.where("branch = 'single_image'").join(ids, "page"), 0.6, "single_image_page")
-    by_place = positional(s.where("branch = 'positional'").select("page", "pos", "sku", "product"), images).select(*out)
-    biggest = F.row_number().over(Window.partitionBy("page", "sku").orderBy(F.desc("i_area"), "i_pos"))
-    largest = fixed(s.where("branch = 'largest'").join(ids, "page").withColumn("k", biggest).where("k = 1"), 0.4, "largest_image", True)
-    wide = s.where("branch = 'containment'").join(ids, "page").where(geo.overlap_of(geo.box(), geo.box("i_")) > 0.5)
-    inside = fixed(wide.withColumn("k", biggest).where("k = 1"), 0.6, "containment")
-    rest = s.where("branch IN ('distance', 'containment')").join(inside.select("page", "sku"), ["page", "sku"], "left_anti")
-    near = choose(candidates(_pairs(rest, images))).select(*out)
-    found = single.select(*out).unionByName(one.select(*out)).unionByName(by_place).unionByName(largest.select(*out)).unionByName(inside.select(*out)).unionByName(near)
-    missing = s.join(found.select("page", "sku").distinct(), ["page", "sku"], "left_anti")
-    missing = missing.select("page", "pos", "sku", "product", F.lit(None).cast("string").alias("image"), F.lit(0.0).alias("confidence"), F.lit("none").alias("method"), F.lit(False).alias("ambiguous"))
-    every = found.unionByName(missing)
-    grouped = every.where("method NOT IN ('single_sku_all_images', 'positional')")
-    return inherit(grouped).unionByName(every.where("method IN ('single_sku_all_images', 'positional')"))
+    p = p.withColumn("branch", branch)
+    at = lambda *names: F.col("branch").isin(*names)
+    own = Window.partitionBy("page", "sku")
+    by_place = at("positional") & ((F.col("place") == F.col("i_place")) | ((F.col("place") > F.col("n_images")) & (F.col("size_rank") == 1)))
+    held = at("containment") & (F.col("inside") > 0.5)
+    # The lowest tier among a record's rows counts; rows of tier 9 stand for nothing found.
+    tier = (
+        F.when(at("single_sku", "single_image"), 1).when(by_place, 1).when(at("largest") & (F.col("size_rank") == 1), 1)
+        .when(held, 1).when(at("containment", "distance") & F.col("near"), 2).when(at("containment", "distance") & F.col("far"), 3).otherwise(9)
+    )
+    p = p.withColumn("tier", tier).withColumn("best", F.min("tier").over(own)).where("tier = best")
+    key = F.when(F.col("tier") == 1, -F.col("i_area").cast("double")).when(F.col("tier") == 2, -F.col("confidence")).otherwise(F.col("d"))
+    order = own.orderBy(key, "i_pos")
+    p = p.withColumns({"rank": F.row_number().over(order), "next": F.lead("confidence").over(order)}).where((F.col("rank") == 1) | at("single_sku"))
+    one, two, nothing = F.col("tier") == 1, F.col("tier") == 2, F.col("tier") == 9
+    close = two & F.coalesce(F.round(F.col("confidence") - F.col("next"), 3) < GAP, F.lit(False))
+    left_over = F.col("place") > F.col("n_images")
+    conf = (
+        F.when(nothing, 0.0).when(at("single_sku"), 0.7).when(at("single_image"), 0.6).when(at("positional"), F.when(left_over, 0.35).otherwise(0.55)).when(at("largest"), 0.4)
+        .when(one, 0.6).when(close, stable_round(F.col("confidence") * 0.7, 3)).otherwise(F.col("confidence"))
+    )
+    way = (
+        F.when(at("positional"), "positional").when(nothing, "none").when(at("single_sku"), "single_sku_all_images").when(at("single_image"), "single_image_page")
+        .when(at("largest"), "largest_image").when(one, "containment").when(two, F.col("way")).otherwise("fallback_nearest")
+    )
+    unsure = F.when(nothing, False).when(at("positional"), left_over | (F.col("n_images") != F.col("n_skus"))).otherwise(at("largest") | close)
+    found = p.select("page", "pos", "sku", "product", F.when(~nothing, F.col("image")).alias("image"), conf.alias("confidence"), way.alias("method"), unsure.alias("ambiguous"))
+    return inherit(found, F.col("method").isin("single_sku_all_images", "positional"))
 
 
 def anchors(blocks: DataFrame, images: DataFrame, limit: float = 300.0) -> DataFrame:

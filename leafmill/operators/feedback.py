@@ -36,18 +36,20 @@ def divergence(notes: DataFrame) -> DataFrame:
     return terms.agg(F.round(F.abs(F.coalesce(F.sum("t"), F.lit(0.0))), 6).alias("kl"))
 
 
-def calibration(notes: DataFrame, since: str, min_samples: int = 50, min_annotators: int = 3) -> DataFrame:
+def calibration(notes: DataFrame, since: str, min_samples: int = 50, min_annotators: int = 3, kl_limit: float = 0.5) -> DataFrame:
     """One run of the calibration rules over notes from ``since`` on: the suggestions, if the gates
-    are passed and the divergence is in bounds.  Everything is joined as one-row aggregates."""
+    are passed and the divergence is in bounds.  Two one-row aggregates are joined."""
     recent = notes.where(F.col("annotated_at") >= F.lit(since).cast("timestamp_ntz"))
+    page, record = F.col("type") == "PAGE_TYPE_CORRECTION", F.col("type") == "SKU_ATTRIBUTE_CORRECTION"
+    gap = F.col("ai_confidence") - F.when(F.col("was_correct"), 1.0).otherwise(0.0)
     gate = recent.agg(
         F.count("*").alias("samples"), F.count_distinct("annotator").alias("people"),
         F.count_if(F.col("type").isin("IMAGE_BINDING_CORRECTION", "BINDING_CORRECTION")).alias("binding"),
+        F.count_if(page).alias("pages"), F.round(F.avg(F.when(page, (F.col("ai_type") == F.col("human_type")).cast("int"))), 4).alias("accuracy"),
+        F.count_if(record).alias("records"), F.round(F.avg(F.when(record, gap)), 4).alias("drift"),
     )
-    acc = accuracy(confusion(recent)).withColumnRenamed("n", "pages")
-    moved = drift(recent).withColumnRenamed("n", "records")
-    one = gate.join(F.broadcast(acc)).join(F.broadcast(moved)).join(F.broadcast(divergence(recent)))
-    one = one.where((F.col("samples") >= min_samples) & (F.col("people") >= min_annotators) & ((F.col("records") == 0) | (F.col("kl") <= 0.5)))
+    one = gate.join(F.broadcast(divergence(recent)))
+    one = one.where((F.col("samples") >= min_samples) & (F.col("people") >= min_annotators) & ((F.col("records") == 0) | (F.col("kl") <= kl_limit)))
     clamped = scoring.clamp(F.col("drift"), -0.10, 0.10)
     share = F.round(F.col("binding") / F.greatest(F.lit(1), F.col("samples")), 4)
     rules = F.array(

@@ -69,11 +69,15 @@ def assign_ids(skus: DataFrame, height: float = 1600.0, prefix: str = "abc12345"
 def validate(skus: DataFrame, bound: DataFrame) -> DataFrame:
     """Issues (page, rule, severity, sku) of rules 2 to 4: records without image, repeated models, low
     confidence.  ``bound`` holds the skus that have an image."""
-    no_image = skus.join(bound.select("sku").distinct(), "sku", "left_anti").select("page", F.lit("sku_without_image").alias("rule"), "sku")
+    flagged = skus.join(bound.select("sku", F.lit(True).alias("__bound")).distinct(), "sku", "left")
     seen = F.row_number().over(Window.partitionBy("page", "model_number").orderBy("pos"))
-    repeated = skus.where(truthy(F.col("model_number"))).withColumn("__n", seen).where("__n > 1").select("page", F.lit("duplicate_model").alias("rule"), "sku")
-    unsure = skus.where("confidence < 0.5").select("page", F.lit("low_confidence").alias("rule"), "sku")
-    return no_image.unionByName(repeated).unionByName(unsure).withColumn("severity", F.lit("warning"))
+    rules = F.array(
+        F.when(F.col("__bound").isNull(), "sku_without_image"),
+        F.when(truthy(F.col("model_number")) & (F.col("__n") > 1), "duplicate_model"),
+        F.when(F.col("confidence") < 0.5, "low_confidence"),
+    )
+    issues = flagged.withColumn("__n", seen).select("page", F.explode(F.array_compact(rules)).alias("rule"), "sku")
+    return issues.withColumn("severity", F.lit("warning"))
 
 
 def empty_pages(pages: DataFrame, skus: DataFrame) -> DataFrame:

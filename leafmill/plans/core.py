@@ -102,9 +102,9 @@ def dispatch_ranking(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(f"""WITH {b.JOBS} SELECT job, worker, status, job % 5 < 3 AS requeue FROM jobs
 WHERE worker IS NOT NULL AND status IN ('EVALUATING','EVALUATED','PROCESSING')
-  AND worker NOT IN (SELECT concat('w', user_id) FROM events WHERE ts >= TIMESTAMP '{b.AS_OF_EVENTS}' - INTERVAL 36 HOUR)""")
+  AND worker NOT IN (SELECT concat('w', user_id) FROM events WHERE ts >= TIMESTAMP '{b.AS_OF_EVENTS}' - INTERVAL 5 HOUR)""")
 def orphan_jobs_anti(spark: SparkSession, sf: str) -> DataFrame:
-    beats = b.table(spark, sf, "events").where(F.col("ts") >= F.expr(f"TIMESTAMP_NTZ '{b.AS_OF_EVENTS}' - INTERVAL 36 HOURS"))
+    beats = b.table(spark, sf, "events").where(F.col("ts") >= F.expr(f"TIMESTAMP_NTZ '{b.AS_OF_EVENTS}' - INTERVAL 5 HOURS"))
     alive = beats.select(F.concat(F.lit("w"), "user_id").alias("worker")).distinct()
     return tk.orphans(b.jobs(spark, sf), alive, F.col("job") % 5)
 

@@ -98,10 +98,8 @@ _CHOSEN = """ch AS (SELECT page, pos, sku, product, image, CASE WHEN amb THEN fl
 SELECT page, sku, image, confidence, method, CAST(row_number() OVER (PARTITION BY page, sku ORDER BY confidence DESC, i_pos) AS INTEGER) AS rank FROM cd
 QUALIFY row_number() OVER (PARTITION BY page, sku ORDER BY confidence DESC, i_pos) <= 3""")
 def nearest_binding_topk(spark: SparkSession, sf: str) -> DataFrame:
-    from ..operators.relational import top_per
-
-    found = bd.candidates(bd._pairs(_shaped(spark, sf).where("x1 > 0"), b.images(spark, sf)))
-    return top_per(found, ["page", "sku"], [F.desc("confidence"), F.col("i_pos")], 3).select("page", "sku", "image", "confidence", "method", "rank")
+    found = bd.candidates(_shaped(spark, sf).where("x1 > 0"), b.images(spark, sf))
+    return found.where("rank <= 3").select("page", "sku", "image", "confidence", "method", "rank")
 
 
 def _positional(s: str) -> str:
