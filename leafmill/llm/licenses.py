@@ -96,16 +96,16 @@ def _bands(windows: DataFrame) -> DataFrame:
 
 
 def _shingles(words: Column) -> Column:
-    """Distinct shingles as strings; shorter sequences are one shingle."""
+    """Shingles in order, as strings; shorter sequences are one shingle."""
     last = F.greatest(F.size(words) - SHINGLE, F.lit(0))
-    return F.array_distinct(F.transform(F.sequence(F.lit(0), last), lambda i: F.array_join(F.slice(words, i + 1, SHINGLE), " ")))
+    return F.transform(F.sequence(F.lit(0), last), lambda i: F.array_join(F.slice(words, i + 1, SHINGLE), " "))
 
 
 def scan(docs: DataFrame, templates: DataFrame, id_col: str = "doc_id", text_col: str = "text", containment: float = CONTAINMENT) -> DataFrame:
-    """(id, license, containment, position): each document's matches, position the word at which the
-    best region begins.  ``templates`` has license and text."""
+    """(id, license, containment, position): each document's matches, position the number of the first
+    word of the first match (from 0).  ``templates`` has license and text."""
     known = templates.select("license", words_of(F.col("text")).alias("words")).where(F.size("words") > 0)
-    known = known.withColumn("need", F.size("words")).withColumn("wanted", _shingles(F.col("words")))
+    known = known.withColumn("need", F.size("words")).withColumn("wanted", F.array_distinct(_shingles(F.col("words"))))
     rows = known.agg(F.coalesce(F.sum(F.greatest(F.col("need") - SHINGLE + 1, F.lit(1)) * BANDS), F.lit(0))).first()[0]
     blocks = max(1, -(-int(rows) // BLOCK_ROWS))
     words = docs.select(F.col(id_col).alias("id"), words_of(F.col(text_col)).alias("words"))
@@ -118,8 +118,11 @@ def scan(docs: DataFrame, templates: DataFrame, id_col: str = "doc_id", text_col
         length = F.col("need") + 2 * WINDOW + F.ceil(F.col("need") / 4).cast("int")
         met = cut.join(F.broadcast(bands), "key").select("id", "license", start.alias("start"), F.slice("words", start + 1, length).alias("region")).distinct()
         laid = met.join(F.broadcast(some.select("license", "wanted")), "license")
-        share = F.size(F.array_intersect("wanted", _shingles(F.col("region")))) / F.size("wanted")
-        kept = laid.withColumn("share", share).where(F.col("share") >= containment).select("id", "license", "share", "start")
+        laid = laid.withColumn("held", _shingles(F.col("region")))
+        share = F.size(F.array_intersect("wanted", "held")) / F.size("wanted")
+        first = F.array_position(F.transform("held", lambda s: F.array_contains("wanted", s)), True)
+        kept = laid.withColumn("share", share).where(F.col("share") >= containment)
+        kept = kept.select("id", "license", "share", (F.col("start") + first - 1).alias("start"))
         found = kept if found is None else found.unionByName(kept)
     best = found.groupBy("id", "license").agg(F.max("share").alias("containment"), F.min("start").alias("position"))
     return best

@@ -345,7 +345,13 @@ def test_license_scan(spark):
             texts.append(noise(11) + " " + " ".join(w) + noise(5))
     texts += [None, "", "!", noise(2), noise(20_000) + " Released under the MIT License. " + noise(9)]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    got = {(r["id"], r["license"]): r["containment"] for r in licenses.scan(df, licenses.template_table(spark)).collect()}
+    rows = licenses.scan(df, licenses.template_table(spark)).collect()
+    got = {(r["id"], r["license"]): r["containment"] for r in rows}
+    for r in rows:
+        t = licenses.TEMPLATES[r["license"]].lower()
+        if r["containment"] == 1 and texts[r["id"]].lower().count(t) == 1:
+            before = texts[r["id"]].lower().split(t)[0]
+            assert r["position"] == len(re.findall("[0-9a-z]+", before)), r
     for i, t in enumerate(texts):
         for name in names:
             share = license_brute(t, licenses.TEMPLATES[name])
