@@ -6,6 +6,7 @@ disk, so a lost executor costs at most the running stage.
 
 from __future__ import annotations
 
+import re
 import uuid
 import zlib
 
@@ -18,7 +19,11 @@ DEFAULT_DIR = "/tmp/checkpoints"
 
 def shared_path(spark: SparkSession, label: str) -> str:
     """A new, unused path in the shared folder."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or DEFAULT_DIR
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        root = DEFAULT_DIR
     return f"{root.rstrip('/')}/{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
 
 
