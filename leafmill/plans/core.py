@@ -200,15 +200,20 @@ def json_value_buckets(spark: SparkSession, sf: str) -> DataFrame:
     return b.table(spark, sf, "events").groupBy("event_type", F.floor(k / 10).alias("bucket")).agg(F.count("*").alias("n"))
 
 
-_TEXTS = """SELECT event_id, CASE event_id % 5 WHEN 0 THEN props WHEN 1 THEN concat('```json', chr(10), props, chr(10), '```') WHEN 2 THEN concat('see [', props, '] there')
-  WHEN 3 THEN 'no json here' ELSE '' END AS t FROM events"""
-
-
-@query("SELECT event_id, CASE event_id % 5 WHEN 0 THEN 1 WHEN 1 THEN 2 WHEN 2 THEN 3 WHEN 3 THEN 4 ELSE 0 END AS level, CASE event_id % 5 WHEN 0 THEN props WHEN 1 THEN props WHEN 2 THEN concat('[', props, ']') END AS json FROM events")
+@query("""SELECT event_id, CASE event_id % 5 WHEN 0 THEN 1 WHEN 1 THEN 2 WHEN 2 THEN 3 WHEN 3 THEN 4 ELSE 0 END AS level,
+  CASE event_id % 5 WHEN 0 THEN props WHEN 1 THEN props WHEN 2 THEN concat('[', props, ']') END AS json FROM events""")
 def json_parse_levels(spark: SparkSession, sf: str) -> DataFrame:
-    case = b.table(spark, sf, "events").selectExpr("event_id", _TEXTS.split("event_id, ", 1)[1].split(" FROM events")[0].replace(" AS t", "") + " AS t")
+    """Answers as plain JSON, fenced, within a sentence, without JSON, and empty."""
+    props, kind = F.col("props"), F.col("event_id") % 5
+    text = (
+        F.when(kind == 0, props)
+        .when(kind == 1, F.concat(F.lit("```json\n"), props, F.lit("\n```")))
+        .when(kind == 2, F.concat(F.lit("see ["), props, F.lit("] there")))
+        .when(kind == 3, "no json here")
+        .otherwise("")
+    )
     json, level = jsonx.parse_levels(F.col("t"))
-    return case.select("event_id", level.cast("int").alias("level"), json.alias("json"))
+    return b.table(spark, sf, "events").select("event_id", text.alias("t")).select("event_id", level.cast("int").alias("level"), json.alias("json"))
 
 
 @query("""SELECT l_orderkey, l_linenumber, p_brand AS brand, p_type AS kind, CAST(CASE WHEN l_linenumber % 2 = 0 THEN l_linenumber ELSE p_size END AS VARCHAR) AS size
@@ -235,9 +240,9 @@ def attribute_diff(spark: SparkSession, sf: str) -> DataFrame:
     return part.select("p_partkey", F.size(diff).alias("n_changed"), F.element_at(diff, "size")["old"].alias("old_size")).where("n_changed > 0")
 
 
-@query("""SELECT p_partkey AS product, CAST(n AS INTEGER) AS n, CASE WHEN n IS NULL THEN CAST(p_size AS VARCHAR) ELSE concat('v', n) END AS size, p_brand AS brand
-FROM part, (SELECT unnest([0, 1, 2]) AS i) LEFT JOIN LATERAL (SELECT i AS n) ON true
-WHERE CASE WHEN p_partkey % 4 = 0 THEN i = 0 ELSE i < p_partkey % 4 END""".replace("CAST(n AS INTEGER) AS n, CASE WHEN n IS NULL", "CASE WHEN p_partkey % 4 = 0 THEN NULL ELSE CAST(n AS INTEGER) END AS n, CASE WHEN p_partkey % 4 = 0"))
+@query("""SELECT p_partkey AS product, CASE WHEN p_partkey % 4 > 0 THEN CAST(i AS INTEGER) END AS n,
+  CASE WHEN p_partkey % 4 > 0 THEN concat('v', i) ELSE CAST(p_size AS VARCHAR) END AS size, p_brand AS brand
+FROM part, (SELECT unnest([0, 1, 2]) AS i) WHERE i < greatest(1, p_partkey % 4)""")
 def product_variant_explode(spark: SparkSession, sf: str) -> DataFrame:
     from ..operators.records import variants
 

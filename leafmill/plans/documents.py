@@ -95,7 +95,7 @@ def template_render(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("""SELECT doc_id, substr(md5(encode(coalesce(text, ''))[1:2048]), 1, 12) AS image_hash, sha256(coalesce(text, '')) AS file_hash, concat('v', doc_id % 7 + 1, '.0') AS next_version,
-  concat_ws(':', source, doc_id, lang) AS dedup_key FROM documents""".replace("md5(encode(coalesce(text, ''))[1:2048])", "md5(encode(coalesce(text, ''))[1:2048])"))
+  concat_ws(':', source, doc_id, lang) AS dedup_key FROM documents""")
 def content_hashes(spark: SparkSession, sf: str) -> DataFrame:
     body = F.coalesce(F.col("text"), F.lit("")).cast("binary")
     version = F.concat(F.lit("v"), (F.col("doc_id") % 7).cast("string"), F.lit(".0"))
@@ -252,7 +252,8 @@ def human_fanout(spark: SparkSession, sf: str) -> DataFrame:
     return b.pages(spark, sf).where(~pages.is_blank(F.col("raw_text"), F.col("n_images"))).select("job", "page_no")
 
 
-@query(f"""WITH {b.SKUS} SELECT page, coalesce(product, 'none') AS product, count(*) AS n, arg_min(product_name, pos) AS first_name FROM (SELECT *, coalesce(product, 'none') AS g FROM skus) GROUP BY page, g, product""".replace("arg_min(product_name, pos)", "first(coalesce(product_name, '') ORDER BY pos)"))
+@query(f"""WITH {b.SKUS} SELECT page, coalesce(product, 'none') AS product, count(*) AS n, first(coalesce(product_name, '') ORDER BY pos) AS first_name
+FROM skus GROUP BY page, coalesce(product, 'none')""")
 def group_by_product(spark: SparkSession, sf: str) -> DataFrame:
     s = b.skus(spark, sf)
     first = F.min_by(F.coalesce("product_name", F.lit("")), "pos")

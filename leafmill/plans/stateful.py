@@ -33,8 +33,8 @@ def fallback_streak(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(f"""WITH {b.OUTCOMES}, c AS (SELECT event_id, CAST(sum(CAST(round(value * 100) AS BIGINT)) OVER (PARTITION BY CAST(ts AS DATE) ORDER BY event_id) AS BIGINT) AS spent_cents FROM outcomes),
-l AS (SELECT *, round(greatest(0.0, (1500000.0::DOUBLE - spent_cents) / 1500000.0::DOUBLE), 6) AS left FROM c)
-SELECT event_id, spent_cents, "left", CASE WHEN "left" <= 0.05 THEN 'EXHAUSTED' WHEN "left" <= 0.2 THEN 'WARNING' ELSE 'NORMAL' END AS phase FROM l""".replace("AS left FROM", 'AS "left" FROM'))
+l AS (SELECT *, round(greatest(0.0, (1500000.0::DOUBLE - spent_cents) / 1500000.0::DOUBLE), 6) AS "left" FROM c)
+SELECT event_id, spent_cents, "left", CASE WHEN "left" <= 0.05 THEN 'EXHAUSTED' WHEN "left" <= 0.2 THEN 'WARNING' ELSE 'NORMAL' END AS phase FROM l""")
 def daily_budget_phase(spark: SparkSession, sf: str) -> DataFrame:
     return series.budget_phase(b.outcomes(spark, sf), 15_000.0).select("event_id", "spent_cents", "left", "phase")
 

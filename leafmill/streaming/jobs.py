@@ -6,6 +6,7 @@ gives them, aggregates in complete mode (append mode would keep the last windows
 
 from __future__ import annotations
 
+import re
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -61,8 +62,12 @@ def run_to_table(stream: DataFrame, mode: str) -> DataFrame:
     """Runs a stream over what is there and returns its result table, written to the shared folder:
     complete results replace each other, appended ones add up."""
     spark = stream.sparkSession
-    root = (spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints").rstrip("/")
-    path = f"{root}/{spark.sparkContext.applicationId}/stream-{uuid.uuid4().hex}"
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        root = "/tmp/checkpoints"
+    path = f"{root.rstrip('/')}/{spark.sparkContext.applicationId}/stream-{uuid.uuid4().hex}"
 
     def each(batch: DataFrame, epoch: int) -> None:
         if mode == "complete":
