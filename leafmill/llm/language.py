@@ -55,20 +55,22 @@ def gram_features(array: pa.Array, width: int = WIDTH) -> np.ndarray:
     """A row per text: square roots of hashed n-gram shares; separators count as one byte value."""
     flat, offsets = tw.text_bytes(array)
     rows = len(array)
-    mapped = tw.ALNUM[flat].astype(np.uint64)
-    mapped[(flat >= 48) & (flat <= 57)] = 0
-    row = np.repeat(np.arange(rows), np.diff(offsets))
     counts = np.zeros(rows * width)
-    for n in GRAMS:
-        last = len(flat) - n + 1
-        if last <= 0:
-            continue
-        code = np.zeros(last, np.uint64)
-        for j in range(n):
-            code = code * np.uint64(257) + mapped[j : j + last]
-        whole = (row[:last] == row[n - 1 :]) & (code > 0)
-        at = (tw.mix(code[whole] + np.uint64(n << 40)) % np.uint64(width)).astype(np.int64)
-        counts += np.bincount(row[:last][whole] * width + at, minlength=rows * width)
+    for at in range(0, len(flat), tw.PIECE_BYTES):  # n-grams that begin in this part
+        part = flat[at : at + tw.PIECE_BYTES + max(GRAMS) - 1]
+        row = np.searchsorted(offsets, np.arange(at, at + len(part)), "right") - 1
+        mapped = tw.ALNUM[part].astype(np.uint64)
+        mapped[(part >= 48) & (part <= 57)] = 0
+        for n in GRAMS:
+            last = min(len(part) - n + 1, tw.PIECE_BYTES)
+            if last <= 0:
+                continue
+            code = np.zeros(last, np.uint64)
+            for j in range(n):
+                code = code * np.uint64(257) + mapped[j : j + last]
+            whole = (row[:last] == row[n - 1 : n - 1 + last]) & (code > 0)
+            slot = (tw.mix(code[whole] + np.uint64(n << 40)) % np.uint64(width)).astype(np.int64)
+            counts += np.bincount(row[:last][whole] * width + slot, minlength=rows * width)
     counts = counts.reshape(rows, width)
     total = counts.sum(axis=1, keepdims=True)
     return np.sqrt(counts / np.maximum(total, 1)).astype(np.float32)

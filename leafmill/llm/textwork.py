@@ -12,7 +12,8 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 
-#: Text bytes handled at once; numpy's temporaries take about 50 times as much.
+#: Text bytes handled at once; numpy's temporaries take about 50 times as much (12 times for what a
+#: single text has beyond that).
 PIECE_BYTES = 1 << 20
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _MIX = (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
@@ -123,17 +124,24 @@ def tokenize(array: pa.Array, table: np.ndarray = ALNUM, prefixes: tuple[int, ..
 
 
 def _run_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, prefixes: tuple[int, ...] = ()) -> list[np.ndarray]:
-    if not len(start):
-        return [np.zeros(0, np.uint64) for _ in range(1 + len(prefixes))]
-    size = end - start
-    begin = np.zeros(len(size), np.int64)
-    np.cumsum(size[:-1], out=begin[1:])
-    rel = np.arange(int(size.sum()), dtype=np.int64) - np.repeat(begin, size)
-    value = (data[rel + np.repeat(start, size)].astype(np.uint64) + np.uint64(1)) * _powers(int(size.max()))[rel]
-    out = [mix(np.add.reduceat(value, begin))]
-    for k in prefixes:
-        part = np.add.reduceat(np.where(rel < k, value, np.uint64(0)), begin)
-        out.append(mix(part + np.uint64(k)))
+    """Hashes of the runs, and of their first k bytes; runs of about ``PIECE_BYTES`` at a time, so that
+    one very long text needs no more."""
+    out = [np.zeros(len(start), np.uint64) for _ in range(1 + len(prefixes))]
+    upto = np.cumsum(end - start)
+    at = 0
+    while at < len(start):
+        done = upto[at - 1] if at else 0
+        stop = max(int(np.searchsorted(upto, done + PIECE_BYTES, "right")), at + 1)
+        first, size = start[at:stop], end[at:stop] - start[at:stop]
+        begin = np.zeros(len(size), np.int64)
+        np.cumsum(size[:-1], out=begin[1:])
+        rel = np.arange(int(size.sum()), dtype=np.int64) - np.repeat(begin, size)
+        value = (data[rel + np.repeat(first, size)].astype(np.uint64) + np.uint64(1)) * _powers(int(size.max()))[rel]
+        out[0][at:stop] = mix(np.add.reduceat(value, begin))
+        for i, k in enumerate(prefixes, 1):
+            part = np.add.reduceat(np.where(rel < k, value, np.uint64(0)), begin)
+            out[i][at:stop] = mix(part + np.uint64(k))
+        at = stop
     return out
 
 

@@ -131,3 +131,13 @@ def test_words_and_shingles_of_bytes():
         assert ok.sum() == sum(1 for i in range(len(want) - k + 1) if want[i][0] == want[i + k - 1][0])
     pieces = list(tw.pieces(pa.RecordBatch.from_arrays([pa.array(texts)], names=["t"]), limit=20))
     assert [v for p in pieces for v in p.column(0).to_pylist()] == texts
+
+
+def test_long_texts_are_hashed_in_parts(monkeypatch):
+    rng = random.Random(11)
+    texts = pa.array(["".join(rng.choice("abé, C") for _ in range(rng.randint(0, 90))) for _ in range(40)])
+    whole = tw.tokenize(texts, prefixes=(4,)), language.gram_features(texts), tw.runs(texts)
+    monkeypatch.setattr(tw, "PIECE_BYTES", 7)
+    parts = tw.tokenize(texts, prefixes=(4,)), language.gram_features(texts), tw.runs(texts)
+    assert np.array_equal(whole[0][0].hash, parts[0][0].hash) and np.array_equal(whole[0][1], parts[0][1])
+    assert np.allclose(whole[1], parts[1]) and np.array_equal(whole[2].hash, parts[2].hash)
