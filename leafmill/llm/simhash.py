@@ -26,9 +26,10 @@ from pyspark.sql.window import Window
 from . import textwork as tw
 from .shared import discard, materialize, table
 
-#: Word-set fingerprints a text is looked up by, and their bits.
-TABLES = 6
-TABLE_BITS = 48
+#: MinHash bands a text is looked up by, and the minima in each: two sets of 0.8 Jaccard similarity share
+#: a band with probability 1 - (1 - 0.8 ** 6) ** 32 = 0.9999, whatever the edit that parts them.
+BANDS = 32
+BAND_ROWS = 6
 #: 64-bit SimHashes of the five-word shingles, and how many of all their bits may differ: two sets of
 #: 0.8 Jaccard similarity differ in 39 of 256 bits on average, with a deviation of 6; unrelated ones in 128.
 CHECKS = 4
@@ -165,18 +166,29 @@ def _seeds(n: int, start: int) -> np.ndarray:
     return tw.mix(np.arange(start + 1, start + n + 1, dtype=np.uint64))
 
 
+def bands(hashes: np.ndarray) -> np.ndarray:
+    """One 64-bit value per MinHash band of a set of 64-bit hashes."""
+    turn, odd = _seeds(BANDS * BAND_ROWS, 200)[:, None], _seeds(BANDS * BAND_ROWS, 1000)[:, None] | np.uint64(1)
+    least = np.full(BANDS * BAND_ROWS, np.iinfo(np.uint64).max, np.uint64)
+    for at in range(0, len(hashes), 2048):  # long texts have many shingles
+        least = np.minimum(least, ((hashes[None, at : at + 2048] ^ turn) * odd).min(axis=1))
+    value = _seeds(BANDS, 2000)
+    for row in least.reshape(BANDS, BAND_ROWS).T:
+        value = tw.mix(value ^ row)
+    return value
+
+
 def sketch(text: bytes) -> np.ndarray:
-    """The query's fingerprint, ``TABLES`` fingerprints of the word set (48 bits each) and ``CHECKS``
-    of the set of five-word shingles (64 bits each).  Blank texts are all zero."""
+    """The query's fingerprint, ``BANDS`` band values of the set of five-word shingles and ``CHECKS``
+    SimHashes of it (64 bits each).  Blank texts are all zero."""
     words = text.lower().split()
-    out = np.zeros(1 + TABLES + CHECKS, np.uint64)
+    out = np.zeros(1 + BANDS + CHECKS, np.uint64)
     if words:
         out[0] = majority(shingle_hashes(words, 3, 42)[None, :])[0]
-        single = np.fromiter((xxhash.xxh64_intdigest(w, 7) for w in set(words)), np.uint64)
-        out[1 : 1 + TABLES] = majority(tw.mix(single[None, :] ^ _seeds(TABLES, 0)[:, None])) & np.uint64(2**TABLE_BITS - 1)
         whole = np.unique(shingle_hashes(words, 5, 7))
+        out[1 : 1 + BANDS] = bands(whole)
         for i, seed in enumerate(_seeds(CHECKS, 100)):  # one at a time: long texts have many shingles
-            out[1 + TABLES + i] = majority(tw.mix(whole ^ seed)[None, :])[0]
+            out[1 + BANDS + i] = majority(tw.mix(whole ^ seed)[None, :])[0]
     return out
 
 
@@ -184,12 +196,11 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """(id, component) of near duplicates: texts whose sets of five-word shingles are 0.8 alike or
     more, as four 64-bit SimHashes of these sets measure it, and texts that the query links.
 
-    One fingerprint of radius two finds few of such pairs.  So each text has several, of its word set,
-    in tables of their own; each is looked up by ball hashing.  Texts of one fingerprint meet in its
-    smallest node first, so that a ball only holds distinct fingerprints - 65 at most - whatever the
-    size of a group.  Candidate pairs are deduplicated and verified on the shingle SimHashes.
+    One fingerprint of radius two finds few of such pairs.  So each text is also looked up by MinHash
+    bands of its shingles.  Texts of one fingerprint or band meet in its smallest node first.
+    Candidate pairs are deduplicated and verified on the shingle SimHashes.
     """
-    names = ["fp", *(f"w{i}" for i in range(TABLES)), *(f"s{i}" for i in range(CHECKS))]
+    names = ["fp", *(f"m{i}" for i in range(BANDS)), *(f"s{i}" for i in range(CHECKS))]
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -201,11 +212,11 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     marked = cells.mapInArrow(rows, ", ".join([f"id {kind}", *(f"{c} long" for c in names)])).withColumn("node", F.xxhash64(*names))
     marked = materialize(marked, "sketches")
     distinct = materialize(marked.groupBy("node", *names).agg(F.min("id").alias("least")), "distinct")
-    tables = ["fp", *(f"w{i}" for i in range(TABLES))]
+    tables = ["fp", *(f"m{i}" for i in range(BANDS))]
     entries = distinct.select("node", F.posexplode(F.array(*tables)).alias("table", "value"))
     heads = materialize(entries.groupBy("table", "value").agg(F.min("node").alias("head")), "heads")
     same = entries.join(heads, ["table", "value"]).where("node <> head").select(F.col("head").alias("a"), F.col("node").alias("b"))
-    around = F.when(F.col("table") == 0, ball(F.col("value"), 1)).otherwise(ball(F.col("value"), 1, TABLE_BITS))
+    around = F.when(F.col("table") == 0, ball(F.col("value"), 1)).otherwise(F.array("value"))
     met = heads.select("head", "table", F.explode(around).alias("variant")).select("head", F.xxhash64("table", "variant").alias("bucket"))
     order = Window.partitionBy("bucket").orderBy("head")
     near = met.select(F.col("head").alias("b"), F.array(F.lag("head", 1).over(order), F.lag("head", 2).over(order)).alias("before"))
