@@ -14,7 +14,7 @@ kept; other columns are ignored by the queries and kept by :func:`drop_near_dupl
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -192,13 +192,47 @@ def sketch(text: bytes) -> np.ndarray:
     return out
 
 
+def grouped(met: DataFrame, alike: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """(node, root) for the components of all pairs of one bucket that ``alike`` keeps; ``met`` has node and bucket.
+
+    Every node is compared with the smallest of each of its buckets.  Then all pairs of a bucket in
+    different components are compared too: only those may still join components, so none is lost.
+    """
+    heads = met.groupBy("bucket").agg(F.min("node").alias("head"), F.max("node").alias("last")).where("head <> last").drop("last")
+    shared = materialize(met.join(heads, "bucket"), "shared")
+    first = materialize(shared.where("node <> head").select(F.col("head").alias("a"), F.col("node").alias("b")).distinct(), "pairs")
+    links = materialize(alike(first), "links")
+    roots = components(links)
+    rooted = shared.drop("head").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    rooted = materialize(rooted, "rooted")
+    apart = rooted.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("bucket")
+    sides = [rooted.join(apart, "bucket").select("bucket", F.col("node").alias(x), F.col("root").alias(x + "r")) for x in ("a", "b")]
+    rest = sides[0].join(sides[1], "bucket").where("a < b AND ar <> br").select("a", "b").distinct()
+    rest = materialize(rest.join(first, ["a", "b"], "left_anti"), "pairs")
+    more = materialize(alike(rest), "links")
+    for old in (shared, first, rooted, rest):
+        discard(old)
+    return components(links.unionByName(more)) if more.limit(1).count() else roots
+
+
+def alike(pairs: DataFrame, distinct: DataFrame) -> DataFrame:
+    """The pairs (a, b) of nodes of ``distinct`` whose SimHashes lie near."""
+    checks = ["fp", *(f"s{i}" for i in range(CHECKS))]
+    side = lambda x: distinct.select(F.col("node").alias(x), *[F.col(c).alias(x + c) for c in checks])
+    apart = lambda c: F.bit_count(F.col("a" + c).bitwiseXOR(F.col("b" + c)))
+    near = sum((apart(f"s{i}") for i in range(1, CHECKS)), apart("s0")) <= CHECK_DISTANCE
+    return pairs.join(side("a"), "a").join(side("b"), "b").where((apart("fp") <= 2) | near).select("a", "b")
+
+
 def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, component) of near duplicates: texts whose sets of five-word shingles are 0.8 alike or
     more, as four 64-bit SimHashes of these sets measure it, and texts that the query links.
 
     One fingerprint of radius two finds few of such pairs.  So each text is also looked up by MinHash
-    bands of its shingles.  Texts of one fingerprint or band meet in its smallest node first.
-    Candidate pairs are deduplicated and verified on the shingle SimHashes.
+    bands of its shingles.  Texts that meet in a bucket are compared with its smallest node; then all
+    pairs of a bucket that verified links leave in different components are compared as well, so no
+    pair is skipped that could join two components, and a large group of copies costs one comparison
+    each.  Candidate pairs are deduplicated and verified on the shingle SimHashes.
     """
     names = ["fp", *(f"m{i}" for i in range(BANDS)), *(f"s{i}" for i in range(CHECKS))]
 
@@ -214,20 +248,9 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     distinct = materialize(marked.groupBy("node", *names).agg(F.min("id").alias("least")), "distinct")
     tables = ["fp", *(f"m{i}" for i in range(BANDS))]
     entries = distinct.select("node", F.posexplode(F.array(*tables)).alias("table", "value"))
-    heads = materialize(entries.groupBy("table", "value").agg(F.min("node").alias("head")), "heads")
-    same = entries.join(heads, ["table", "value"]).where("node <> head").select(F.col("head").alias("a"), F.col("node").alias("b"))
     around = F.when(F.col("table") == 0, ball(F.col("value"), 1)).otherwise(F.array("value"))
-    met = heads.select("head", "table", F.explode(around).alias("variant")).select("head", F.xxhash64("table", "variant").alias("bucket"))
-    order = Window.partitionBy("bucket").orderBy("head")
-    near = met.select(F.col("head").alias("b"), F.array(F.lag("head", 1).over(order), F.lag("head", 2).over(order)).alias("before"))
-    near = near.select(F.explode("before").alias("a"), "b").where(F.col("a").isNotNull() & (F.col("a") != F.col("b")))
-    pairs = same.unionByName(near).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    checks = ["fp", *(f"s{i}" for i in range(CHECKS))]
-    side = lambda x: distinct.select(F.col("node").alias(x), *[F.col(c).alias(x + c) for c in checks])
-    apart = lambda c: F.bit_count(F.col("a" + c).bitwiseXOR(F.col("b" + c)))
-    alike = sum((apart(f"s{i}") for i in range(1, CHECKS)), apart("s0")) <= CHECK_DISTANCE
-    verified = pairs.join(side("a"), "a").join(side("b"), "b").where((apart("fp") <= 2) | alike).select("a", "b")
-    roots = components(verified)
+    met = entries.select("node", "table", F.explode(around).alias("variant")).select("node", F.xxhash64("table", "variant").alias("bucket"))
+    roots = grouped(met, lambda pairs: alike(pairs, distinct))
     rooted = distinct.select("node", "least").join(roots, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root"))
     # Written first, so that the join exchanges both sides and a large component can be split.
     least = materialize(rooted.groupBy("root").agg(F.min("least").alias("component")), "components")

@@ -49,3 +49,13 @@ def test_near_copies_meet(kind):
     pairs = copies(random.Random(31), kind, 300)
     met = sum(bool((simhash.sketch(a.encode())[1 : 1 + simhash.BANDS] == simhash.sketch(b.encode())[1 : 1 + simhash.BANDS]).any()) for a, b in pairs)
     assert met >= 299
+
+
+def test_no_pair_of_a_bucket_is_skipped(spark):
+    # 3-45 and 17-31 lie among nodes like none; 50-59 are all alike; 60 joins 45 in another bucket only.
+    alike = {(3, 45), (17, 31), (45, 60)} | {(a, b) for a in range(50, 60) for b in range(a + 1, 60)}
+    met = spark.createDataFrame([(n, 1) for n in range(60)] + [(n, 2) for n in (40, 45, 60)] + [(70, 3), (70, 3)], "node long, bucket long")
+    truth = spark.createDataFrame(sorted(alike), "a long, b long")
+    roots = simhash.grouped(met, lambda pairs: pairs.join(truth, ["a", "b"]))
+    want = {3: 3, 45: 3, 60: 3, 17: 17, 31: 17} | {n: 50 for n in range(50, 60)}
+    assert {r["node"]: r["root"] for r in roots.collect()} == want
