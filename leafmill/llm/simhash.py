@@ -30,11 +30,6 @@ from .shared import discard, materialize, table
 #: a band with probability 1 - (1 - 0.8 ** 6) ** 32 = 0.9999, whatever the edit that parts them.
 BANDS = 32
 BAND_ROWS = 6
-#: 64-bit SimHashes of the five-word shingles, and how many of all their bits may differ: two sets of
-#: 0.8 Jaccard similarity differ in 39 of 256 bits on average, with a deviation of 6; unrelated ones in 128.
-CHECKS = 4
-CHECK_DISTANCE = 42
-
 #: Bits set in a byte value, one per byte lane of a 64-bit word.
 _LANES = np.array([sum(((b >> i) & 1) << (8 * i) for i in range(8)) for b in range(256)], np.uint64)
 
@@ -178,22 +173,35 @@ def bands(hashes: np.ndarray) -> np.ndarray:
     return value
 
 
-def sketch(text: bytes) -> np.ndarray:
-    """The query's fingerprint, ``BANDS`` band values of the set of five-word shingles and ``CHECKS``
-    SimHashes of it (64 bits each).  Blank texts are all zero."""
+def shingles(text: bytes) -> np.ndarray:
+    """The set of hashes of the text's five-word shingles, sorted; empty for a blank text."""
     words = text.lower().split()
-    out = np.zeros(1 + BANDS + CHECKS, np.uint64)
-    if words:
-        out[0] = majority(shingle_hashes(words, 3, 42)[None, :])[0]
-        whole = np.unique(shingle_hashes(words, 5, 7))
-        out[1 : 1 + BANDS] = bands(whole)
-        for i, seed in enumerate(_seeds(CHECKS, 100)):  # one at a time: long texts have many shingles
-            out[1 + BANDS + i] = majority(tw.mix(whole ^ seed)[None, :])[0]
+    return np.unique(shingle_hashes(words, 5, 7)) if words else np.zeros(0, np.uint64)
+
+
+def similar(a: np.ndarray, b: np.ndarray) -> bool:
+    """Whether the Jaccard similarity of two sets is 0.8 or more."""
+    small, large = sorted((a, b), key=len)
+    if 5 * len(small) < 4 * len(large):
+        return False
+    common = len(np.intersect1d(small, large, assume_unique=True))
+    return 5 * common >= 4 * (len(a) + len(b) - common)
+
+
+def sketch(text: bytes) -> np.ndarray:
+    """A hash of the set of shingles, its size and ``BANDS`` band values.  Blank texts are all zero."""
+    out = np.zeros(2 + BANDS, np.uint64)
+    whole = shingles(text)
+    if len(whole):
+        out[0] = xxhash.xxh64_intdigest(whole.tobytes(), 9)
+        out[1] = len(whole)
+        out[2:] = bands(whole)
     return out
 
 
 def grouped(met: DataFrame, alike: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """(node, root) for the components of all pairs of one bucket that ``alike`` keeps; ``met`` has node and bucket.
+    """(node, root) for the components of all pairs of one bucket that ``alike`` keeps; ``met`` has node,
+    the size of its set, and bucket.
 
     Every node is compared with the smallest of each of its buckets.  Then all pairs of a bucket in
     different components are compared too: only those may still join components, so none is lost.
@@ -206,51 +214,66 @@ def grouped(met: DataFrame, alike: Callable[[DataFrame], DataFrame]) -> DataFram
     rooted = shared.drop("head").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     rooted = materialize(rooted, "rooted")
     apart = rooted.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("bucket")
-    sides = [rooted.join(apart, "bucket").select("bucket", F.col("node").alias(x), F.col("root").alias(x + "r")) for x in ("a", "b")]
-    rest = sides[0].join(sides[1], "bucket").where("a < b AND ar <> br").select("a", "b").distinct()
+    sides = [rooted.join(apart, "bucket").select("bucket", *[F.col(c).alias(x + c) for c in ("node", "size", "root")]) for x in ("a", "b")]
+    sized = (5 * F.col("asize") >= 4 * F.col("bsize")) & (5 * F.col("bsize") >= 4 * F.col("asize"))
+    rest = sides[0].join(sides[1], "bucket").where("anode < bnode AND aroot <> broot").where(sized)
+    rest = rest.select(F.col("anode").alias("a"), F.col("bnode").alias("b")).distinct()
     rest = materialize(rest.join(first, ["a", "b"], "left_anti"), "pairs")
-    more = materialize(alike(rest), "links")
-    for old in (shared, first, rooted, rest):
+    if rest.limit(1).count():
+        roots = components(links.unionByName(alike(rest)))
+    for old in (shared, first, links, rooted, rest):
         discard(old)
-    return components(links.unionByName(more)) if more.limit(1).count() else roots
+    return roots
+
 
+def alike(pairs: DataFrame, distinct: DataFrame, texts: DataFrame) -> DataFrame:
+    """The pairs (a, b) of nodes of ``distinct`` whose texts' sets of shingles are 0.8 alike or more."""
+    ends = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+    keys = distinct.select("node", "key").join(ends, "node")
+    held = materialize(texts.join(keys, "key").select("node", "t").dropDuplicates(["node"]), "texts")
+    side = lambda x: held.select(F.col("node").alias(x), F.col("t").alias(x + "t"))
+
+    def confirmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, known = None, np.zeros(0, np.uint64)  # rows of one a follow each other
+        for batch in batches:
+            keep = []
+            for i, a in enumerate(batch.column(0).to_pylist()):
+                if a != last:
+                    last, known = a, shingles(batch.column(2)[i].as_buffer().to_pybytes())
+                keep.append(similar(known, shingles(batch.column(3)[i].as_buffer().to_pybytes())))
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-def alike(pairs: DataFrame, distinct: DataFrame) -> DataFrame:
-    """The pairs (a, b) of nodes of ``distinct`` whose SimHashes lie near."""
-    checks = ["fp", *(f"s{i}" for i in range(CHECKS))]
-    side = lambda x: distinct.select(F.col("node").alias(x), *[F.col(c).alias(x + c) for c in checks])
-    apart = lambda c: F.bit_count(F.col("a" + c).bitwiseXOR(F.col("b" + c)))
-    near = sum((apart(f"s{i}") for i in range(1, CHECKS)), apart("s0")) <= CHECK_DISTANCE
-    return pairs.join(side("a"), "a").join(side("b"), "b").where((apart("fp") <= 2) | near).select("a", "b")
+    lined = pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "at", "bt")
+    found = materialize(lined.mapInArrow(confirmed, "a long, b long"), "alike")
+    discard(held)
+    return found
 
 
 def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, component) of near duplicates: texts whose sets of five-word shingles are 0.8 alike or
-    more, as four 64-bit SimHashes of these sets measure it, and texts that the query links.
-
-    One fingerprint of radius two finds few of such pairs.  So each text is also looked up by MinHash
-    bands of its shingles.  Texts that meet in a bucket are compared with its smallest node; then all
-    pairs of a bucket that verified links leave in different components are compared as well, so no
-    pair is skipped that could join two components, and a large group of copies costs one comparison
-    each.  Candidate pairs are deduplicated and verified on the shingle SimHashes.
+    """(id, component) of near duplicates: texts whose sets of five-word shingles have a Jaccard
+    similarity of 0.8 or more, and texts that such pairs join.
+
+    Texts of one set of shingles are one node.  Nodes are looked up by MinHash bands.  Those that meet
+    in a bucket are compared with its smallest node; then all pairs of a bucket that verified links
+    leave in different components are compared as well, so no pair is skipped that could join two
+    components, and a large group of copies costs one comparison each.  Candidate pairs are
+    deduplicated and confirmed on their texts.
     """
-    names = ["fp", *(f"m{i}" for i in range(BANDS)), *(f"s{i}" for i in range(CHECKS))]
+    names = ["node", "size", *(f"m{i}" for i in range(BANDS))]
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = np.stack([sketch(t.as_buffer().to_pybytes() if t.is_valid else b"") for t in batch.column(1)]) if batch.num_rows else np.zeros((0, len(names)), np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(np.ascontiguousarray(c).view(np.int64)) for c in found.T)], names=["id", *names])
+            found = np.stack([sketch(t.as_buffer().to_pybytes() if t.is_valid else b"") for t in batch.column(2)]) if batch.num_rows else np.zeros((0, len(names)), np.uint64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(np.ascontiguousarray(c).view(np.int64)) for c in found.T)], names=["id", "key", *names])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    cells = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("t"))
-    marked = cells.mapInArrow(rows, ", ".join([f"id {kind}", *(f"{c} long" for c in names)])).withColumn("node", F.xxhash64(*names))
-    marked = materialize(marked, "sketches")
-    distinct = materialize(marked.groupBy("node", *names).agg(F.min("id").alias("least")), "distinct")
-    tables = ["fp", *(f"m{i}" for i in range(BANDS))]
-    entries = distinct.select("node", F.posexplode(F.array(*tables)).alias("table", "value"))
-    around = F.when(F.col("table") == 0, ball(F.col("value"), 1)).otherwise(F.array("value"))
-    met = entries.select("node", "table", F.explode(around).alias("variant")).select("node", F.xxhash64("table", "variant").alias("bucket"))
-    roots = grouped(met, lambda pairs: alike(pairs, distinct))
+    text = F.col(text_col).cast("string")
+    texts = docs.select(F.xxhash64(text).alias("key"), text.alias("t"))
+    cells = docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("key"), text.alias("t"))
+    marked = materialize(cells.mapInArrow(rows, ", ".join([f"id {kind}", "key long", *(f"{c} long" for c in names)])), "sketches")
+    distinct = materialize(marked.groupBy(*names).agg(F.min("id").alias("least"), F.min("key").alias("key")), "distinct")
+    met = distinct.where("size > 0").select("node", "size", F.explode(F.array(*names[2:])).alias("bucket"))
+    roots = grouped(met, lambda pairs: alike(pairs, distinct, texts))
     rooted = distinct.select("node", "least").join(roots, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root"))
     # Written first, so that the join exchanges both sides and a large component can be split.
     least = materialize(rooted.groupBy("root").agg(F.min("least").alias("component")), "components")
