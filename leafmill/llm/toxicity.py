@@ -37,7 +37,7 @@ from .shared import aside, hash_sample, restored, table
 SAMPLE = 12_000
 #: Share of the sample that may be toxic.
 TOXIC_SHARE = 0.4
-FEATURES = 2048
+FEATURES = 4096
 FOLDS = 5
 THRESHOLD = 0.5
 PREFIXES = (4, 5, 6)
