@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import geometry as geo
-from ..functions.scoring import stable_round
+from ..functions import jsonx
+from ..functions.scoring import exact_round
 from ..functions.vocab import DELIVERABLE_ROLES
 
 # Distance limits by layout; 150 for others.
@@ -19,17 +20,25 @@ LIMITS = {"grid": 300.0, "table": 400.0, "list": 500.0, "freeform": 500.0, "sing
 OTHER_LIMIT = 150.0
 GAP = 0.2
 TOP = 3
+# Fixed value: the method of records that no image was found for.
+UNBOUND = "spatial_proximity"
 
 
 def image_metrics(images: DataFrame, minimum: int = 200) -> DataFrame:
-    edge = F.round(geo.to_pixels(F.least("width", "height"))).cast("int")
-    return images.withColumn("short_edge", F.greatest(F.least("width", "height"), edge)).withColumn("search_eligible", F.col("short_edge") >= minimum)
+    """Adds ``short_edge``, the larger of the file's short side and that of the box as displayed, and
+    whether it suffices for search.  A file without width or height counts 0; a zero box is not displayed."""
+    native = F.when((F.col("width") != 0) & (F.col("height") != 0), F.least("width", "height")).otherwise(0)
+    shown = F.floor(geo.to_pixels(F.least(F.abs(F.col("x1") - F.col("x0")), F.abs(F.col("y1") - F.col("y0")))))
+    edge = F.greatest(F.coalesce(native, F.lit(0)), F.when(geo.is_zero(geo.box()), 0).otherwise(shown)).cast("int")
+    return images.withColumn("short_edge", edge).withColumn("search_eligible", F.col("short_edge") >= minimum)
 
 
 def hash_dedup(images: DataFrame) -> DataFrame:
-    """Per page and hash the largest image stays, the first of equals; adds is_duplicate."""
+    """Per page and hash the image of most pixels stays, the first of equals; adds is_duplicate.
+    Images without a hash are nobody's duplicates."""
     w = Window.partitionBy("page", "hash").orderBy(F.desc(F.col("width") * F.col("height")), "pos")
-    return images.withColumn("is_duplicate", F.row_number().over(w) > 1)
+    hashed = F.coalesce("hash", F.lit("")) != ""
+    return images.withColumn("is_duplicate", hashed & (F.row_number().over(w) > 1))
 
 
 def deliverable(images: DataFrame) -> DataFrame:
@@ -58,24 +67,46 @@ def drop_containers(boxes: DataFrame, limit: float = 0.8) -> DataFrame:
     return a.join(b, on, "left_anti")
 
 
-def overlap_dedup(boxes: DataFrame, limit: float = 0.7) -> DataFrame:
-    """Greedy: larger boxes first, a box goes if one that stayed covers over ``limit`` of the smaller
-    of both.  A fold over each page's boxes."""
-    cols = ("pos", "x0", "y0", "x1", "y1")
-    entry = F.struct((-geo.area(geo.box())).alias("k"), *[F.col(c) for c in cols])
-    grouped = boxes.groupBy("page").agg(F.sort_array(F.collect_list(entry)).alias("b"))
-    kind = grouped.schema["b"].dataType.simpleString()
+def overlap_dedup(images: DataFrame, limit: float = 0.7) -> DataFrame:
+    """``pos`` of the images of each page that others replace: in page order, each image that is still
+    there is held against the later ones that are; of two that share over ``limit`` of the smaller box
+    the one of fewer pixels goes, the later of equals.  Each step depends on those before, so a fold
+    over one page's images."""
+    cols = ("pos", "x0", "y0", "x1", "y1", "width", "height")
+    grouped = images.groupBy("page").agg(F.sort_array(F.collect_list(F.struct(*cols))).alias("b"))
     of = lambda s: geo.Box(s["x0"], s["y0"], s["x1"], s["y1"])
-    kept = F.aggregate("b", F.array().cast(kind), lambda keep, x: F.when(F.exists(keep, lambda y: geo.overlap_of_smaller(of(x), of(y)) > limit), keep).otherwise(F.concat(keep, F.array(x))))
-    return grouped.select("page", F.inline(kept)).select("page", *cols)
+    pixels = lambda s: s["width"].cast("long") * s["height"]
+    entry = lambda i: F.get(F.col("b"), i)
+
+    def step(gone: Column, i: Column) -> Column:
+        me = entry(i)
+        near = lambda j: (j > i) & ~F.get(gone, j) & (geo.overlap_of_smaller(of(me), of(entry(j))) > limit)
+        beaten = F.exists(F.sequence(F.lit(0), F.size("b") - 1), lambda j: near(j) & (pixels(entry(j)) > pixels(me)))
+        after = F.transform(gone, lambda g, j: g | (near(j) & (pixels(entry(j)) <= pixels(me))) | ((j == i) & beaten))
+        return F.when(F.get(gone, i), gone).otherwise(after)
+
+    none = F.transform("b", lambda _: F.lit(False))
+    gone = F.aggregate(F.sequence(F.lit(0), F.size("b") - 1), none, step)
+    lost = F.filter(F.transform(gone, lambda g, i: F.when(g, entry(i)["pos"])), lambda v: v.isNotNull())
+    return grouped.select("page", F.explode(lost).alias("pos"))
+
+
+def deduplicated(images: DataFrame) -> DataFrame:
+    """All images with metrics, ``is_duplicate`` and ``search_eligible`` after both deduplications; only
+    images fit for search take part in the second."""
+    first = hash_dedup(image_metrics(images)).withColumn("search_eligible", F.col("search_eligible") & ~F.col("is_duplicate"))
+    lost = overlap_dedup(first.where("search_eligible")).withColumn("__lost", F.lit(True))
+    out = first.join(lost, ["page", "pos"], "left").withColumn("__lost", F.coalesce("__lost", F.lit(False)))
+    return out.withColumns({"is_duplicate": F.col("is_duplicate") | F.col("__lost"), "search_eligible": F.col("search_eligible") & ~F.col("__lost")}).drop("__lost")
 
 
 def tile_components(boxes: DataFrame, gap: int = 5, gate: int = 1) -> DataFrame:
     """Components of a page's tiles that lie within ``gap`` of each other on both axes, as the least
     ``pos``; pages of fewer than ``gate`` boxes are left out.
 
-    Min-label propagation with pointer jumping over each page's adjacency, as folds of the page's own
-    arrays: pages are small and independent, so nothing is shuffled per round.
+    Labels are merged over the page's adjacent pairs, as a fold of the page's own arrays: pages are
+    independent, nothing is shuffled per round, and only a pair that joins two components costs more
+    than a comparison.
     """
     cols = ("pos", "x0", "y0", "x1", "y1")
     grouped = boxes.groupBy("page").agg(F.sort_array(F.collect_list(F.struct(*cols))).alias("b")).where(F.size("b") >= gate)
@@ -85,16 +116,51 @@ def tile_components(boxes: DataFrame, gap: int = 5, gate: int = 1) -> DataFrame:
         dy = F.greatest(p["y0"], q["y0"]) - F.least(p["y1"], q["y1"])
         return (dx < gap) & (dy < gap)
 
-    neighbours = F.transform("b", lambda p: F.filter(F.transform("b", lambda q, j: F.when(near(p, q), j)), lambda j: j.isNotNull()))
-    own = F.transform("b", lambda _, i: i)
-    spread = lambda labels: F.transform("adj", lambda js: F.array_min(F.transform(js, lambda j: F.get(labels, j))))
-    jump = lambda labels: F.transform(labels, lambda v: F.get(labels, v))
-    # As many rounds as the longest page can need: each at least spreads labels by one step.
-    steps = F.sequence(F.lit(1), F.size("b"))
-    labels = F.aggregate(steps, F.col("own"), lambda acc, _: jump(spread(acc)))
-    found = grouped.withColumn("adj", neighbours).withColumn("own", own).withColumn("label", labels)
-    rows = found.select("page", F.posexplode("b").alias("i", "e"), "b", "label")
-    return rows.select("page", F.col("e.pos").alias("pos"), F.get(F.col("b"), F.get("label", F.col("i")))["pos"].alias("component"))
+    later = lambda p, i: F.filter(F.transform("b", lambda q, j: F.when((j > i) & near(p, q), j)), lambda j: j.isNotNull())
+    adjacent = F.flatten(F.transform("b", lambda p, i: F.transform(later(p, i), lambda j: F.struct(i.alias("i"), j.alias("j")))))
+
+    def merge(labels: Column, pair: Column) -> Column:
+        a, b = F.get(labels, pair["i"]), F.get(labels, pair["j"])
+        joined = F.transform(labels, lambda v: F.when(v == F.greatest(a, b), F.least(a, b)).otherwise(v))
+        return F.when(a == b, labels).otherwise(joined)
+
+    labels = F.aggregate(adjacent, F.transform("b", lambda _, i: i), merge)
+    rows = grouped.select("page", "b", F.posexplode(labels).alias("i", "label"))
+    return rows.select("page", F.get("b", F.col("i"))["pos"].alias("pos"), F.get("b", F.col("label"))["pos"].alias("component"))
+
+
+def tile_pages(images: DataFrame, gate: int = 30, small: float = 0.7, many: int = 50, alike: float = 0.5) -> DataFrame:
+    """``page`` of the pages made of tiles: ``gate`` images at least, of which a share of ``small`` has a
+    short side below 200; or over ``many``, of which a share of ``alike`` has one and the same size."""
+    tiny = F.count_if((F.least("width", "height") < 200) & (F.col("width") > 0))
+    sized = (F.col("width") != 0) & (F.col("height") != 0)
+    sizes = images.groupBy("page", F.when(sized, F.struct("width", "height")).alias("dims")).agg(F.count("*").alias("n"), tiny.alias("tiny"))
+    known = F.col("dims").isNotNull()
+    g = sizes.groupBy("page").agg(F.sum("n").alias("n"), F.sum("tiny").alias("tiny"), F.max(F.when(known, F.col("n"))).alias("most"), F.sum(F.when(known, F.col("n"))).alias("sized"))
+    uniform = (F.col("n") > many) & (F.col("most") >= alike * F.col("sized"))
+    return g.where((F.col("n") >= gate) & ((F.col("tiny") >= small * F.col("n")) | F.coalesce(uniform, F.lit(False)))).select("page")
+
+
+def merge_tiles(images: DataFrame, gap: int = 5, minimum: int = 200) -> DataFrame:
+    """``images`` (as from :func:`deduplicated`) with the tiles of tile pages joined: every component of
+    several adjacent tiles gives a composite image of their union box, numbered from 0 within the page
+    by its first tile; the tiles themselves, single ones too, are marked ``is_fragmented`` and are no
+    longer fit for search.  Composites come after the page's images (``pos``)."""
+    tiled = images.join(tile_pages(images), "page", "left_semi")
+    parts = tiled.join(tile_components(tiled, gap), ["page", "pos"])
+    scale = lambda d: d * 150 / 72
+    union = union_boxes(parts, "page", "component").where("n > 1")
+    w = Window.partitionBy("page")
+    union = union.withColumn("k", F.row_number().over(w.orderBy("component")) - 1)
+    wide, high = F.floor(scale(F.col("x1") - F.col("x0"))).cast("int"), F.floor(scale(F.col("y1") - F.col("y0"))).cast("int")
+    made = union.select(
+        "page", (F.lit(1_000_000) + F.col("k")).cast("int").alias("pos"), F.concat(F.lit("p"), F.col("page").cast("string"), F.lit("_composite_"), F.col("k").cast("string")).alias("image"),
+        "x0", "y0", "x1", "y1", wide.alias("width"), high.alias("height"), F.lit("").alias("hash"), F.lit("unknown").alias("role"), F.least(wide, high).alias("short_edge"),
+        (F.least(wide, high) >= minimum).alias("search_eligible"), F.lit(False).alias("is_duplicate"), F.lit(False).alias("is_fragmented"),
+    )
+    flagged = images.join(parts.select("page", "pos", F.lit(True).alias("__f")), ["page", "pos"], "left").withColumn("is_fragmented", F.coalesce("__f", F.lit(False)))
+    flagged = flagged.withColumn("search_eligible", F.col("search_eligible") & ~F.col("is_fragmented"))
+    return flagged.select(*made.columns).unionByName(made)
 
 
 def composites(boxes: DataFrame, components: DataFrame) -> DataFrame:
@@ -152,8 +218,8 @@ def _scored(p: DataFrame) -> DataFrame:
     """Adds the confidence of near images (within the layout's limit) and of far ones (thrice that)."""
     conf = F.greatest(F.lit(0.01), 1 - F.col("d") / F.col("limit"))
     conf = F.when(F.col("inside") > 0.5, F.least(F.lit(1.0), conf + 0.3)).otherwise(conf)
-    conf = stable_round(F.least(F.lit(1.0), conf + 0.15 * F.col("i_area") / F.greatest(F.lit(1), F.col("max_area"))), 3)
-    weak = stable_round(0.5 * F.greatest(F.lit(0.01), 1 - F.col("d") / (3 * F.col("limit"))), 3)
+    conf = exact_round(F.least(F.lit(1.0), conf + F.col("i_area") / F.greatest(F.lit(1), F.col("max_area")) * 0.15), 3)
+    weak = exact_round(F.greatest(F.lit(0.01), 1 - F.col("d") / (F.col("limit") * 3)) * 0.5, 3)
     near = F.coalesce(F.col("d") <= F.col("limit"), F.lit(False))
     far = F.coalesce(F.col("d") <= 3 * F.col("limit"), F.lit(False)) & ~near
     return p.withColumns({"near": near, "far": far, "confidence": F.when(near, conf).otherwise(weak)})
@@ -189,26 +255,24 @@ def positional(skus: DataFrame, images: DataFrame) -> DataFrame:
         "page", "pos", "sku", "product",
         F.coalesce("image", "largest").alias("image"),
         F.when(own, 0.55).when(F.col("largest").isNotNull(), 0.35).otherwise(0.0).alias("confidence"),
-        F.lit("positional").alias("method"),
+        F.when(own, "zero_bbox_positional").when(F.col("largest").isNotNull(), "zero_bbox_largest").otherwise(UNBOUND).alias("method"),
         F.when(F.col("largest").isNull(), False).when(own, F.col("total") != F.col("n_skus")).otherwise(True).alias("ambiguous"),
     )
 
 
-def inherit(bound: DataFrame, apart: Column | None = None) -> DataFrame:
+def inherit(bound: DataFrame) -> DataFrame:
     """Records of a product without an image take the best image of the product, at 0.9 of its
-    confidence; rows for which ``apart`` holds are left as they are."""
+    confidence."""
     w = Window.partitionBy("page", "product").orderBy(F.col("image").isNull(), F.desc("confidence"), "pos").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    heir = F.col("image").isNull() & F.col("product").isNotNull()
-    if apart is not None:
-        heir = heir & ~apart
+    heir = F.col("image").isNull() & (F.coalesce("product", F.lit("")) != "")
     out = bound.withColumn("b_image", F.first("image").over(w)).withColumn("b_conf", F.first("confidence").over(w))
     takes = heir & F.col("b_image").isNotNull()
     return out.select(
         "page", "pos", "sku", "product",
         F.when(takes, F.col("b_image")).otherwise(F.col("image")).alias("image"),
-        F.when(takes, stable_round(F.col("b_conf") * 0.9, 3)).otherwise(F.col("confidence")).alias("confidence"),
+        F.when(takes, F.col("b_conf") * 0.9).otherwise(F.col("confidence")).alias("confidence"),
         F.when(takes, "product_group").otherwise(F.col("method")).alias("method"),
-        "ambiguous",
+        (F.col("ambiguous") & ~takes).alias("ambiguous"),
     )
 
 
@@ -245,42 +309,42 @@ def bind(skus: DataFrame, images: DataFrame) -> DataFrame:
     order = own.orderBy(key, "i_pos")
     p = p.withColumns({"rank": F.row_number().over(order), "next": F.lead("confidence").over(order)}).where((F.col("rank") == 1) | at("single_sku"))
     one, two, nothing = F.col("tier") == 1, F.col("tier") == 2, F.col("tier") == 9
-    close = two & F.coalesce(F.round(F.col("confidence") - F.col("next"), 3) < GAP, F.lit(False))
+    close = two & F.coalesce(F.col("confidence") - F.col("next") < GAP, F.lit(False))
     left_over = F.col("place") > F.col("n_images")
     conf = (
         F.when(nothing, 0.0).when(at("single_sku"), 0.7).when(at("single_image"), 0.6).when(at("positional"), F.when(left_over, 0.35).otherwise(0.55)).when(at("largest"), 0.4)
-        .when(one, 0.6).when(close, stable_round(F.col("confidence") * 0.7, 3)).otherwise(F.col("confidence"))
+        .when(one, 0.6).when(close, exact_round(F.col("confidence") * 0.7, 3)).otherwise(F.col("confidence"))
     )
     way = (
-        F.when(at("positional"), "positional").when(nothing, "none").when(at("single_sku"), "single_sku_all_images").when(at("single_image"), "single_image_page")
-        .when(at("largest"), "largest_image").when(one, "containment").when(two, F.col("way")).otherwise("fallback_nearest")
+        F.when(nothing, UNBOUND).when(at("positional"), F.when(left_over, "zero_bbox_largest").otherwise("zero_bbox_positional")).when(at("single_sku"), "single_sku_all_images")
+        .when(at("single_image"), "single_image_page").when(at("largest"), "zero_bbox_largest").when(one, "containment").when(two, F.col("way")).otherwise("fallback_nearest")
     )
     unsure = F.when(nothing, False).when(at("positional"), left_over | (F.col("n_images") != F.col("n_skus"))).otherwise(at("largest") | close)
     found = p.select("page", "pos", "sku", "product", F.when(~nothing, F.col("image")).alias("image"), conf.alias("confidence"), way.alias("method"), unsure.alias("ambiguous"))
-    return inherit(found, F.col("method").isin("single_sku_all_images", "positional"))
+    # Only pages bound by distance can have records without an image beside records with one.
+    return inherit(found)
 
 
 def anchors(blocks: DataFrame, images: DataFrame, limit: float = 300.0) -> DataFrame:
-    """Each text block goes to its nearest image; blocks below an image they overlap sideways count
-    as much nearer.  Beyond ``limit`` a block is an orphan (null image)."""
+    """Each text block goes to its nearest image, the first of equally near ones; blocks below an image's
+    top that it overlaps sideways count as much nearer.  Beyond ``limit`` a block is an orphan (null image)."""
     b = blocks.select("page", F.col("pos").alias("block"), *[F.col(c).alias(f"b_{c}") for c in ("x0", "y0", "x1", "y1")])
     i = images.select("page", "image", F.col("pos").alias("i_pos"), *[F.col(c).alias(f"i_{c}") for c in ("x0", "y0", "x1", "y1")])
     bb, ib = geo.box("b_"), geo.box("i_")
     sideways = F.greatest(F.lit(0), F.least(bb.x1, ib.x1) - F.greatest(bb.x0, ib.x0)) / F.greatest(F.lit(1), bb.x1 - bb.x0)
     d = geo.distance(bb, ib)
-    score = F.round(F.when((sideways > 0.3) & (bb.y0 >= ib.y0), d * 0.3).otherwise(d), 4)
-    scored = b.join(i, "page", "left").withColumn("score", score)
+    scored = b.join(i, "page", "left").withColumn("score", F.when((sideways > 0.3) & (bb.y0 >= ib.y0), d * 0.3).otherwise(d))
     first = F.row_number().over(Window.partitionBy("page", "block").orderBy(F.col("score").asc_nulls_last(), "i_pos"))
     best = scored.withColumn("n", first).where("n = 1")
-    return best.select("page", "block", F.when(F.col("score") <= limit, F.col("image")).alias("image"), "score")
+    near = F.col("score") <= limit
+    return best.select("page", "block", F.when(near, F.col("image")).alias("image"), F.when(near, F.col("i_pos")).alias("image_pos"), F.round("score", 4).alias("score"))
 
 
-def gap_groups(blocks: DataFrame, gap: int = 30) -> DataFrame:
+def gap_groups(blocks: DataFrame, gap: int = 30, order: tuple[str, ...] = ("pos",)) -> DataFrame:
     """Blocks of a page in order: a new group begins where the vertical gap to the one before exceeds
-    ``gap``."""
-    w = Window.partitionBy("page").orderBy("pos")
-    before, top = F.lag("y1").over(w), F.lag("y0").over(w)
-    jump = F.when((F.col("y0") > top) & (F.col("y0") - before > gap), 1).otherwise(0)
+    ``gap``.  Adds the group's number."""
+    w = Window.partitionBy("page").orderBy(*order)
+    jump = F.when(F.col("y0") - F.lag("y1").over(w) > gap, 1).otherwise(0)
     return blocks.withColumn("__j", jump).withColumn("grp", F.sum("__j").over(w)).drop("__j")
 
 
@@ -291,6 +355,30 @@ def union_boxes(grouped: DataFrame, *keys: str) -> DataFrame:
 
 
 def refine_boxes(skus: DataFrame, blocks: DataFrame) -> DataFrame:
-    """The union of the boxes of those text blocks of the page that contain a record's keyword."""
-    joined = skus.select("page", "sku", "keyword").join(blocks, "page").where((F.length("keyword") > 0) & F.contains(F.col("content"), F.col("keyword")))
+    """The union of the boxes of those text blocks of the page that contain one of a record's
+    ``keywords``; records without such a block have no row."""
+    words = skus.select("page", "sku", F.filter("keywords", lambda k: F.length(k) > 0).alias("__k")).where(F.size("__k") > 0)
+    joined = words.join(blocks, "page").where(F.exists("__k", lambda k: F.contains(F.col("content"), k)))
     return union_boxes(joined, "page", "sku")
+
+
+def model_rebind(skus: DataFrame, images: DataFrame, answers: DataFrame, bindings: DataFrame, batch: int = 15, share: float = 0.5) -> DataFrame:
+    """``bindings`` with those of a model's answers instead, where it gave enough of them.
+
+    Records of a page (by ``pos``) are asked for in batches; ``answers`` (page, batch from 0, text) hold
+    pairs of indices into the batch's records and the page's ``images`` (by ``pos``).  A batch counts if it
+    binds ``share`` of its records at least, and a page of several batches if all of them together do.
+    Records that the model left out keep their bindings.
+    """
+    page = Window.partitionBy("page")
+    s = skus.select("page", "pos", "sku", "product", (F.row_number().over(page.orderBy("pos")) - 1).alias("__i"), F.count("*").over(page).alias("__n"))
+    s = s.withColumns({"batch": F.floor(F.col("__i") / batch).cast("int"), "sku_index": F.col("__i") % batch})
+    s = s.withColumn("__held", F.count("*").over(Window.partitionBy("page", "batch")))
+    i = images.select("page", "image", (F.row_number().over(page.orderBy("pos")) - 1).alias("image_index"))
+    said = answers.select("page", "batch", F.posexplode(jsonx.index_pairs(F.col("text"))).alias("__at", "__p")).select("page", "batch", "__at", "__p.*")
+    found = said.join(s, ["page", "batch", "sku_index"]).join(i, ["page", "image_index"])
+    found = found.withColumn("__got", F.count("*").over(Window.partitionBy("page", "batch"))).where(F.col("__got") >= share * F.col("__held"))
+    found = found.withColumn("__all", F.count("*").over(page)).where((F.col("__n") <= batch) | (F.col("__all") >= share * F.col("__n")))
+    new = found.select("page", "pos", "sku", "product", "image", F.lit(0.85).alias("confidence"), F.lit("vlm_rebind").alias("method"), F.lit(False).alias("ambiguous"))
+    kept = bindings.join(new.select("page", "sku").distinct(), ["page", "sku"], "left_anti")
+    return new.unionByName(kept.select(*new.columns))

@@ -31,3 +31,22 @@ def same_file_jobs(jobs: DataFrame) -> DataFrame:
     live = jobs.where(~F.col("status").isin("CANCELLED", "REJECTED"))
     many = live.groupBy("merchant", "file_hash").agg(F.count("*").alias("n"), F.min("job").alias("first")).where("n > 1")
     return live.join(many, ["merchant", "file_hash"]).where("job > first").select("job", "merchant", "file_hash", "first")
+
+
+def with_cached(jobs: DataFrame, evaluations: DataFrame) -> DataFrame:
+    """Cache-aside by file and configuration: a stored evaluation (file_hash, config_version, cached)
+    wins over a fresh one; ``hit`` tells.  Jobs without a version have the default one."""
+    keyed = jobs.withColumn("config_version", F.coalesce("config_version", F.lit("default")))
+    joined = keyed.join(evaluations.select("file_hash", "config_version", "cached"), ["file_hash", "config_version"], "left")
+    return joined.select("job", F.col("cached").isNotNull().alias("hit"), F.coalesce("cached", "score").alias("score"))
+
+
+def degraded(jobs: DataFrame) -> DataFrame:
+    """Outcome and route of jobs (score, blank_rate, sampled, rendered, failure): what cannot be
+    evaluated goes to people, with the first reason that applies."""
+    reason = (
+        F.when(F.col("blank_rate") == 1.0, "prescan_reject").when(F.col("sampled") == 0, "no_pages_to_sample").when(F.col("rendered") == 0, "screenshot_render_failed")
+        .when(F.col("failure").isNotNull(), F.concat(F.lit("eval_failed:"), "failure")).when(F.col("score").isNull(), "eval_failed:no_score").otherwise("ok")
+    )
+    out = jobs.withColumn("outcome", reason)
+    return out.select("job", "outcome", F.when(F.col("outcome") == "ok", scoring.route(F.col("score"), F.lit(False))).otherwise("HUMAN_ALL").alias("route"))

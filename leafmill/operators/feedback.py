@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import scoring
+from .relational import numbered
 
 
 def confusion(notes: DataFrame) -> DataFrame:
@@ -98,9 +99,27 @@ def promotions(added: DataFrame, existing: DataFrame, least: int = 20) -> DataFr
     return n.join(existing, ["category", "attr"], "left_anti")
 
 
-def consensus(examples: DataFrame, least: float = 0.85) -> DataFrame:
-    """Examples good enough, in order per type: the second confirms itself and the one before."""
-    quality = F.round(F.col("accuracy") * F.when(F.col("reworked"), 0.7).otherwise(1.0), 4)
-    good = examples.withColumn("quality", quality).where(F.col("quality") >= least)
-    w = Window.partitionBy("type")
-    return good.withColumn("place", F.row_number().over(w.orderBy("annotation"))).withColumn("confirmed", F.count("*").over(w) >= 2)
+def consensus(examples: DataFrame, least: float = 0.85, unknown: float = 0.6) -> DataFrame:
+    """Examples good enough, numbered per type and category in order of time (then annotation): one
+    waits until the next confirms both, and the count starts anew, so the last of an odd number waits
+    on.  Annotators without an accuracy have ``unknown``; rework costs three tenths; no category is
+    ``default``.  Numbered by hours, so no task holds a whole category."""
+    quality = F.coalesce("accuracy", F.lit(unknown)) * F.when(F.col("reworked"), 0.7).otherwise(1.0)
+    good = examples.withColumn("quality", quality).where(F.col("quality") >= least).withColumn("category", F.coalesce("category", F.lit("default")))
+    placed = numbered(good, ["type", "category"], [F.col("annotated_at"), F.col("annotation")], F.date_trunc("hour", "annotated_at"), "place", "__of")
+    waits = (F.col("place") == F.col("__of")) & (F.col("__of") % 2 == 1)
+    return placed.withColumn("confirmed", ~waits).withColumn("quality", F.round("quality", 4)).drop("__of")
+
+
+def shadow_comparison(current: DataFrame, shadow: DataFrame) -> DataFrame:
+    """One row on two runs over the same pages (page, page_type, n_skus, confidence): the share of equal
+    classes, the deviation of the number of records, the difference of mean confidence, and which of
+    them raises an alert.  Pages that only one run has are left out."""
+    other = shadow.select("page", *[F.col(c).alias(f"s_{c}") for c in ("page_type", "n_skus", "confidence")])
+    g = current.join(other, "page").agg(
+        F.count("*").alias("n"), F.round(F.avg((F.col("page_type").eqNullSafe(F.col("s_page_type"))).cast("int")), 4).alias("agreement"),
+        F.round(F.abs(F.sum("s_n_skus") - F.sum("n_skus")) / F.greatest(F.lit(1), F.sum("n_skus")), 4).alias("sku_deviation"),
+        F.round(F.abs(F.avg("s_confidence") - F.avg("confidence")), 4).alias("confidence_gap"),
+    )
+    alerts = F.array(F.when(F.col("agreement") < 0.9, "classes"), F.when(F.col("sku_deviation") > 0.2, "records"), F.when(F.col("confidence_gap") > 0.1, "confidence"))
+    return g.withColumn("alerts", F.array_join(F.array_compact(alerts), ","))

@@ -9,9 +9,9 @@ from pyspark.sql.window import Window
 from ..functions import geometry as geo
 from ..functions import hashing
 from ..functions import text as tx
-from ..functions.scoring import stable_round
+from ..functions.scoring import exact_round, stable_round
 
-KEY = ("product", "product_name", "model_number", "size", "color")
+KEY = ("product", "product_name", "model_number", "size", "color", "material")
 
 
 def truthy(c: Column) -> Column:
@@ -21,25 +21,35 @@ def truthy(c: Column) -> Column:
 def rule_attributes(text: Column) -> dict[str, Column]:
     """Name, price and model of a text block, by patterns."""
     return {
-        "product_name": F.substring(text, 1, 100),
+        "product_name": F.nullif(F.substring(text, 1, 100), F.lit("")),
         "price": tx.first_match(text, tx.PRICE_VALUE),
         "model_number": tx.first_match(text, tx.MODEL_VALUE),
     }
 
 
-def table_records(tables: DataFrame) -> DataFrame:
-    """(page, row, attributes, confidence) of tables with ``rows``: the first row is the header."""
-    rows = tables.where(F.size("rows") >= 2).select("page", F.get("rows", F.lit(0)).alias("header"), F.posexplode(F.slice("rows", 2, 10**6)).alias("row", "cells"))
-    records = rows.select("page", (F.col("row") + 1).alias("row"), tx.header_records(F.col("header"), F.col("cells")).alias("attributes"))
-    return records.where(F.size("attributes") > 0).withColumn("confidence", F.lit(0.85))
+def stripped_cells(rows: Column) -> Column:
+    """Table rows without white space around their cells; null cells are empty."""
+    return F.transform(rows, lambda r: F.transform(r, lambda c: F.coalesce(tx.stripped(c), F.lit(""))))
 
 
-def validity(mode: str = "strict") -> Column:
-    """valid / invalid by the number of key attributes present."""
+def table_records(tables: DataFrame, *keep: str, confidence: float = 0.85, strip: bool = True) -> DataFrame:
+    """(page, row, attributes, confidence) of tables with ``rows``, and the tables' columns ``keep``:
+    the first row is the header."""
+    rows = tables.where(F.size("rows") >= 2).select("page", *keep, F.get("rows", F.lit(0)).alias("__h"), F.posexplode(F.slice("rows", F.lit(2), F.size("rows"))).alias("row", "__c"))
+    found = rows.select("page", *keep, (F.col("row") + 1).alias("row"), tx.header_records(F.col("__h"), F.col("__c"), strip).alias("attributes"))
+    return found.where(F.size("attributes") > 0).withColumn("confidence", F.lit(confidence))
+
+
+def validity(mode: str = "strict", others: tuple[str, ...] = ()) -> Column:
+    """valid / invalid: two of name, model, size and price must be there; otherwise than ``strict``, one
+    attribute of any kind, the columns ``others`` among them."""
+    core = [truthy(F.col(c)) for c in ("product_name", "model_number", "size", "price")]
     if mode != "strict":
-        return F.when(truthy(F.col("product_name")) | truthy(F.col("model_number")) | truthy(F.col("size")) | truthy(F.col("price")), "valid").otherwise("invalid")
-    n = sum((truthy(F.col(c)).cast("int") for c in ("product_name", "model_number", "size", "price")), F.lit(0))
-    return F.when(n >= 2, "valid").otherwise("invalid")
+        some = F.lit(False)
+        for c in [*core, *(truthy(F.col(o)) for o in others)]:
+            some = some | c
+        return F.when(some, "valid").otherwise("invalid")
+    return F.when(sum((c.cast("int") for c in core), F.lit(0)) >= 2, "valid").otherwise("invalid")
 
 
 def dedup_keep_best(skus: DataFrame) -> DataFrame:
@@ -54,54 +64,66 @@ def dedup_keep_best(skus: DataFrame) -> DataFrame:
     return skus.withColumn("slot", F.min("pos").over(w)).withColumn("__rn", best).where("__rn = 1").drop("__rn")
 
 
-def assign_ids(skus: DataFrame, height: float = 1600.0, prefix: str = "abc12345") -> DataFrame:
+def assign_ids(skus: DataFrame, height: Column, prefix: Column, page_no: Column) -> DataFrame:
     """Numbers the records of a page from top left (coordinates rounded to hundredths of the page's
-    height) and renumbers products by first appearance."""
-    y, x = F.round(F.col("y0") / height, 2), F.round(F.col("x0") / height, 2)
+    height) and renumbers products by first appearance: ``number``, ``sku_id`` and ``product_no``."""
+    tall = F.greatest(F.lit(1.0), height)
+    y, x = exact_round(F.col("y0") / tall, 2), exact_round(F.col("x0") / tall, 2)
     w = Window.partitionBy("page")
-    n = skus.withColumn("number", F.row_number().over(w.orderBy(y, x, "pos")))
-    n = n.withColumn("__first", F.when(F.col("product").isNotNull(), F.min("number").over(Window.partitionBy("page", "product"))))
+    grouped = truthy(F.col("product"))
+    n = skus.withColumns({"__y": y, "__x": x}).withColumn("number", F.row_number().over(w.orderBy("__y", "__x", "pos")))
+    n = n.withColumn("__first", F.when(grouped, F.min("number").over(Window.partitionBy("page", "product"))))
     rank = F.dense_rank().over(w.orderBy(F.col("__first").asc_nulls_last()))
-    product = F.when(F.col("product").isNotNull(), F.concat(F.lit("P"), rank.cast("string")))
-    return n.withColumn("product_no", product).withColumn("sku_id", hashing.sku_id(F.lit(prefix), F.col("page"), F.col("number"))).drop("__first")
+    product = F.when(grouped, hashing.product_id(prefix, page_no, rank))
+    return n.withColumn("product_no", product).withColumn("sku_id", hashing.sku_id(prefix, page_no, F.col("number"))).drop("__first", "__y", "__x")
 
 
-def validate(skus: DataFrame, bound: DataFrame) -> DataFrame:
-    """Issues (page, rule, severity, sku) of rules 2 to 4: records without image, repeated models, low
-    confidence.  ``bound`` holds the skus that have an image."""
-    flagged = skus.join(bound.select("sku", F.lit(True).alias("__bound")).distinct(), "sku", "left")
+def validate(skus: DataFrame, bound: DataFrame, pages: DataFrame) -> DataFrame:
+    """Issues (page, rule, severity, sku) of the four rules: pages of other types than D without a record
+    (an error); records without an image, but for pages of type A; models that an earlier record of the
+    page has; low confidence.  ``bound`` holds (page, sku) with an image, ``pages`` (page, page_type)."""
+    has = bound.select("page", "sku").distinct().withColumn("__bound", F.lit(True))
+    typed = skus.join(has, ["page", "sku"], "left").join(pages.select("page", "page_type"), "page", "left")
     seen = F.row_number().over(Window.partitionBy("page", "model_number").orderBy("pos"))
     rules = F.array(
-        F.when(F.col("__bound").isNull(), "sku_without_image"),
+        F.when(F.col("__bound").isNull() & ~F.col("page_type").eqNullSafe("A"), "sku_without_image"),
         F.when(truthy(F.col("model_number")) & (F.col("__n") > 1), "duplicate_model"),
         F.when(F.col("confidence") < 0.5, "low_confidence"),
     )
-    issues = flagged.withColumn("__n", seen).select("page", F.explode(F.array_compact(rules)).alias("rule"), "sku")
-    return issues.withColumn("severity", F.lit("warning"))
+    issues = typed.withColumn("__n", seen).select("page", F.explode(F.array_compact(rules)).alias("rule"), "sku")
+    return issues.withColumn("severity", F.lit("warning")).unionByName(empty_pages(pages, skus).withColumn("sku", F.lit(None).cast("string")))
 
 
 def empty_pages(pages: DataFrame, skus: DataFrame) -> DataFrame:
     """Rule 1: pages of other types than D without a record."""
-    return pages.where("page_type <> 'D'").join(skus.select("page").distinct(), "page", "left_anti").select(
+    return pages.where("upper(page_type) <> 'D'").join(skus.select("page").distinct(), "page", "left_anti").select(
         "page", F.lit("no_skus_found").alias("rule"), F.lit("error").alias("severity")
     )
 
 
-def page_confidence(skus: DataFrame, bindings: DataFrame, classify: Column, retried: Column | None = None) -> DataFrame:
-    """Per page: the geometric mean of class, extraction and binding confidence."""
+def page_confidence(skus: DataFrame, bindings: DataFrame, pages: DataFrame) -> DataFrame:
+    """Per page of ``pages`` (page, page_type, classify_confidence): the geometric mean of class,
+    extraction and binding confidence, less what a retry (``retried``), extraction in one step
+    (``single_stage``) and errors (``has_errors``) cost, boolean columns it may have.  Pages without
+    records are sure of that if they are of type D; a binding is never in doubt there."""
     spread = lambda c: 0.3 * F.min(c) + 0.7 * F.avg(c)
-    s = skus.groupBy("page").agg(stable_round(spread("confidence"), 6).alias("c_extract"), F.count("*").alias("n_skus"))
-    b = bindings.groupBy("page").agg(
-        stable_round(spread("confidence"), 6).alias("c_raw"), F.round(F.avg(F.col("ambiguous").cast("int")), 6).alias("share"), F.count_distinct("sku").alias("n_bound")
+    s = skus.groupBy("page").agg(spread("confidence").alias("s_raw"), F.count("*").alias("n_skus"))
+    b = bindings.groupBy("page").agg(spread("confidence").alias("b_raw"), F.avg(F.col("ambiguous").cast("int")).alias("share"), F.count_distinct("sku").alias("n_bound"))
+    joined = pages.join(s, "page", "left").join(b, "page", "left").withColumn("n_skus", F.coalesce("n_skus", F.lit(0)))
+    some = F.col("n_skus") > 0
+    bind = F.col("b_raw") * (1 - 0.3 * F.col("share")) * F.least(F.lit(1.0), F.col("n_bound") / F.col("n_skus"))
+    joined = joined.withColumns({
+        "c_extract": F.when(some, F.col("s_raw")).otherwise(F.when(F.col("page_type") == "D", 1.0).otherwise(0.0)),
+        "c_bind": F.when(some, F.coalesce(bind, F.lit(0.0))).otherwise(1.0),
+    })
+    score = F.pow(F.col("classify_confidence") * F.col("c_extract") * F.col("c_bind"), F.lit(1.0 / 3.0))
+    for name, cost in (("retried", 0.9), ("single_stage", 0.95), ("has_errors", 0.8)):
+        if name in pages.columns:
+            score = F.when(F.col(name), score * cost).otherwise(score)
+    joined = joined.withColumn("confidence", exact_round(F.least(F.lit(1.0), F.greatest(F.lit(0.0), score)), 3))
+    return joined.select(
+        "page", "n_skus", stable_round(F.col("c_extract"), 6).alias("c_extract"), stable_round(F.col("c_bind"), 6).alias("c_bind"), "confidence", (F.col("confidence") < 0.6).alias("needs_review")
     )
-    joined = s.join(b, "page", "left")
-    bind = F.col("c_raw") * (1 - 0.3 * F.col("share")) * F.least(F.lit(1.0), F.col("n_bound") / F.col("n_skus"))
-    joined = joined.withColumn("c_bind", stable_round(F.coalesce(bind, F.lit(0.0)), 6))
-    score = F.pow(classify * F.col("c_extract") * F.col("c_bind"), F.lit(1.0) / 3)
-    if retried is not None:
-        score = F.when(retried, score * 0.9).otherwise(score)
-    final = stable_round(F.least(F.lit(1.0), F.greatest(F.lit(0.0), score)), 3)
-    return joined.select("page", "n_skus", "c_extract", "c_bind", final.alias("confidence"), (final < 0.6).alias("needs_review"))
 
 
 def retry_wanted(n_valid: Column, n_images: Column) -> Column:

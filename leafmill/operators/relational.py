@@ -30,8 +30,11 @@ def one_page(df: DataFrame, order: Sequence[Column], page: int, size: int) -> Da
 
 
 def point_lookup(df: DataFrame, key: str, value: object) -> DataFrame:
-    """The row of a key, or none."""
-    return df.where(F.col(key) == value).limit(1)
+    """The one row of a key; an error when there is none or more than one."""
+    found = df.where(F.col(key) == value).limit(2).agg(F.count("*").alias("n"), F.first(F.struct(*df.columns)).alias("row"))
+    wrong = F.raise_error(F.concat(F.lit(f"{key} {value}: rows found: "), F.col("n").cast("string")))
+    kind = df.schema.simpleString()
+    return found.select(F.when(F.col("n") == 1, F.col("row")).otherwise(wrong.cast(kind)).alias("row")).select("row.*")
 
 
 def latest(df: DataFrame, key: Sequence[str], order: Sequence[Column]) -> DataFrame:
@@ -44,6 +47,34 @@ def top_per(df: DataFrame, key: Sequence[str], order: Sequence[Column], k: int,
     return df.withColumn(rank, F.row_number().over(Window.partitionBy(*key).orderBy(*order))).where(F.col(rank) <= k)
 
 
+def _by_slices(df: DataFrame, key: Sequence[str], slice_of: Column, measure: Column) -> DataFrame:
+    """``df`` with ``__slice``, ``__before`` (``measure`` summed over the key's earlier slices) and
+    ``__all`` (over all of them)."""
+    cut = df.withColumn("__slice", slice_of)
+    w = Window.partitionBy(*key)
+    earlier = w.orderBy("__slice").rowsBetween(Window.unboundedPreceding, -1)
+    sums = cut.groupBy(*key, "__slice").agg(measure.alias("__m"))
+    sums = sums.select(*key, "__slice", F.coalesce(F.sum("__m").over(earlier), F.lit(0)).alias("__before"), F.sum("__m").over(w).alias("__all"))
+    return cut.join(sums, [*key, "__slice"])
+
+
+def numbered(df: DataFrame, key: Sequence[str], order: Sequence[Column], slice_of: Column, name: str = "place", total: str | None = None) -> DataFrame:
+    """Row numbers within each key in a total ``order``, and on request the key's number of rows, for
+    keys of any size: only the rows of one slice meet in a task.  Slices must not fall as the order
+    goes on; neither they nor the key columns hold nulls."""
+    got = _by_slices(df, key, slice_of, F.count("*"))
+    own = F.row_number().over(Window.partitionBy(*key, "__slice").orderBy(*order))
+    got = got.withColumn(name, own + F.col("__before"))
+    return (got.withColumn(total, F.col("__all")) if total else got).drop("__slice", "__before", "__all")
+
+
+def running_sum(df: DataFrame, key: Sequence[str], order: Sequence[Column], slice_of: Column, value: Column, name: str) -> DataFrame:
+    """The sum of ``value`` up to each row, for keys of any size, as in :func:`numbered`."""
+    got = _by_slices(df.withColumn(name, value), key, slice_of, F.sum(name))
+    own = Window.partitionBy(*key, "__slice").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    return got.withColumn(name, F.sum(name).over(own) + F.col("__before")).drop("__slice", "__before", "__all")
+
+
 def counts_by(df: DataFrame, *keys: str, name: str = "n") -> DataFrame:
     return df.groupBy(*keys).agg(F.count("*").alias(name))
 
@@ -75,6 +106,15 @@ def versions(df: DataFrame, key: Sequence[str], order: Sequence[Column]) -> Data
     return df.withColumn("revision", F.row_number().over(w)).withColumn("is_latest", F.lead(F.lit(1)).over(w).isNull())
 
 
+def replaced_bindings(updates: DataFrame, parent: str, child: str, order: Sequence[Column]) -> DataFrame:
+    """The table of bindings after all ``updates`` in order: every update takes the parent's next
+    revision and becomes its latest; one to a child that the parent had before takes over that row."""
+    w = Window.partitionBy(parent)
+    n = updates.select(parent, child, F.row_number().over(w.orderBy(*order)).alias("n"), F.count("*").over(w).alias("last"))
+    rows = n.groupBy(parent, child).agg(F.max("n").alias("revision"), F.max("last").alias("last"))
+    return rows.select(parent, child, "revision", (F.col("revision") == F.col("last")).alias("is_latest"))
+
+
 def merged_config(new: DataFrame, old: DataFrame, key: str, overrides: Sequence[str]) -> DataFrame:
     """Entries of ``new``; what ``old`` set for the same key wins; entries only in ``old`` go."""
     o = old.select(key, *[F.col(c).alias(f"__{c}") for c in overrides])

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from . import replay
+from .relational import running_sum
+
 
 def failure_rate(df: DataFrame, rows: int = 50, least: int = 10, limit: float = 0.2) -> DataFrame:
     """Failure rate of the last ``rows`` outcomes of each key, and whether it throttles."""
@@ -32,55 +34,59 @@ def streaks(df: DataFrame, least: int = 3) -> DataFrame:
 
 
 def budget_phase(df: DataFrame, budget: float) -> DataFrame:
-    """Running cost per day and the phase it leaves: exhausted at 5 % left, warning at 20 %."""
+    """Running cost per day and the phase it leaves: exhausted at 5 % left, warning at 20 %.  A day is
+    summed by hours, so no task holds a whole day."""
     cents = F.round(F.col("value") * 100).cast("long")
-    spent = F.sum(cents).over(Window.partitionBy(F.to_date("ts")).orderBy("event_id"))
-    left = F.greatest(F.lit(0.0), (budget * 100 - spent) / (budget * 100))
-    out = df.withColumn("spent_cents", spent).withColumn("left", F.round(left, 6))
+    dated = df.withColumn("__day", F.to_date("ts"))
+    spent = running_sum(dated, ["__day"], [F.col("ts"), F.col("event_id")], F.date_trunc("hour", "ts"), cents, "spent_cents").drop("__day")
+    left = F.greatest(F.lit(0.0), (budget * 100 - F.col("spent_cents")) / (budget * 100))
+    out = spent.withColumn("left", F.round(left, 6))
     return out.withColumn("phase", F.when(F.col("left") <= 0.05, "EXHAUSTED").when(F.col("left") <= 0.20, "WARNING").otherwise("NORMAL"))
 
 
+def _timed(df: DataFrame) -> DataFrame:
+    return df.withColumn("at", F.unix_micros(F.col("ts").cast("timestamp")) / 1e6)
+
+
 def breaker(df: DataFrame, failures: int = 5, window_s: float = 60.0, open_s: float = 60.0, successes: int = 2) -> DataFrame:
-    """Circuit breaker state of each key after each outcome.  The state feeds back on itself, so each
-    key is replayed in order; ``ts`` and ``ok`` are the only inputs."""
-
-    def replay(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("event_id")
-        state, recent, since, good, out = "CLOSED", [], 0.0, 0, []
-        for at, ok in zip(pdf["at"], pdf["ok"], strict=True):
-            if state == "OPEN" and at - since > open_s:
-                state, good = "HALF_OPEN", 0
-            if state == "HALF_OPEN" and ok:
-                good += 1
-                if good >= successes:
-                    state, recent = "CLOSED", []
-            elif state == "HALF_OPEN":
-                state, since = "OPEN", at
-            elif state == "CLOSED" and not ok:
-                recent = [t for t in recent if at - t <= window_s] + [at]
-                if len(recent) >= failures:
-                    state, since = "OPEN", at
-            out.append(state)
-        return pd.DataFrame({"event_id": pdf["event_id"], "k": pdf["k"], "state": out})
-
-    timed = df.select("event_id", "k", "ok", (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("at"))
-    return timed.groupBy("k").applyInPandas(replay, "event_id long, k long, state string")
-
-
-def admission(df: DataFrame, limit: int, seconds: float = 60.0) -> DataFrame:
-    """Whether each request is admitted: fewer than ``limit`` admitted ones lie in its trailing window.
-    Refused ones do not count, so each key is replayed in order."""
-
-    def replay(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("event_id")
-        held: list[float] = []
-        out = []
-        for at in pdf["at"]:
-            held = [t for t in held if at - t < seconds]
-            out.append(len(held) < limit)
-            if out[-1]:
-                held.append(at)
-        return pd.DataFrame({"event_id": pdf["event_id"], "k": pdf["k"], "admitted": out})
-
-    timed = df.select("event_id", "k", (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("at"))
-    return timed.groupBy("k").applyInPandas(replay, "event_id long, k long, admitted boolean")
+    """Circuit breaker state of each key after each outcome (:class:`replay.Breaker`)."""
+    return replay.replayed(_timed(df), replay.Breaker, failures=failures, window_s=window_s, open_s=open_s, successes=successes)
+
+
+def admission(df: DataFrame, limit: int, seconds: float = 60.0, tokens: float = 100_000, idle_s: float = 120.0) -> DataFrame:
+    """Whether each request is admitted, and the limit that refuses it (:class:`replay.Admission`).
+    ``df`` may have ``tokens``; without, only requests are limited."""
+    timed = _timed(df)
+    sized = timed.withColumn("tokens", F.coalesce(F.col("tokens").cast("double"), F.lit(0.0)) if "tokens" in df.columns else F.lit(0.0))
+    return replay.replayed(sized, replay.Admission, requests=limit, seconds=seconds, tokens=tokens, idle_s=idle_s)
+
+
+def provider_chain(calls: DataFrame, providers: list[str], retries: int = 2) -> DataFrame:
+    """The provider that answers each call, its attempts and the seconds waited: ``answers`` maps a
+    provider to the attempt (from 0) that succeeds, if any; a provider is tried ``retries`` more times,
+    after 3, 6, 12 ... seconds, before the next one is."""
+    start = F.struct(F.lit(None).cast("string").alias("provider"), F.lit(0).alias("attempts"), F.lit(0).alias("waited"))
+
+    def step(acc, name):  # noqa: ANN001, ANN202
+        at = F.element_at("answers", name)
+        hit = at.isNotNull() & (at <= retries)
+        tries = F.when(hit, at).otherwise(retries)
+        waited = (3 * (F.pow(F.lit(2), tries) - 1)).cast("int")
+        then = F.struct(F.when(hit, name).alias("provider"), (acc["attempts"] + tries + 1).cast("int").alias("attempts"), (acc["waited"] + waited).alias("waited"))
+        return F.when(acc["provider"].isNull(), then).otherwise(acc)
+
+    chain = F.array(*[F.lit(p) for p in providers])
+    return calls.withColumn("__c", F.aggregate(chain, start, step)).select("*", "__c.provider", "__c.attempts", "__c.waited").drop("__c")
+
+
+def push_frames(events: DataFrame, terminal: list[str], seconds: int = 30) -> DataFrame:
+    """Events (session, event_id, ts, event_type) sent to each session in order, up to the first of a
+    terminal type, which closes it.  ``beats``: heartbeats sent before the event, one when the session
+    opens, then one each time ``seconds`` pass without an event."""
+    w = Window.partitionBy("session")
+    ends = F.col("event_type").isin(*terminal)
+    micros = F.unix_micros(F.col("ts").cast("timestamp"))
+    before = F.lag(micros).over(w.orderBy("event_id"))
+    idle = F.greatest(F.lit(0), F.ceil((micros - before) / (seconds * 1_000_000)) - 1)
+    out = events.withColumns({"__stop": F.min(F.when(ends, F.col("event_id"))).over(w), "beats": F.when(before.isNull(), 1).otherwise(idle).cast("long"), "closes": ends})
+    return out.where(F.col("__stop").isNull() | (F.col("event_id") <= F.col("__stop"))).drop("__stop")

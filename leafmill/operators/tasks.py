@@ -85,12 +85,15 @@ def with_status(jobs: DataFrame) -> DataFrame:
     return jobs.withColumn("user_status", user_status(F.col("status"))).withColumn("hint", action_hint(F.col("status")))
 
 
-def orphans(jobs: DataFrame, alive: DataFrame, retries: Column, most: int = 3) -> DataFrame:
-    """Active jobs whose worker is not alive, and whether they are queued again.  No alive worker at
-    all means that nothing is known: then there are no orphans."""
-    active = jobs.where(F.col("worker").isNotNull() & F.col("status").isin("EVALUATING", "EVALUATED", "PROCESSING"))
+def orphans(jobs: DataFrame, alive: DataFrame, retries: Column, most: int = 3, delay_s: int = 300) -> DataFrame:
+    """Uploaded jobs and jobs in evaluation or in work whose worker is not alive: they become orphaned,
+    and are queued again after a delay unless that was done too often.  No alive worker at all means
+    that nothing is known: then there are no orphans."""
+    active = jobs.where(F.col("worker").isNotNull() & F.col("status").isin("UPLOADED", "EVALUATING", "PROCESSING"))
     known = alive.agg(F.count("*").alias("n")).where("n > 0")
-    return active.join(alive.select("worker"), "worker", "left_anti").join(F.broadcast(known)).select("job", "worker", "status", (retries < most).alias("requeue"))
+    lost = active.join(alive.select("worker"), "worker", "left_anti").join(F.broadcast(known))
+    again = retries < most
+    return lost.select("job", "worker", F.col("status").alias("old_status"), F.lit("ORPHANED").alias("status"), again.alias("requeue"), F.when(again, delay_s).alias("after_s"))
 
 
 def finalise(pages: DataFrame) -> DataFrame:
@@ -126,4 +129,26 @@ def reconcile_jobs(pages: DataFrame) -> DataFrame:
 
 def import_plan(skus: DataFrame, imported: DataFrame) -> DataFrame:
     """Valid records not imported yet, by key; repeats of a key count once."""
-    return skus.where("validity = 'valid'").dropDuplicates(["dedup_key"]).join(imported.select("dedup_key").distinct(), "dedup_key", "left_anti").select("dedup_key")
+    return skus.where("validity = 'valid'").select("dedup_key").distinct().join(imported.select("dedup_key").distinct(), "dedup_key", "left_anti")
+
+
+def completion_imports(pages_done: DataFrame, tasks_done: DataFrame, skus: DataFrame) -> DataFrame:
+    """The records to import when pages are completed automatically (attempt 1, as extracted) and when
+    people completed their tasks (attempt 2, ``human``), with the key that keeps repeats out.  Pages
+    that ended in another state import nothing."""
+    auto = pages_done.where("status = 'AI_COMPLETED'").select("job", "page", F.lit(1).alias("attempt")).distinct()
+    human = tasks_done.select("job", "page", F.lit(2).alias("attempt")).distinct()
+    found = skus.where("validity = 'valid'").join(auto.unionByName(human), ["job", "page"])
+    way = F.when(F.col("attempt") == 2, "human").otherwise(F.col("extraction_method"))
+    return found.select("job", "page", "sku", way.alias("extraction_method"), F.concat_ws(":", *[F.col(c).cast("string") for c in ("job", "page", "sku", "attempt")]).alias("dedup_key"))
+
+
+def create_jobs(uploads: DataFrame) -> DataFrame:
+    """Uploads (upload, merchant, file_hash, issues, all_blank), in order of ``upload``: the first reason to
+    reject one (its first issue, or the same file of the merchant before), or the state of its new job."""
+    sound = F.size("issues") == 0
+    w = Window.partitionBy("merchant", "file_hash", sound).orderBy("upload")
+    again = sound & (F.row_number().over(w) > 1)
+    out = uploads.withColumn("rejected", F.when(~sound, F.get("issues", F.lit(0))).when(again, "duplicate_file"))
+    out = out.withColumn("status", F.when(F.col("rejected").isNull(), F.when(F.col("all_blank"), "DEGRADED_HUMAN").otherwise("UPLOADED")))
+    return out.withColumn("user_status", F.when(F.col("status").isNotNull(), user_status(F.col("status")))).withColumn("hint", F.when(F.col("status").isNotNull(), action_hint(F.col("status"))))

@@ -11,6 +11,7 @@ from ..functions.vocab import EVENT_NAMES, lookup, user_status
 from ..operators import relational as rel
 from ..operators import tasks as tk
 from ..sources import bindings as b
+from ..sources import readers
 from .registry import query
 
 
@@ -80,15 +81,14 @@ def tasks_per_job(spark: SparkSession, sf: str) -> DataFrame:
     return rel.counts_by(open_tasks, "job", name="n_tasks").orderBy(F.desc("n_tasks"), "job")
 
 
-_LOADED = f"""{b.TASKS}, {b.ANNOTATORS}, small AS (SELECT * FROM tasks WHERE task < 60),
-loaded AS (SELECT annotator, accuracy, total_tasks, count(task) AS open FROM annotators LEFT JOIN small ON annotator = assigned_to AND status = 'PROCESSING'
+_LOADED = f"""{b.TASKS}, {b.ANNOTATORS},
+loaded AS (SELECT annotator, accuracy, total_tasks, count(task) AS open FROM annotators LEFT JOIN tasks ON annotator = assigned_to AND status = 'PROCESSING'
   GROUP BY annotator, accuracy, total_tasks HAVING count(task) < 10)"""
 
 
 @query(f"WITH {_LOADED} SELECT annotator, accuracy, total_tasks, open FROM loaded")
 def least_loaded_annotators(spark: SparkSession, sf: str) -> DataFrame:
-    # Only a window of tasks is open at a time.
-    return tk.load(b.annotators(spark, sf), b.tasks(spark, sf).where("task < 60"))
+    return tk.load(b.annotators(spark, sf), b.tasks(spark, sf))
 
 
 @query(f"""WITH {_LOADED}, s AS (
@@ -97,16 +97,16 @@ def least_loaded_annotators(spark: SparkSession, sf: str) -> DataFrame:
   FROM loaded WHERE total_tasks < 20 OR accuracy >= 0.85)
 SELECT annotator, open, score, CAST(row_number() OVER (ORDER BY score DESC, annotator) AS INTEGER) AS rank FROM s""")
 def dispatch_ranking(spark: SparkSession, sf: str) -> DataFrame:
-    return tk.dispatch(tk.load(b.annotators(spark, sf), b.tasks(spark, sf).where("task < 60")))
+    return tk.dispatch(tk.load(b.annotators(spark, sf), b.tasks(spark, sf)))
 
 
-@query(f"""WITH {b.JOBS} SELECT job, worker, status, job % 5 < 3 AS requeue FROM jobs
-WHERE worker IS NOT NULL AND status IN ('EVALUATING','EVALUATED','PROCESSING')
+@query(f"""WITH {b.JOBS} SELECT job, worker, status AS old_status, 'ORPHANED' AS status, job % 5 < 3 AS requeue, CASE WHEN job % 5 < 3 THEN 300 END AS after_s FROM jobs
+WHERE worker IS NOT NULL AND status IN ('UPLOADED','EVALUATING','PROCESSING') AND EXISTS (SELECT 1 FROM events WHERE ts >= TIMESTAMP '{b.AS_OF_EVENTS}' - INTERVAL 5 HOUR)
   AND worker NOT IN (SELECT concat('w', user_id) FROM events WHERE ts >= TIMESTAMP '{b.AS_OF_EVENTS}' - INTERVAL 5 HOUR)""")
 def orphan_jobs_anti(spark: SparkSession, sf: str) -> DataFrame:
-    beats = b.table(spark, sf, "events").where(F.col("ts") >= F.expr(f"TIMESTAMP_NTZ '{b.AS_OF_EVENTS}' - INTERVAL 5 HOURS"))
-    alive = beats.select(F.concat(F.lit("w"), "user_id").alias("worker")).distinct()
-    return tk.orphans(b.jobs(spark, sf), alive, F.col("job") % 5)
+    """Workers count as alive for five hours, as the events are sparse."""
+    beats = b.table(spark, sf, "events").select(F.concat(F.lit("w"), "user_id").alias("worker"), "ts")
+    return tk.orphans(b.jobs(spark, sf), readers.alive_workers(beats, b.AS_OF_EVENTS, 5 * 3600), F.col("job") % 5)
 
 
 @query(f"""WITH {b.JOB_PAGES}, g AS (SELECT job, CASE WHEN status LIKE 'IMPORTED%' THEN 'imported' WHEN status LIKE 'HUMAN%' THEN 'human' WHEN status = 'BLANK' THEN 'blank' ELSE 'other' END AS g,
@@ -131,10 +131,10 @@ def latest_version_per_key(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(f"""WITH {b.JOBS}, e AS (SELECT concat('f', user_id) AS file_hash, event_id AS evaluation, value FROM events
-  QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC) = 1)
+  QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1)
 SELECT job, jobs.file_hash, evaluation, value FROM jobs JOIN e ON jobs.file_hash = e.file_hash""")
 def job_latest_evaluation(spark: SparkSession, sf: str) -> DataFrame:
-    newest = rel.latest(b.table(spark, sf, "events"), ["user_id"], [F.desc("ts")])
+    newest = rel.latest(b.table(spark, sf, "events"), ["user_id"], [F.desc("ts"), F.desc("event_id")])
     evaluated = newest.select(F.concat(F.lit("f"), "user_id").alias("file_hash"), F.col("event_id").alias("evaluation"), "value")
     return b.jobs(spark, sf).join(evaluated, "file_hash").select("job", "file_hash", "evaluation", "value")
 
@@ -200,16 +200,17 @@ def json_value_buckets(spark: SparkSession, sf: str) -> DataFrame:
     return b.table(spark, sf, "events").groupBy("event_type", F.floor(k / 10).alias("bucket")).agg(F.count("*").alias("n"))
 
 
-@query("""SELECT event_id, CASE event_id % 5 WHEN 0 THEN 1 WHEN 1 THEN 2 WHEN 2 THEN 3 WHEN 3 THEN 4 ELSE 0 END AS level,
-  CASE event_id % 5 WHEN 0 THEN props WHEN 1 THEN props WHEN 2 THEN concat('[', props, ']') END AS json FROM events""")
+@query("""SELECT event_id, CASE event_id % 6 WHEN 0 THEN 1 WHEN 1 THEN 2 WHEN 2 THEN 3 WHEN 3 THEN 4 WHEN 4 THEN 1 ELSE 0 END AS level,
+  CASE event_id % 6 WHEN 0 THEN props WHEN 1 THEN props WHEN 2 THEN concat('[', props, ']') WHEN 4 THEN json_extract_string(props, '$.k') END AS json FROM events""")
 def json_parse_levels(spark: SparkSession, sf: str) -> DataFrame:
-    """Answers as plain JSON, fenced, within a sentence, without JSON, and empty."""
-    props, kind = F.col("props"), F.col("event_id") % 5
+    """Answers as plain JSON, fenced, within a sentence, without JSON, as a number, and empty."""
+    props, kind = F.col("props"), F.col("event_id") % 6
     text = (
         F.when(kind == 0, props)
         .when(kind == 1, F.concat(F.lit("```json\n"), props, F.lit("\n```")))
         .when(kind == 2, F.concat(F.lit("see ["), props, F.lit("] there")))
         .when(kind == 3, "no json here")
+        .when(kind == 4, F.get_json_object("props", "$.k"))
         .otherwise("")
     )
     json, level = jsonx.parse_levels(F.col("t"))
@@ -282,11 +283,11 @@ def binding_scd2(spark: SparkSession, sf: str) -> DataFrame:
     return rel.versions(b.tasks(spark, sf), ["job"], [F.col("created_at"), F.col("task")]).select("job", "task", "revision", "is_latest")
 
 
-@query("""SELECT n.n_name AS name, coalesce(100 + o.n_nationkey, n.n_regionkey) AS priority FROM nation n LEFT JOIN (SELECT * FROM nation WHERE n_nationkey % 3 = 0) o ON n.n_name = o.n_name WHERE n.n_nationkey % 2 = 0""")
+@query("""SELECT n.n_name AS name, coalesce(100 + o.n_nationkey, n.n_regionkey) AS priority FROM nation n LEFT JOIN (SELECT * FROM nation WHERE n_regionkey <> 3) o ON n.n_name = o.n_name WHERE n.n_regionkey > 0""")
 def provider_config_merge(spark: SparkSession, sf: str) -> DataFrame:
     n = b.table(spark, sf, "nation")
-    new = n.where("n_nationkey % 2 = 0").select(F.col("n_name").alias("name"), F.col("n_regionkey").alias("priority"))
-    old = n.where("n_nationkey % 3 = 0").select(F.col("n_name").alias("name"), (F.lit(100) + F.col("n_nationkey")).alias("priority"))
+    new = n.where("n_regionkey > 0").select(F.col("n_name").alias("name"), F.col("n_regionkey").alias("priority"))
+    old = n.where("n_regionkey <> 3").select(F.col("n_name").alias("name"), (F.lit(100) + F.col("n_nationkey")).alias("priority"))
     return rel.merged_config(new, old, "name", ["priority"])
 
 
@@ -374,3 +375,12 @@ def annotator_profile(spark: SparkSession, sf: str) -> DataFrame:
     return recent.groupBy(F.col("assigned_to").alias("annotator")).agg(
         F.count("*").alias("n"), F.round(F.avg("age_minutes"), 4).alias("avg_minutes"), F.round(F.avg(F.when(F.col("rework") == 0, 1.0).otherwise(0.0)), 4).alias("accuracy")
     )
+
+
+@query("""WITH u AS (SELECT o_custkey AS sku, concat('i', o_orderkey % 5) AS image, o_orderdate, o_orderkey FROM orders),
+n AS (SELECT *, row_number() OVER (PARTITION BY sku ORDER BY o_orderdate, o_orderkey) AS n, count(*) OVER (PARTITION BY sku) AS c FROM u)
+SELECT sku, image, CAST(max(n) AS INTEGER) AS revision, max(n) = max(c) AS is_latest FROM n GROUP BY sku, image""")
+def binding_replacements(spark: SparkSession, sf: str) -> DataFrame:
+    """Bindings of records after all corrections: an image bound before keeps its row."""
+    o = b.table(spark, sf, "orders").select(F.col("o_custkey").alias("sku"), F.concat(F.lit("i"), (F.col("o_orderkey") % 5).cast("string")).alias("image"), "o_orderdate", "o_orderkey")
+    return rel.replaced_bindings(o, "sku", "image", [F.col("o_orderdate"), F.col("o_orderkey")])

@@ -65,10 +65,8 @@ def extract_price_model(spark: SparkSession, sf: str) -> DataFrame:
     return b.catalog_text(spark, sf).select("p_partkey", a["price"].alias("price"), a["model_number"].alias("model"), a["product_name"].alias("name"))
 
 
-@query(r"""WITH """ + b.CATALOG + r""", s AS (SELECT p_partkey, string_split(regexp_replace(concat(' ', text), '\s(\d{2,5}#)', chr(1) || '\1', 'g'), chr(1)) AS parts FROM catalog),
-m AS (SELECT *, len(list_filter(parts, lambda p: regexp_matches(p, '^\d{2,5}#'))) AS n FROM s)
-SELECT p_partkey, CAST(row_number() OVER (PARTITION BY p_partkey ORDER BY i) - 1 AS INTEGER) AS piece, t FROM (
-  SELECT p_partkey, i, trim(parts[i])[1:2000] AS t FROM m, LATERAL (SELECT unnest(range(1, len(parts) + 1)) AS i) WHERE n >= 2) WHERE len(t) > 0""")
+@query(f"""WITH {b.CATALOG} SELECT p_partkey, CAST(i - 1 AS INTEGER) AS piece, t[i] AS t FROM (
+  SELECT p_partkey, t, unnest(range(1, len(t) + 1)) AS i FROM (SELECT p_partkey, {b.marker_pieces('text')} AS t FROM catalog))""")
 def split_by_model_marker(spark: SparkSession, sf: str) -> DataFrame:
     return b.catalog_text(spark, sf).select("p_partkey", F.posexplode(tx.split_by_marker(F.col("text"))).alias("piece", "t"))
 
@@ -84,12 +82,13 @@ def header_row_records(spark: SparkSession, sf: str) -> DataFrame:
     return found.select("page", "row", *[F.element_at("attributes", k).alias(k) for k in ("name", "size")])
 
 
-@query("""SELECT doc_id, concat('[', lang, '] ', substr(coalesce(text, ''), 1, 50), ' from ', source, ' ') AS prompt, concat('***', source) AS tail, printf('C_doc=%.3f, A=%.2f, B=%.2f', (doc_id % 100)::DOUBLE / 100, 0.85, 0.45) AS reason FROM documents""")
+@query("""SELECT doc_id, concat('[', lang, '] ', CASE WHEN len(text) > 2000 THEN concat(text[1:2000], '... [truncated]') ELSE coalesce(text, '') END, ' from ', source, ' ') AS prompt,
+  concat('***', source) AS tail, printf('C_doc=%.3f, A=%.2f, B=%.2f', (doc_id % 100)::DOUBLE / 100, 0.85, 0.45) AS reason FROM documents""")
 def template_render(spark: SparkSession, sf: str) -> DataFrame:
     from ..functions.scoring import route_reason
 
     docs = b.table(spark, sf, "documents")
-    prompt = tx.render("[{lang}] {text} from {source} {missing}", {"lang": F.col("lang"), "text": F.substring("text", 1, 50), "source": F.col("source")}, 50)
+    prompt = tx.render("[{lang}] {text} from {source} {missing}", {"lang": F.col("lang"), "text": F.col("text"), "source": F.col("source")})
     score = (F.col("doc_id") % 100).cast("double") / 100
     return docs.select("doc_id", prompt.alias("prompt"), F.concat(hashing.masked(F.col("source")), F.col("source")).alias("tail"), route_reason(score).alias("reason"))
 
@@ -124,8 +123,8 @@ def systematic_sample(spark: SparkSession, sf: str) -> DataFrame:
     return pages.systematic_sample(b.pages(spark, sf), size=20).select("job", "page_no")
 
 
-@query(f"""WITH {b.PAGES}, n AS (
-  SELECT *, row_number() OVER (PARTITION BY job ORDER BY page_no) AS rn, count(*) OVER (PARTITION BY job) AS c, (doc_id % 10)::DOUBLE / 10 AS ocr_rate FROM pages),
+@query(f"""WITH {b.PAGES}, e AS (SELECT * FROM pages WHERE NOT (len(trim(raw_text)) < 10 AND n_images = 0) AND NOT (n_images = 0 AND {_any(tx.SAMPLER_TOC_WORDS)})), n AS (
+  SELECT *, row_number() OVER (PARTITION BY job ORDER BY page_no) AS rn, count(*) OVER (PARTITION BY job) AS c, (doc_id % 10)::DOUBLE / 10 AS ocr_rate FROM e),
 m AS (SELECT *, CASE WHEN rn <= 2 OR rn > c - 2 THEN NULL WHEN n_images > 5 OR ocr_rate < 0.5 THEN 3 WHEN n_images > 2 OR ocr_rate < 0.8 THEN 2 ELSE 1 END AS band FROM n),
 t AS (SELECT *, sum(coalesce(band, 0)) OVER (PARTITION BY job) AS total FROM m),
 q AS (SELECT *, greatest(1, round(16 * count(*) OVER (PARTITION BY job, band) * band / total)) AS quota,
@@ -133,30 +132,32 @@ q AS (SELECT *, greatest(1, round(16 * count(*) OVER (PARTITION BY job, band) *
 p AS (SELECT job, page_no, band, row_number() OVER (PARTITION BY job ORDER BY page_no) AS f FROM q WHERE c <= 20 OR band IS NULL OR place <= quota)
 SELECT job, page_no, CAST(band AS INTEGER) AS band FROM p WHERE f <= 20""")
 def weighted_stratified_sample(spark: SparkSession, sf: str) -> DataFrame:
-    p = b.pages(spark, sf).withColumn("ocr_rate", (F.col("doc_id") % 10).cast("double") / 10)
-    return pages.weighted_sample(p, size=20)
+    """Blank pages and tables of contents are no candidates."""
+    p = pages.effective(b.pages(spark, sf)).withColumn("ocr_rate", (F.col("doc_id") % 10).cast("double") / 10)
+    return pages.weighted_sample(p.drop("raw_text"), size=20)
 
 
-@query("""WITH t AS (SELECT conv_id AS job, turn AS page_no, string_split(text, ' ') AS words FROM conversations),
-r AS (SELECT *, len(words) % 3 + 1 AS width, lag(len(words) % 3 + 1) OVER w AS before, lag(page_no) OVER w AS last FROM t WINDOW w AS (PARTITION BY job ORDER BY page_no))
-SELECT job, page_no, CASE WHEN last = page_no - 1 AND before = width THEN page_no - 1 END AS source_page, CASE WHEN last = page_no - 1 AND before = width THEN 2 ELSE 1 END AS n_rows FROM r""")
+@query("""WITH t AS (SELECT conv_id AS job, turn AS page_no, text, len(string_split(text, ' ')) % 3 + 1 AS width FROM conversations),
+r AS (SELECT *, lag(width) OVER w AS before, lag(page_no) OVER w AS last FROM t WINDOW w AS (PARTITION BY job ORDER BY page_no)),
+o AS (SELECT *, coalesce(last = page_no - 1 AND (before = width OR {_said}), false) AS goes FROM r),
+g AS (SELECT *, sum(CASE WHEN goes THEN 0 ELSE 1 END) OVER (PARTITION BY job ORDER BY page_no) AS g FROM o)
+SELECT job, page_no, CASE WHEN goes THEN page_no - 1 END AS source_page, CAST(row_number() OVER (PARTITION BY job, g ORDER BY page_no) AS INTEGER) AS n_rows FROM g""".replace("{_said}", _any(tx.CONTINUATION_WORDS).replace("lower(raw_text)", "lower(text[1:100])")))
 def continuation_merge(spark: SparkSession, sf: str) -> DataFrame:
     words = F.size(F.split("text", " "))
     row = F.transform(F.sequence(F.lit(0), words % 3), lambda i: F.concat(F.lit("cell"), i.cast("string")))
-    turns = b.table(spark, sf, "conversations").select(F.col("conv_id").alias("job"), F.col("turn").alias("page_no"), F.array(row).alias("rows"))
-    # The synthetic cells hold no continuation words, so the column counts decide.
+    turns = b.table(spark, sf, "conversations").select(F.col("conv_id").alias("job"), F.col("turn").alias("page_no"), F.col("text").alias("raw_text"), F.array(row).alias("rows"))
     return pages.continuation(turns).select("job", "page_no", "source_page", F.size("merged_rows").alias("n_rows"))
 
 
 _VALID = "(CASE WHEN coalesce(product_name, '') <> '' THEN 1 ELSE 0 END + CASE WHEN coalesce(model_number, '') <> '' THEN 1 ELSE 0 END + CASE WHEN coalesce(size, '') <> '' THEN 1 ELSE 0 END + CASE WHEN coalesce(price, '') <> '' THEN 1 ELSE 0 END)"
 
 
-@query(f"WITH {b.SKUS} SELECT sku, CASE WHEN {_VALID} >= 2 THEN 'valid' ELSE 'invalid' END AS strict, CASE WHEN {_VALID} >= 1 THEN 'valid' ELSE 'invalid' END AS relaxed FROM skus")
+@query(f"WITH {b.SKUS} SELECT sku, CASE WHEN {_VALID} >= 2 THEN 'valid' ELSE 'invalid' END AS strict, CASE WHEN {_VALID} >= 1 OR coalesce(color, '') <> '' THEN 'valid' ELSE 'invalid' END AS relaxed FROM skus")
 def sku_validity(spark: SparkSession, sf: str) -> DataFrame:
-    return b.skus(spark, sf).select("sku", records.validity().alias("strict"), records.validity("relaxed").alias("relaxed"))
+    return b.skus(spark, sf).select("sku", records.validity().alias("strict"), records.validity("relaxed", ("color",)).alias("relaxed"))
 
 
-_KEY = "coalesce(product, ''), coalesce(product_name, ''), coalesce(model_number, ''), coalesce(size, ''), coalesce(color, '')"
+_KEY = "coalesce(product, ''), coalesce(product_name, ''), coalesce(model_number, ''), coalesce(size, ''), coalesce(color, ''), coalesce(material, '')"
 
 
 @query(f"""WITH {b.SKUS}, k AS (SELECT *, row_number() OVER (PARTITION BY page, {_KEY} ORDER BY confidence DESC, pos) AS rn, min(pos) OVER (PARTITION BY page, {_KEY}) AS slot FROM skus)
@@ -165,42 +166,56 @@ def dedup_keep_best(spark: SparkSession, sf: str) -> DataFrame:
     return records.dedup_keep_best(b.skus(spark, sf)).select("page", "sku", "slot")
 
 
-_NUMBERED = f"""{b.SKUS}, n AS (SELECT *, row_number() OVER (PARTITION BY page ORDER BY round(y0 / 1600.0::DOUBLE, 2), round(x0 / 1600.0::DOUBLE, 2), pos) AS number FROM skus),
+_NUMBERED = f"""{b.SKUS}, n AS (SELECT *, row_number() OVER (PARTITION BY page ORDER BY {b.rounded('y0 / 1600.0::DOUBLE', 2)}, {b.rounded('x0 / 1600.0::DOUBLE', 2)}, pos) AS number FROM skus),
 f AS (SELECT *, CASE WHEN product IS NOT NULL THEN min(number) OVER (PARTITION BY page, product) END AS first FROM n),
-d AS (SELECT *, CASE WHEN product IS NOT NULL THEN concat('P', dense_rank() OVER (PARTITION BY page ORDER BY first NULLS LAST)) END AS product_no FROM f)"""
-_PAD = "CASE WHEN len(CAST({0} AS VARCHAR)) > 3 THEN CAST({0} AS VARCHAR)[1:3] ELSE lpad(CAST({0} AS VARCHAR), 3, '0') END"
+d AS (SELECT *, CASE WHEN product IS NOT NULL THEN printf('abc12345_%03d_P%d', page, dense_rank() OVER (PARTITION BY page ORDER BY first NULLS LAST)) END AS product_no FROM f)"""
 
 
-@query(f"WITH {_NUMBERED} SELECT sku, concat('abc12345_', {_PAD.format('page')}, '_', {_PAD.format('number')}) AS sku_id, CAST(number AS INTEGER) AS number FROM d")
+def _numbered(spark: SparkSession, sf: str) -> DataFrame:
+    return records.assign_ids(b.skus(spark, sf), F.lit(1600.0), F.lit("abc12345"), F.col("page"))
+
+
+@query(f"WITH {_NUMBERED} SELECT sku, printf('abc12345_%03d_%03d', page, number) AS sku_id, CAST(number AS INTEGER) AS number FROM d")
 def assign_ids(spark: SparkSession, sf: str) -> DataFrame:
-    return records.assign_ids(b.skus(spark, sf)).select("sku", "sku_id", "number")
+    return _numbered(spark, sf).select("sku", "sku_id", "number")
 
 
 @query(f"WITH {_NUMBERED} SELECT sku, product, product_no FROM d")
 def product_renumber(spark: SparkSession, sf: str) -> DataFrame:
-    return records.assign_ids(b.skus(spark, sf)).select("sku", "product", "product_no")
+    return _numbered(spark, sf).select("sku", "product", "product_no")
+
+
+_TYPED = "typed AS (SELECT o_orderkey AS page, substr('ABCD', CAST(o_orderkey % 4 + 1 AS INT), 1) AS page_type FROM orders)"
+
+
+def _typed(spark: SparkSession, sf: str) -> DataFrame:
+    return b.table(spark, sf, "orders").select(F.col("o_orderkey").alias("page"), F.substring(F.lit("ABCD"), (F.col("o_orderkey") % 4 + 1).cast("int"), F.lit(1)).alias("page_type"))
 
 
-@query(f"""WITH {b.SKUS}, {b.IMAGES}
-SELECT page, 'sku_without_image' AS rule, sku, 'warning' AS severity FROM skus WHERE pos NOT IN (SELECT pos FROM images i WHERE i.page = skus.page)
+@query(f"""WITH {b.SKUS}, {b.IMAGES}, {_TYPED}
+SELECT page, 'sku_without_image' AS rule, sku, 'warning' AS severity FROM skus JOIN typed USING (page) WHERE page_type <> 'A' AND NOT EXISTS (SELECT 1 FROM images i WHERE i.page = skus.page AND i.pos = skus.pos)
 UNION ALL SELECT page, 'duplicate_model', sku, 'warning' FROM (SELECT *, row_number() OVER (PARTITION BY page, model_number ORDER BY pos) AS n FROM skus WHERE coalesce(model_number, '') <> '') WHERE n > 1
-UNION ALL SELECT page, 'low_confidence', sku, 'warning' FROM skus WHERE confidence < 0.5""")
+UNION ALL SELECT page, 'low_confidence', sku, 'warning' FROM skus WHERE confidence < 0.5
+UNION ALL SELECT page, 'no_skus_found', NULL, 'error' FROM typed WHERE page_type <> 'D' AND page NOT IN (SELECT page FROM skus)""")
 def validate_rules(spark: SparkSession, sf: str) -> DataFrame:
     s = b.skus(spark, sf)
     bound = s.join(b.images(spark, sf).select("page", "pos"), ["page", "pos"], "left_semi")
-    return records.validate(s, bound)
+    return records.validate(s, bound, _typed(spark, sf))
 
 
-@query(f"""WITH {b.SKUS}, b AS (SELECT page, sku, round(confidence * 0.9, 3) AS confidence, pos % 4 = 0 AS ambiguous FROM skus WHERE pos <= 5),
-s AS (SELECT page, floor((0.3 * min(confidence) + 0.7 * avg(confidence)) * 1000000.0::DOUBLE + 0.500001::DOUBLE) / 1000000.0::DOUBLE AS c_extract, count(*) AS n_skus FROM skus GROUP BY page),
-g AS (SELECT page, floor((0.3 * min(confidence) + 0.7 * avg(confidence)) * 1000000.0::DOUBLE + 0.500001::DOUBLE) / 1000000.0::DOUBLE AS raw, round(avg(CAST(ambiguous AS INTEGER)), 6) AS share, count(DISTINCT sku) AS n FROM b GROUP BY page),
-c AS (SELECT s.page, n_skus, c_extract, floor((coalesce(raw * (1 - 0.3 * share) * least(1.0, n / n_skus), 0)) * 1000000.0::DOUBLE + 0.500001::DOUBLE) / 1000000.0::DOUBLE AS c_bind FROM s LEFT JOIN g USING (page)),
-f AS (SELECT *, floor((least(1.0, greatest(0.0, pow(0.88 * c_extract * c_bind, 1.0::DOUBLE / 3)))) * 1000.0::DOUBLE + 0.500001::DOUBLE) / 1000.0::DOUBLE AS confidence FROM c)
-SELECT page, n_skus, c_extract, c_bind, confidence, confidence < 0.6 AS needs_review FROM f""")
+@query(f"""WITH {b.SKUS}, {_TYPED}, b AS (SELECT page, sku, round(confidence * 0.9, 3) AS confidence, pos % 4 = 0 AS ambiguous FROM skus WHERE pos <= 5),
+s AS (SELECT page, 0.3::DOUBLE * min(confidence) + 0.7::DOUBLE * avg(confidence) AS raw, count(*) AS n FROM skus GROUP BY page),
+g AS (SELECT page, 0.3::DOUBLE * min(confidence) + 0.7::DOUBLE * avg(confidence) AS raw, avg(CAST(ambiguous AS INTEGER)) AS share, count(DISTINCT sku) AS n FROM b GROUP BY page),
+c AS (SELECT t.page, coalesce(s.n, 0) AS n_skus, CASE WHEN s.n > 0 THEN s.raw WHEN page_type = 'D' THEN 1.0 ELSE 0.0 END AS e,
+  CASE WHEN s.n > 0 THEN coalesce(g.raw * (1 - 0.3::DOUBLE * share) * least(1.0::DOUBLE, g.n / s.n), 0) ELSE 1.0 END AS d FROM typed t LEFT JOIN s USING (page) LEFT JOIN g USING (page)),
+f AS (SELECT *, {b.rounded("least(1.0::DOUBLE, greatest(0.0::DOUBLE, pow(0.88::DOUBLE * e * d, 0.3333333333333333::DOUBLE) * CASE WHEN page % 5 = 0 THEN 0.9::DOUBLE ELSE 1.0 END * CASE WHEN page % 3 = 0 THEN 0.95::DOUBLE ELSE 1.0 END * CASE WHEN page % 7 = 0 THEN 0.8::DOUBLE ELSE 1.0 END))", 3)} AS confidence FROM c)
+SELECT page, n_skus, floor(e * 1000000.0::DOUBLE + 0.500001::DOUBLE) / 1000000.0::DOUBLE AS c_extract, floor(d * 1000000.0::DOUBLE + 0.500001::DOUBLE) / 1000000.0::DOUBLE AS c_bind, confidence, confidence < 0.6::DOUBLE AS needs_review FROM f""")
 def page_confidence(spark: SparkSession, sf: str) -> DataFrame:
     s = b.skus(spark, sf)
     bound = s.where("pos <= 5").select("page", "sku", F.round(F.col("confidence") * 0.9, 3).alias("confidence"), (F.col("pos") % 4 == 0).alias("ambiguous"))
-    return records.page_confidence(s, bound, F.lit(0.88))
+    flags = {"retried": 5, "single_stage": 3, "has_errors": 7}
+    state = _typed(spark, sf).withColumn("classify_confidence", F.lit(0.88)).withColumns({n: F.col("page") % m == 0 for n, m in flags.items()})
+    return records.page_confidence(s, bound, state)
 
 
 @query(f"""WITH {b.SKUS} SELECT page, count(*) AS n, count(*) FILTER ({_VALID} >= 2) AS n_valid, count(*) FILTER ({_VALID} >= 2) = 0 OR count(*) FILTER ({_VALID} >= 2) < 0.7 * 4 AS retry FROM skus GROUP BY page""")

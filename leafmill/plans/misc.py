@@ -10,19 +10,50 @@ from ..functions import geometry as geo
 from ..functions import hashing, jsonx
 from ..functions.scoring import stable_round
 from ..functions.vocab import PAGE_RESULT_STATUS, lookup
+from ..operators import evaluation
 from ..operators import relational as rel
 from ..sources import bindings as b
 from ..sources import readers, sinks
 from .registry import query
+from .spatial import _EDGE
 
 
-@query("""SELECT page_id, array_to_string(list_filter([CASE WHEN strlen(coalesce(html, '')) = 0 THEN 'empty_file' END, CASE WHEN page_id % 3 <> 0 THEN 'not_pdf' END,
-  CASE WHEN page_id % 5 = 0 THEN 'no_pages' END, CASE WHEN page_id % 7 = 0 AND page_id % 5 <> 0 THEN 'too_many_pages' END], lambda x: x IS NOT NULL), ',') AS issues FROM pages""")
-def file_validation(spark: SparkSession, sf: str) -> DataFrame:
+_FILE_ISSUES = """array_to_string(list_filter([CASE WHEN page_id % 3 <> 0 AND strlen(coalesce(html, '')) = 0 THEN 'empty_file' END, CASE WHEN page_id % 3 <> 0 THEN 'not_pdf' END,
+  CASE WHEN page_id % 5 = 0 THEN 'no_pages' END, CASE WHEN page_id % 7 = 0 AND page_id % 5 <> 0 THEN 'too_many_pages' END, CASE WHEN page_id % 11 = 0 THEN 'encrypted_pdf' END,
+  CASE WHEN contains(coalesce(html, ''), '/JavaScript') OR contains(coalesce(html, ''), '/JS') OR page_id % 13 = 0 THEN 'javascript_embedded' END, CASE WHEN page_id % 17 = 0 THEN 'object_count_exceeded' END], lambda x: x IS NOT NULL), ',')"""
+
+
+def _files(spark: SparkSession, sf: str) -> DataFrame:
+    """Web pages as uploaded files: some are PDF files by their first bytes, with a trailer."""
     p = b.table(spark, sf, "pages")
-    body = F.when(F.col("page_id") % 3 == 0, F.concat(F.lit("%PDF-1.7 "), F.coalesce("html", F.lit("")))).otherwise(F.coalesce("html", F.lit(""))).cast("binary")
-    n = F.when(F.col("page_id") % 5 == 0, 0).when(F.col("page_id") % 7 == 0, 2000).otherwise(3)
-    return p.select("page_id", F.array_join(readers.file_issues(body, n), ",").alias("issues"))
+    k = F.col("page_id")
+    text = F.concat(
+        F.when(k % 3 == 0, "%PDF-1.7 ").otherwise(""), F.coalesce("html", F.lit("")), F.when(k % 13 == 0, " << /JS (x) >>").otherwise(""),
+        F.when(k % 17 == 0, " trailer << /Size 500001 >>").otherwise(""),
+    )
+    n = F.when(k % 5 == 0, 0).when(k % 7 == 0, 2000).otherwise(3)
+    return p.select("page_id", text.cast("binary").alias("content"), n.alias("n_pages"), (k % 11 == 0).alias("encrypted"))
+
+
+@query(f"SELECT page_id, {_FILE_ISSUES} AS issues FROM pages")
+def file_validation(spark: SparkSession, sf: str) -> DataFrame:
+    issues = readers.file_issues(F.col("content"), F.col("n_pages"), F.col("encrypted"))
+    return _files(spark, sf).select("page_id", F.array_join(issues, ",").alias("issues"))
+
+
+@query(f"""WITH f AS (SELECT page_id AS upload, page_id % 4 AS merchant, sha256(concat(coalesce(html, ''), 'x')) AS h, {_FILE_ISSUES} AS issues, page_id % 9 = 0 AS blank FROM pages),
+k AS (SELECT *, issues = '' AND row_number() OVER (PARTITION BY merchant, h, issues = '' ORDER BY upload) = 1 AS first FROM f)
+SELECT upload, merchant, CASE WHEN issues <> '' THEN split_part(issues, ',', 1) WHEN NOT first THEN 'duplicate_file' END AS rejected,
+  CASE WHEN first THEN CASE WHEN blank THEN 'DEGRADED_HUMAN' ELSE 'UPLOADED' END END AS status, CASE WHEN first THEN CASE WHEN blank THEN 'needs_manual' ELSE 'processing' END END AS user_status FROM k""")
+def job_creation(spark: SparkSession, sf: str) -> DataFrame:
+    """Uploads through validation, security, duplicate check and prescan to a new job or a reason not to."""
+    from ..operators.tasks import create_jobs
+
+    f = _files(spark, sf)
+    text = b.table(spark, sf, "pages").select("page_id", F.sha2(F.concat(F.coalesce("html", F.lit("")), F.lit("x")).cast("binary"), 256).alias("file_hash"))
+    issues = readers.file_issues(F.col("content"), F.col("n_pages"), F.col("encrypted"))
+    uploads = f.join(text, "page_id").select(F.col("page_id").alias("upload"), (F.col("page_id") % 4).alias("merchant"), "file_hash", issues.alias("issues"), (F.col("page_id") % 9 == 0).alias("all_blank"))
+    return create_jobs(uploads).select("upload", "merchant", "rejected", "status", "user_status")
 
 
 @query("""SELECT event_id, concat('file', event_id % 10, '.pdf') AS filename, event_type AS kind FROM events""")
@@ -52,12 +83,33 @@ def boundary_lookup(spark: SparkSession, sf: str) -> DataFrame:
     return s.join(bounds, ["page", "pos"], "left").select("page", "sku", F.coalesce("bx", F.lit(0)).alias("x0"), F.coalesce("by", F.lit(0)).alias("y0"))
 
 
-@query(f"""WITH {b.SKUS} SELECT page, sku, concat('m', pos) AS image, 'model' AS origin FROM skus WHERE pos % 3 = 0 UNION ALL SELECT page, sku, concat('g', pos), 'spatial' FROM skus WHERE pos % 3 <> 0""")
+_REBIND = f"""{b.SKUS}, {b.IMAGES}, n AS MATERIALIZED (SELECT page, pos, sku, row_number() OVER (PARTITION BY page ORDER BY pos) - 1 AS i, count(*) OVER (PARTITION BY page) AS n FROM skus),
+im AS MATERIALIZED (SELECT page, image, row_number() OVER (PARTITION BY page ORDER BY pos) - 1 AS j FROM images)"""
+
+
+def _rebound(spark: SparkSession, sf: str, batch: int) -> DataFrame:
+    """Answers that bind record i of a batch to image i + 1, those of every third page only the first record."""
+    from ..operators.binding import model_rebind
+
+    s, images = b.skus(spark, sf), b.images(spark, sf)
+    w = Window.partitionBy("page")
+    n = s.select("page", (F.row_number().over(w.orderBy("pos")) - 1).alias("i"), F.count("*").over(w).alias("n"))
+    n = n.where((F.col("page") % 3 != 0) | (F.col("i") == 0)).withColumn("batch", F.floor(F.col("i") / batch).cast("int")).withColumn("k", F.col("i") % batch)
+    pair = F.when(F.col("page") % 2 == 0, F.format_string("[%d, %d]", "k", F.col("i") + 1)).otherwise(F.format_string('{"sku_index": %d, "image_index": %d}', "k", F.col("i") + 1))
+    told = n.groupBy("page", "batch").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("k", pair.alias("t")))), lambda e: e["t"]), ", ").alias("t"))
+    answers = told.select("page", "batch", F.concat(F.lit("Here: ["), "t", F.lit("] as asked")).alias("text"))
+    spatial = s.select("page", "pos", "sku", "product", F.concat(F.lit("g"), F.col("pos").cast("string")).alias("image"), F.lit(0.5).alias("confidence"), F.lit("grid_alignment").alias("method"), F.lit(False).alias("ambiguous"))
+    return model_rebind(s, images, answers, spatial, batch=batch)
+
+
+@query(f"""WITH {_REBIND}, a AS (SELECT n.*, im.image, i // 3 AS batch FROM n LEFT JOIN im ON im.page = n.page AND im.j = n.i + 1 AND (n.page % 3 <> 0 OR n.i = 0)),
+g AS (SELECT *, count(image) OVER (PARTITION BY page, batch) >= 0.5 * count(*) OVER (PARTITION BY page, batch) AS ok FROM a),
+t AS (SELECT *, ok AND image IS NOT NULL AND (n <= 3 OR count(image) FILTER (ok) OVER (PARTITION BY page) >= 0.5 * n) AS takes FROM g)
+SELECT page, sku, CASE WHEN takes THEN image ELSE concat('g', pos) END AS image, CASE WHEN takes THEN 0.85 ELSE 0.5 END::DOUBLE AS confidence, CASE WHEN takes THEN 'vlm_rebind' ELSE 'grid_alignment' END AS method FROM t""")
 def rebind_union(spark: SparkSession, sf: str) -> DataFrame:
-    s = b.skus(spark, sf)
-    model = s.where("pos % 3 = 0").select("page", "sku", F.concat(F.lit("m"), "pos").alias("image"), F.lit("model").alias("origin"))
-    spatial = s.select("page", "sku", F.concat(F.lit("g"), "pos").alias("image"), F.lit("spatial").alias("origin"))
-    return model.unionByName(spatial.join(model.select("page", "sku"), ["page", "sku"], "left_anti"))
+    """A model's bindings in batches of three, where they cover half of a batch and of the page; the
+    spatial bindings of other records stay."""
+    return _rebound(spark, sf, 3).select("page", "sku", "image", "confidence", "method")
 
 
 @query("""WITH e AS (SELECT *, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events)
@@ -66,13 +118,10 @@ WHERE CASE WHEN event_id % 2 = 0 THEN k % 12 < 9 AND k % 5 < 4 ELSE k % 7 < 9 AN
 def compact_pairs(spark: SparkSession, sf: str) -> DataFrame:
     """Answers as ``[[i, j]]`` or ``[{"sku_index", "image_index"}]``; pairs out of range are left out."""
     k = F.get_json_object("props", "$.k").cast("long")
-    pair = F.concat(F.lit("[["), (k % 12).cast("string"), F.lit(","), (k % 5).cast("string"), F.lit("]]"))
-    named = F.concat(F.lit('[{"sku_index":'), (k % 7).cast("string"), F.lit(',"image_index":'), (k % 6).cast("string"), F.lit("}]"))
+    pair = F.format_string("so: [[%d,%d], [7]]", k % 12, k % 5)
+    named = F.format_string('[{"sku_index":%d,"image_index":%d}, {"sku_index":1}]', k % 7, k % 6)
     t = b.table(spark, sf, "events").select("event_id", F.when(F.col("event_id") % 2 == 0, pair).otherwise(named).alias("t"))
-    arrays = F.from_json("t", "array<array<bigint>>", {"mode": "PERMISSIVE"})
-    structs = F.from_json("t", "array<struct<sku_index:bigint,image_index:bigint>>")
-    read = F.coalesce(F.when(F.col("t").startswith("[["), F.transform(arrays, lambda p: F.struct(F.get(p, F.lit(0)).alias("sku_index"), F.get(p, F.lit(1)).alias("image_index")))), structs)
-    return t.select("event_id", F.inline(read)).where("sku_index BETWEEN 0 AND 8 AND image_index BETWEEN 0 AND 3")
+    return t.select("event_id", F.inline(jsonx.index_pairs(F.col("t")))).where("sku_index BETWEEN 0 AND 8 AND image_index BETWEEN 0 AND 3")
 
 
 @query("""SELECT event_id, CAST((event_id % 30) // 3 AS INTEGER) AS batch, coalesce(CASE WHEN event_id % 4 = 0 THEN NULL ELSE CAST(json_extract(props, '$.k') AS DOUBLE) / 100 END, 0.5) AS score FROM events""")
@@ -82,21 +131,25 @@ def page_score_batches(spark: SparkSession, sf: str) -> DataFrame:
     return b.table(spark, sf, "events").select("event_id", F.floor(F.col("event_id") % 30 / 3).cast("int").alias("batch"), jsonx.score_or(text).alias("score"))
 
 
-@query(f"""WITH {b.JOBS} SELECT job, CASE WHEN total_pages <= 3 THEN 'all_blank' WHEN total_pages <= 6 THEN 'no_sample' WHEN score IS NULL THEN 'eval_failed' ELSE 'ok' END AS outcome,
-  CASE WHEN total_pages <= 6 OR score IS NULL THEN 'HUMAN_ALL' WHEN score >= 0.85 THEN 'AUTO' WHEN score >= 0.45 THEN 'HYBRID' ELSE 'HUMAN_ALL' END AS route FROM jobs""")
+@query(f"""WITH {b.JOBS} SELECT job, CASE WHEN total_pages <= 3 THEN 'prescan_reject' WHEN total_pages <= 6 THEN 'no_pages_to_sample' WHEN total_pages <= 9 THEN 'screenshot_render_failed'
+    WHEN status = 'EVAL_FAILED' THEN 'eval_failed:TimeoutError' WHEN score IS NULL THEN 'eval_failed:no_score' ELSE 'ok' END AS outcome,
+  CASE WHEN total_pages <= 9 OR status = 'EVAL_FAILED' OR score IS NULL THEN 'HUMAN_ALL' WHEN score >= 0.85 THEN 'AUTO' WHEN score >= 0.45 THEN 'HYBRID' ELSE 'HUMAN_ALL' END AS route FROM jobs""")
 def evaluation_degrade(spark: SparkSession, sf: str) -> DataFrame:
-    from ..functions.scoring import route
-
-    out = F.when(F.col("total_pages") <= 3, "all_blank").when(F.col("total_pages") <= 6, "no_sample").when(F.col("score").isNull(), "eval_failed").otherwise("ok")
-    j = b.jobs(spark, sf).withColumn("outcome", out)
-    return j.select("job", "outcome", F.when(F.col("outcome") == "ok", route(F.col("score"), F.lit(False))).otherwise("HUMAN_ALL").alias("route"))
+    n = F.col("total_pages")
+    state = {
+        "blank_rate": F.when(n <= 3, 1.0).otherwise(0.1), "sampled": F.when(n <= 6, 0).otherwise(n), "rendered": F.when(n <= 9, 0).otherwise(n),
+        "failure": F.when(F.col("status") == "EVAL_FAILED", "TimeoutError"),
+    }
+    return evaluation.degraded(b.jobs(spark, sf).withColumns(state))
 
 
-@query(f"""WITH {b.JOBS}, c AS (SELECT concat('f', user_id) AS file_hash, round(avg(value), 4) AS cached FROM events GROUP BY 1) SELECT job, cached IS NOT NULL AS hit, coalesce(cached, score) AS score FROM jobs LEFT JOIN c USING (file_hash)""")
+@query(f"""WITH {b.JOBS}, c AS (SELECT concat('f', user_id) AS file_hash, CASE WHEN event_type = 'view' THEN 'v1' WHEN event_type = 'click' THEN 'default' ELSE 'v0' END AS config_version, round(avg(value), 4) AS cached FROM events GROUP BY 1, 2)
+SELECT job, cached IS NOT NULL AS hit, coalesce(cached, score) AS score FROM jobs LEFT JOIN c ON c.file_hash = jobs.file_hash AND c.config_version = coalesce(jobs.config_version, 'default')""")
 def evaluation_cache(spark: SparkSession, sf: str) -> DataFrame:
-    """Cache-aside by file: a stored evaluation wins over a fresh one."""
-    stored = b.table(spark, sf, "events").groupBy(F.concat(F.lit("f"), "user_id").alias("file_hash")).agg(F.round(F.avg("value"), 4).alias("cached"))
-    return b.jobs(spark, sf).join(stored, "file_hash", "left").select("job", F.col("cached").isNotNull().alias("hit"), F.coalesce("cached", "score").alias("score"))
+    """Cache-aside by file and configuration."""
+    version = F.when(F.col("event_type") == "view", "v1").when(F.col("event_type") == "click", "default").otherwise("v0")
+    stored = b.table(spark, sf, "events").groupBy(F.concat(F.lit("f"), "user_id").alias("file_hash"), version.alias("config_version")).agg(F.round(F.avg("value"), 4).alias("cached"))
+    return evaluation.with_cached(b.jobs(spark, sf), stored)
 
 
 @query("""WITH p AS (SELECT s_suppkey AS profile, s_suppkey % 10 / 10.0::DOUBLE AS b, s_suppkey % 7 / 7.0::DOUBLE AS pv, 0.9::DOUBLE AS a, CASE WHEN s_suppkey % 4 = 0 THEN 0.9::DOUBLE ELSE 1.0 END AS w FROM supplier)
@@ -111,32 +164,58 @@ def config_versioning(spark: SparkSession, sf: str) -> DataFrame:
     return p.select("profile", ok.alias("valid"), F.when(ok, hashing.version_after(F.col("version"))).otherwise(F.col("version")).alias("version"))
 
 
-@query("""SELECT o_orderkey AS upload FROM orders WHERE o_orderkey % 4 = 0 OR (o_orderkey % 24 > 6 AND o_orderkey % 3 <> 0)""")
+@query("""SELECT o_orderkey AS upload FROM orders WHERE o_orderpriority = '5-LOW' OR (o_orderkey % 24 > 6 AND o_orderstatus <> 'F')""")
 def upload_cleanup(spark: SparkSession, sf: str) -> DataFrame:
-    o = b.table(spark, sf, "orders").select(F.col("o_orderkey").alias("upload"))
-    uploads = o.where("upload % 4 <> 0").withColumn("complete", F.col("upload") % 3 == 0)
-    return sinks.expired_uploads(o.withColumn("age_hours", F.col("upload") % 24), uploads)
+    """Files as uploaded per order; those of low priority have no record of their upload."""
+    o = b.table(spark, sf, "orders").withColumn("upload", F.col("o_orderkey"))
+    uploads = o.where("o_orderpriority <> '5-LOW'").withColumn("complete", F.col("o_orderstatus") == "F")
+    return sinks.expired_uploads(o.select("upload", (F.col("upload") % 24).alias("age_hours")), uploads)
+
 
+_CODES = [200, 201, 202, 409, 429, 404, 408, 503, 302, 203]
+_CODE = "CASE {k} % 11 " + " ".join(f"WHEN {i} THEN {c}" for i, c in enumerate(_CODES)) + " END"
+_MEANS = "CASE WHEN {c} IN (200, 201) THEN 'confirmed' WHEN {c} = 202 THEN 'assumed' WHEN {c} IN (409, 429) THEN 'retry' WHEN {c} BETWEEN 400 AND 499 THEN 'data_error' ELSE 'retry' END"
 
-@query("""SELECT event_id, CASE CAST(json_extract(props, '$.k') AS BIGINT) % 6 WHEN 0 THEN 'confirmed' WHEN 1 THEN 'confirmed' WHEN 2 THEN 'retry' WHEN 3 THEN 'rejected' WHEN 4 THEN 'retry' ELSE 'assumed' END AS result, concat('s', user_id, '_v', event_id % 3) AS import_key FROM events""")
+
+def _code(k):  # noqa: ANN001, ANN202
+    """One of the codes; none every eleventh time."""
+    return F.get(F.array(*[F.lit(c) for c in _CODES]), (k % 11).cast("int"))
+
+
+@query(f"""WITH e AS (SELECT event_id, user_id, {_CODE.format(k="CAST(json_extract(props, '$.k') AS BIGINT)")} AS c FROM events)
+SELECT event_id, {_MEANS.format(c='c')} AS result, CASE WHEN c IN (200, 201) THEN 'confirmed' ELSE 'server_error' END AS upserted, CASE WHEN c = 200 THEN event_id % 2 = 0 END AS imported, concat('s', user_id, '_v', event_id % 3) AS import_key FROM e""")
 def import_policies(spark: SparkSession, sf: str) -> DataFrame:
-    codes = F.array(*[F.lit(c) for c in (200, 409, 429, 404, 503, 0)])
-    k = (F.get_json_object("props", "$.k").cast("long") % 6).cast("int")
-    return b.table(spark, sf, "events").select(
-        "event_id", sinks.import_policy(F.get(codes, k)).alias("result"), sinks.import_key(F.concat(F.lit("s"), "user_id"), F.col("event_id") % 3).alias("import_key")
+    ev = b.table(spark, sf, "events").withColumn("c", _code(F.get_json_object("props", "$.k").cast("long")))
+    body = F.when(F.col("event_id") % 2 == 0, '{"confirmed": true}').when(F.col("event_id") % 3 == 0, '{"confirmed": false}').otherwise("{}")
+    return ev.select(
+        "event_id", sinks.import_policy(F.col("c")).alias("result"), sinks.upsert_policy(F.col("c")).alias("upserted"), sinks.import_state(F.col("c"), body).alias("imported"),
+        sinks.import_key(F.concat(F.lit("s"), "user_id"), F.col("event_id") % 3).alias("import_key"),
     )
 
 
-@query(f"""WITH {b.SKUS}, {b.IMAGES}, v AS (SELECT page, count(*) AS n_skus FROM skus WHERE confidence >= 0.5 GROUP BY page), i AS (SELECT page, count(*) AS n_images FROM images WHERE greatest(least(width, height), CAST(round(least(width, height) * 150 / 72) AS INTEGER)) >= 200 GROUP BY page)
-SELECT coalesce(v.page, i.page) AS page, coalesce(n_skus, 0) AS n_skus, coalesce(n_images, 0) AS n_images FROM v FULL JOIN i ON v.page = i.page""")
+@query(f"""WITH e AS (SELECT event_id, i, {_CODE.format(k="(CAST(json_extract(props, '$.k') AS BIGINT) + event_id * (i + 1))")} AS c FROM events, (SELECT unnest([0, 1, 2, 3]) AS i)),
+m AS (SELECT *, {_MEANS.format(c='c')} AS m, CASE WHEN c = 429 THEN [30, 60, 120, 300][i + 1] WHEN i = 3 THEN 0 WHEN c = 409 THEN [1, 2, 4][i + 1] ELSE [2, 4, 8][i + 1] END AS w FROM e),
+f AS (SELECT event_id, min(i) FILTER (m <> 'retry') AS stop FROM m GROUP BY event_id)
+SELECT event_id, coalesce(max(m) FILTER (i = stop), 'server_error') AS result, CAST(coalesce(max(stop), 3) + 1 AS INTEGER) AS attempts, CAST(coalesce(sum(w) FILTER (i < coalesce(stop, 4)), 0) AS INTEGER) AS waited
+FROM m JOIN f USING (event_id) GROUP BY event_id""")
+def import_retries(spark: SparkSession, sf: str) -> DataFrame:
+    """Imports with their answers in order: result, attempts, and seconds waited between them."""
+    k = F.get_json_object("props", "$.k").cast("long")
+    answers = F.array(*[_code(k + F.col("event_id") * (i + 1)) for i in range(4)])
+    return b.table(spark, sf, "events").select("event_id", sinks.import_replay(answers).alias("r")).select("event_id", "r.*")
+
+
+@query(f"""WITH {b.SKUS}, {b.IMAGES}, v AS (SELECT page, count(*) AS n_skus FROM skus WHERE confidence >= 0.5 GROUP BY page), i AS (SELECT page, count(*) AS n_images FROM images WHERE {_EDGE} >= 200 GROUP BY page),
+o AS (SELECT page, count(*) AS n_bindings FROM skus WHERE pos % 2 = 0 GROUP BY page)
+SELECT coalesce(v.page, i.page, o.page) AS page, coalesce(n_skus, 0) AS n_skus, coalesce(n_images, 0) AS n_images, coalesce(n_bindings, 0) AS n_bindings FROM v FULL JOIN i ON v.page = i.page FULL JOIN o ON o.page = coalesce(v.page, i.page)""")
 def persisted_rows(spark: SparkSession, sf: str) -> DataFrame:
     """How many rows of each table a finished page stores."""
     from ..operators.binding import image_metrics
 
     s = b.skus(spark, sf).withColumn("validity", F.when(F.col("confidence") >= 0.5, "valid").otherwise("invalid"))
-    t = sinks.page_result_tables(s, image_metrics(b.images(spark, sf)), s.withColumn("image", F.col("sku")))
-    counted = [rel.counts_by(t[n], "page", name=f"n_{n}") for n in ("skus", "images")]
-    return counted[0].join(counted[1], "page", "full").fillna(0)
+    t = sinks.page_result_tables(s, image_metrics(b.images(spark, sf)), s.withColumn("image", F.when(F.col("pos") % 2 == 0, F.col("sku"))))
+    counted = [rel.counts_by(t[n], "page", name=f"n_{n}") for n in ("skus", "images", "bindings")]
+    return counted[0].join(counted[1], "page", "full").join(counted[2], "page", "full").fillna(0)
 
 
 @query(f"WITH {b.JOB_PAGES} SELECT job, page_no, CASE status WHEN 'SKIPPED' THEN 'BLANK' ELSE status END AS stored FROM job_pages")

@@ -52,7 +52,7 @@ def calibration_cycle(spark: SparkSession, sf: str) -> DataFrame:
     return fb.calibration(b.annotations(spark, sf), _SINCE, kl_limit=9.0)
 
 
-_GOLD = """p AS (SELECT doc_id AS page, CASE WHEN n_chars > 200 THEN 'good' ELSE 'bad' END AS key FROM documents WHERE doc_id % 5 <> 0), t AS (SELECT doc_id AS page, CASE WHEN quality = 1 THEN 'good' ELSE 'bad' END AS key FROM labels)"""
+_GOLD = """p AS (SELECT doc_id AS page, CASE WHEN n_chars > 200 THEN 'good' ELSE 'bad' END AS key FROM documents WHERE n_chars >= 60), t AS (SELECT doc_id AS page, CASE WHEN quality = 1 THEN 'good' ELSE 'bad' END AS key FROM labels)"""
 
 
 @query(f"""WITH {_GOLD}, t2 AS (SELECT DISTINCT t.* FROM t WHERE page IN (SELECT page FROM p)), n AS (SELECT
@@ -60,7 +60,7 @@ _GOLD = """p AS (SELECT doc_id AS page, CASE WHEN n_chars > 200 THEN 'good' ELSE
 r AS (SELECT *, tp / greatest(1, tp + fp) AS p, tp / greatest(1, tp + fn) AS r FROM n)
 SELECT tp, fp, fn, round(p, 4) AS precision, round(r, 4) AS recall, round(2 * p * r / greatest(0.001, p + r), 4) AS f1 FROM r""")
 def golden_set_f1(spark: SparkSession, sf: str) -> DataFrame:
-    docs = b.table(spark, sf, "documents").where("doc_id % 5 <> 0")
+    docs = b.table(spark, sf, "documents").where("n_chars >= 60")
     predicted = docs.select(F.col("doc_id").alias("page"), F.when(F.col("n_chars") > 200, "good").otherwise("bad").alias("key"))
     truth = b.table(spark, sf, "labels").select(F.col("doc_id").alias("page"), F.when(F.col("quality") == 1, "good").otherwise("bad").alias("key"))
     return fb.golden_set(predicted, truth)
@@ -100,20 +100,27 @@ def attr_promotion(spark: SparkSession, sf: str) -> DataFrame:
     return fb.promotions(added.select("category", F.concat("key", F.col("v").cast("string")).alias("attr")), existing)
 
 
-_CON = f"""{b.ANNOTATIONS}, q AS (SELECT annotation, type, round((95 + annotator % 6)::DOUBLE / 100 * CASE WHEN reworked THEN 0.7 ELSE 1.0 END, 4) AS quality FROM annotations)"""
+_CON = f"""{b.ANNOTATIONS}, q AS (SELECT annotation, annotated_at, type, coalesce(category, 'default') AS category,
+  CASE WHEN annotator % 6 = 5 THEN 0.6::DOUBLE ELSE (95 + annotator % 6)::DOUBLE / 100 END * CASE WHEN reworked THEN 0.7::DOUBLE ELSE 1.0::DOUBLE END AS quality FROM annotations)"""
 
 
-@query(f"""WITH {_CON} SELECT annotation, type, quality, CAST(row_number() OVER (PARTITION BY type ORDER BY annotation) AS INTEGER) AS place, count(*) OVER (PARTITION BY type) >= 2 AS confirmed FROM q WHERE quality >= 0.85""")
+def _examples(spark: SparkSession, sf: str) -> DataFrame:
+    """Every sixth annotator has no known accuracy."""
+    return b.annotations(spark, sf).withColumn("accuracy", F.when(F.col("annotator") % 6 < 5, (F.col("annotator") % 6 + 95).cast("double") / 100))
+
+
+@query(f"""WITH {_CON}, g AS (SELECT *, row_number() OVER (PARTITION BY type, category ORDER BY annotated_at, annotation) AS place, count(*) OVER (PARTITION BY type, category) AS n FROM q WHERE quality >= 0.85::DOUBLE)
+SELECT annotation, type, category, round(quality, 4) AS quality, place, place < n OR n % 2 = 0 AS confirmed FROM g""")
 def fewshot_consensus(spark: SparkSession, sf: str) -> DataFrame:
-    notes = b.annotations(spark, sf).withColumn("accuracy", (F.col("annotator") % 6 + 95).cast("double") / 100)
-    return fb.consensus(notes).select("annotation", "type", "quality", "place", "confirmed")
+    return fb.consensus(_examples(spark, sf)).select("annotation", "type", "category", "quality", "place", "confirmed")
 
 
-@query(f"""WITH {_CON} SELECT annotation, type, quality FROM q WHERE type = 'BINDING_CORRECTION' ORDER BY quality DESC, annotation LIMIT 5""")
+@query(f"""WITH {_CON}, g AS (SELECT *, row_number() OVER (PARTITION BY type, category ORDER BY annotated_at, annotation) AS place, count(*) OVER (PARTITION BY type, category) AS n FROM q WHERE quality >= 0.85::DOUBLE)
+SELECT annotation, type, round(quality, 4) AS quality FROM g WHERE type = 'BINDING_CORRECTION' AND (place < n OR n % 2 = 0) ORDER BY round(quality, 4) DESC, annotation LIMIT 5""")
 def fewshot_topk(spark: SparkSession, sf: str) -> DataFrame:
-    notes = b.annotations(spark, sf).withColumn("accuracy", (F.col("annotator") % 6 + 95).cast("double") / 100)
-    quality = F.round(F.col("accuracy") * F.when(F.col("reworked"), 0.7).otherwise(1.0), 4)
-    return notes.where("type = 'BINDING_CORRECTION'").select("annotation", "type", quality.alias("quality")).orderBy(F.desc("quality"), "annotation").limit(5)
+    """The best confirmed examples of a type."""
+    good = fb.consensus(_examples(spark, sf)).where("confirmed AND type = 'BINDING_CORRECTION'")
+    return good.select("annotation", "type", "quality").orderBy(F.desc("quality"), "annotation").limit(5)
 
 
 @query("""SELECT event_id, sha256(concat('{"k":"', CAST(json_extract(props, '$.k') AS VARCHAR), '","type":"', event_type, '"}'))[1:16] AS payload_hash FROM events""")
@@ -128,11 +135,16 @@ def review_stats(spark: SparkSession, sf: str) -> DataFrame:
     return recent.groupBy(F.col("event_type").alias("type")).agg(F.count("*").alias("n"), F.count_distinct("user_id").alias("annotators"))
 
 
-@query(f"""WITH {b.JOBS} SELECT round(avg(CASE WHEN (score >= 0.85) = (score >= 0.8) AND (score >= 0.45) = (score >= 0.5) THEN 1.0 ELSE 0.0 END), 4) AS agreement, count(*) AS n FROM jobs WHERE score IS NOT NULL""")
-def shadow_agreement(spark: SparkSession, sf: str) -> DataFrame:
-    """How often two threshold settings route alike."""
-    from ..functions.scoring import route
+_RUN = "SELECT l_orderkey AS page, substr('ABCD', CAST(l_orderkey % 4 + 1 AS INT), 1) AS page_type, count(*) AS n_skus, avg(l_discount) AS confidence FROM lines GROUP BY 1, 2"
+_SHADOW = "SELECT l_orderkey AS page, substr('ABCD', CAST((l_orderkey + CASE WHEN l_orderkey % 8 = 0 THEN 1 ELSE 0 END) % 4 + 1 AS INT), 1) AS page_type, count(*) FILTER (l_linenumber <= 3) AS n_skus, avg(l_tax) AS confidence FROM lines GROUP BY 1, 2"
 
-    s = b.jobs(spark, sf).where(F.col("score").isNotNull())
-    same = route(F.col("score"), F.lit(False)) == route(F.col("score"), F.lit(False), 0.8, 0.5)
-    return s.agg(F.round(F.avg(same.cast("int")), 4).alias("agreement"), F.count("*").alias("n"))
+
+@query(f"""WITH {b.LINES}, c AS ({_RUN}), s AS ({_SHADOW}), g AS (SELECT count(*) AS n, round(avg(CASE WHEN c.page_type = s.page_type THEN 1.0 ELSE 0.0 END), 4) AS agreement,
+  round(abs(sum(s.n_skus) - sum(c.n_skus)) / greatest(1, sum(c.n_skus)), 4) AS sku_deviation, round(abs(avg(s.confidence) - avg(c.confidence)), 4) AS confidence_gap FROM c JOIN s USING (page))
+SELECT *, array_to_string(list_filter([CASE WHEN agreement < 0.9 THEN 'classes' END, CASE WHEN sku_deviation > 0.2 THEN 'records' END, CASE WHEN confidence_gap > 0.1 THEN 'confidence' END], lambda x: x IS NOT NULL), ',') AS alerts FROM g""")
+def shadow_agreement(spark: SparkSession, sf: str) -> DataFrame:
+    """How far a second run over the same pages departs from the first."""
+    li = b.lines(spark, sf)
+    run = lambda shift, n, c: li.groupBy(F.col("l_orderkey").alias("page"), F.substring(F.lit("ABCD"), ((F.col("l_orderkey") + shift) % 4 + 1).cast("int"), F.lit(1)).alias("page_type")).agg(n.alias("n_skus"), F.avg(c).alias("confidence"))
+    shifted = F.when(F.col("l_orderkey") % 8 == 0, 1).otherwise(0)
+    return fb.shadow_comparison(run(F.lit(0), F.count("*"), "l_discount"), run(shifted, F.count_if(F.col("l_linenumber") <= 3), "l_tax"))

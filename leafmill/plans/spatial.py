@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import geometry as geo
 from ..operators import binding as bd
 from ..sources import bindings as b
+from .flagship import bind_sql
 from .registry import query
 
 _IOU = """CASE WHEN (a.x1-a.x0)*(a.y1-a.y0) + (c.x1-c.x0)*(c.y1-c.y0) - i > 0 THEN i / ((a.x1-a.x0)*(a.y1-a.y0) + (c.x1-c.x0)*(c.y1-c.y0) - i) ELSE 0 END"""
@@ -33,16 +34,18 @@ def containment_drop(spark: SparkSession, sf: str) -> DataFrame:
     return bd.drop_containers(b.images(spark, sf)).select("page", "pos")
 
 
-@query(f"""WITH {b.LINES}, {b.IMAGES} SELECT image, row_number() OVER (PARTITION BY page, hash ORDER BY width * height DESC, pos) > 1 AS is_duplicate,
-  greatest(least(width, height), CAST(round(least(width, height) * 150 / 72) AS INTEGER)) AS short_edge FROM images""")
+_EDGE = "greatest(CASE WHEN width <> 0 AND height <> 0 THEN least(width, height) ELSE 0 END, CAST(floor(least(x1 - x0, y1 - y0) * 150 / 72) AS INTEGER))"
+
+
+@query(f"""WITH {b.LINES}, {b.IMAGES} SELECT image, hash <> '' AND row_number() OVER (PARTITION BY page, hash ORDER BY width * height DESC, pos) > 1 AS is_duplicate, {_EDGE} AS short_edge FROM images""")
 def hash_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return bd.hash_dedup(bd.image_metrics(b.images(spark, sf))).select("image", "is_duplicate", "short_edge")
 
 
 @query()
 def overlap_dedup_greedy(spark: SparkSession, sf: str) -> DataFrame:
-    """Order-dependent: tested against a plain simulation."""
-    return bd.overlap_dedup(b.images(spark, sf), 0.5).select("page", "pos")
+    """Order-dependent: tested against a plain simulation, and in SQL as part of ``page_results``."""
+    return bd.overlap_dedup(b.images(spark, sf), 0.5)
 
 
 _NEAR = "greatest(a.x0, c.x0) - least(a.x1, c.x1) < 60 AND greatest(a.y0, c.y0) - least(a.y1, c.y1) < 60"
@@ -82,18 +85,14 @@ pr AS (SELECT s.page, s.pos, s.sku, s.product, i.image, i.pos AS i_pos, s.layout
     (i.x1-i.x0)*(i.y1-i.y0) AS ia, max((i.x1-i.x0)*(i.y1-i.y0)) OVER (PARTITION BY s.page) AS ma,
     greatest(0, least(s.x1, i.x1) - greatest(s.x0, i.x0)) * greatest(0, least(s.y1, i.y1) - greatest(s.y0, i.y0)) / ((i.x1-i.x0)*(i.y1-i.y0)) AS ins
   FROM {s} s JOIN images i ON s.page = i.page),
-nr AS (SELECT page, pos, sku, product, image, i_pos, floor((least(1.0, (CASE WHEN ins > 0.5 THEN least(1.0, greatest(0.01, 1 - d / lim) + 0.3) ELSE greatest(0.01, 1 - d / lim) END) + 0.15 * ia / greatest(1, ma))) * 1000.0::DOUBLE + 0.500001::DOUBLE) / 1000.0::DOUBLE AS confidence,
+nr AS (SELECT page, pos, sku, product, image, i_pos, {b.rounded("least(1.0::DOUBLE, (CASE WHEN ins > 0.5 THEN least(1.0::DOUBLE, greatest(0.01::DOUBLE, 1 - d / lim) + 0.3::DOUBLE) ELSE greatest(0.01::DOUBLE, 1 - d / lim) END) + ia / greatest(1, ma) * 0.15::DOUBLE)", 3)} AS confidence,
     CASE WHEN layout = 'grid' THEN 'grid_alignment' WHEN dx < 50 AND dy > 100 THEN 'vertical_stack' WHEN dy < 50 AND dx > 100 THEN 'reading_order' ELSE 'spatial_proximity' END AS method
   FROM pr WHERE d <= lim),
-fr AS (SELECT page, pos, sku, product, image, i_pos, floor((0.5 * greatest(0.01, 1 - d / (3 * lim))) * 1000.0::DOUBLE + 0.500001::DOUBLE) / 1000.0::DOUBLE AS confidence, 'fallback_nearest' AS method FROM pr
+fr AS (SELECT page, pos, sku, product, image, i_pos, {b.rounded("greatest(0.01::DOUBLE, 1 - d / (lim * 3)) * 0.5::DOUBLE", 3)} AS confidence, 'fallback_nearest' AS method FROM pr
   WHERE d <= 3 * lim AND NOT EXISTS (SELECT 1 FROM nr WHERE nr.page = pr.page AND nr.sku = pr.sku) QUALIFY row_number() OVER (PARTITION BY page, sku ORDER BY d, i_pos) = 1),
 cd AS (SELECT * FROM nr UNION ALL SELECT * FROM fr)"""
 
 
-_CHOSEN = """ch AS (SELECT page, pos, sku, product, image, CASE WHEN amb THEN floor((confidence * 0.7) * 1000.0::DOUBLE + 0.500001::DOUBLE) / 1000.0::DOUBLE ELSE confidence END AS confidence, method, amb AS ambiguous FROM (
-  SELECT *, row_number() OVER w AS rn, coalesce(round(confidence - lead(confidence) OVER w, 3) < 0.2, false) AND method <> 'fallback_nearest' AS amb FROM cd WINDOW w AS (PARTITION BY page, sku ORDER BY confidence DESC, i_pos)) WHERE rn = 1)"""
-
-
 @query(f"""WITH {b.SKUS}, {b.IMAGES}, {_SHAPED}, nz AS (SELECT * FROM shaped WHERE x1 > 0), {_cand("nz")}
 SELECT page, sku, image, confidence, method, CAST(row_number() OVER (PARTITION BY page, sku ORDER BY confidence DESC, i_pos) AS INTEGER) AS rank FROM cd
 QUALIFY row_number() OVER (PARTITION BY page, sku ORDER BY confidence DESC, i_pos) <= 3""")
@@ -105,17 +104,18 @@ def nearest_binding_topk(spark: SparkSession, sf: str) -> DataFrame:
 def _positional(s: str) -> str:
     return f"""ps AS (SELECT page, pos, sku, product, row_number() OVER (PARTITION BY page ORDER BY pos) AS n, count(*) OVER (PARTITION BY page) AS n_skus FROM {s}),
 pi AS (SELECT page, image, row_number() OVER (PARTITION BY page ORDER BY y0 + y1, pos) AS n, count(*) OVER (PARTITION BY page) AS total, row_number() OVER (PARTITION BY page ORDER BY (x1-x0)*(y1-y0) DESC, pos) AS k FROM images),
-po AS (SELECT ps.page, pos, sku, product, coalesce(o.image, l.image) AS image, CASE WHEN o.image IS NOT NULL THEN 0.55 WHEN l.image IS NOT NULL THEN 0.35 ELSE 0 END AS confidence, 'positional' AS method,
+po AS (SELECT ps.page, pos, sku, product, coalesce(o.image, l.image) AS image, CASE WHEN o.image IS NOT NULL THEN 0.55 WHEN l.image IS NOT NULL THEN 0.35 ELSE 0 END AS confidence,
+  CASE WHEN o.image IS NOT NULL THEN 'zero_bbox_positional' WHEN l.image IS NOT NULL THEN 'zero_bbox_largest' ELSE 'spatial_proximity' END AS method,
   CASE WHEN l.image IS NULL THEN false WHEN o.image IS NOT NULL THEN l.total <> n_skus ELSE true END AS ambiguous
   FROM ps LEFT JOIN pi o ON ps.page = o.page AND ps.n = o.n LEFT JOIN pi l ON ps.page = l.page AND l.k = 1)"""
 
 
-@query(f"WITH {b.SKUS}, {b.IMAGES}, z AS (SELECT * FROM skus WHERE x1 = 0), {_positional('z')} SELECT sku, image, CAST(confidence AS DOUBLE) AS confidence, ambiguous FROM po")
+@query(f"WITH {b.SKUS}, {b.IMAGES}, z AS (SELECT * FROM skus WHERE x1 = 0), {_positional('z')} SELECT sku, image, CAST(confidence AS DOUBLE) AS confidence, method, ambiguous FROM po")
 def zero_bbox_positional(spark: SparkSession, sf: str) -> DataFrame:
-    return bd.positional(b.skus(spark, sf).where("x1 = 0"), b.images(spark, sf)).select("sku", "image", "confidence", "ambiguous")
+    return bd.positional(b.skus(spark, sf).where("x1 = 0"), b.images(spark, sf)).select("sku", "image", "confidence", "method", "ambiguous")
 
 
-_INHERIT = """SELECT sku, CASE WHEN takes THEN bi ELSE image END AS image, CASE WHEN takes THEN floor((bc * 0.9) * 1000.0::DOUBLE + 0.500001::DOUBLE) / 1000.0::DOUBLE ELSE confidence END AS confidence, CASE WHEN takes THEN 'product_group' ELSE method END AS method
+_INHERIT = """SELECT sku, CASE WHEN takes THEN bi ELSE image END AS image, CASE WHEN takes THEN bc * 0.9::DOUBLE ELSE confidence END AS confidence, CASE WHEN takes THEN 'product_group' ELSE method END AS method
 FROM (SELECT *, image IS NULL AND product IS NOT NULL AND bi IS NOT NULL AS takes FROM (
   SELECT *, first(image) OVER w AS bi, first(confidence) OVER w AS bc FROM {0}
   WINDOW w AS (PARTITION BY page, product ORDER BY image IS NULL, confidence DESC, pos ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)))"""
@@ -131,34 +131,17 @@ def product_group_inherit(spark: SparkSession, sf: str) -> DataFrame:
     return bd.inherit(bound).select("sku", "image", "confidence", "method")
 
 
-@query(f"""WITH {b.SKUS}, {b.IMAGES}, {_SHAPED},
-u AS (SELECT page, count(*) AS n_images, (max(x1)-min(x0))*(max(y1)-min(y0)) AS span FROM images GROUP BY page),
-w AS (SELECT s.*, count(*) OVER (PARTITION BY s.page) AS n_skus, sum(CASE WHEN x1 = 0 THEN 1 ELSE 0 END) OVER (PARTITION BY s.page) AS n_zero, coalesce(u.n_images, 0) AS n_images, span FROM shaped s LEFT JOIN u USING (page)),
-br AS (SELECT *, CASE WHEN n_skus = 1 AND n_images >= 1 THEN 'single_sku' WHEN n_images = 1 THEN 'single_image' WHEN n_skus = n_zero THEN 'positional' WHEN n_images = 0 THEN 'none'
-  WHEN x1 = 0 THEN 'largest' WHEN span > 0 AND (x1-x0)*(y1-y0) > 0.85 * span THEN 'containment' ELSE 'distance' END AS branch FROM w),
-ss AS (SELECT br.page, br.pos, sku, product, i.image, 0.7 AS confidence, 'single_sku_all_images' AS method, false AS ambiguous FROM br JOIN images i USING (page) WHERE branch = 'single_sku'),
-si AS (SELECT br.page, br.pos, sku, product, i.image, 0.6 AS confidence, 'single_image_page' AS method, false AS ambiguous FROM br JOIN images i USING (page) WHERE branch = 'single_image'),
-zp AS (SELECT * FROM br WHERE branch = 'positional'), {_positional('zp')},
-la AS (SELECT br.page, br.pos, sku, product, i.image, 0.4 AS confidence, 'largest_image' AS method, true AS ambiguous FROM br JOIN images i USING (page) WHERE branch = 'largest'
-  QUALIFY row_number() OVER (PARTITION BY br.page, sku ORDER BY (i.x1-i.x0)*(i.y1-i.y0) DESC, i.pos) = 1),
-co AS (SELECT a.page, a.pos, sku, product, c.image, 0.6 AS confidence, 'containment' AS method, false AS ambiguous FROM br a JOIN images c USING (page)
-  WHERE branch = 'containment' AND {_MEET} / ((c.x1-c.x0)*(c.y1-c.y0)) > 0.5 QUALIFY row_number() OVER (PARTITION BY a.page, sku ORDER BY (c.x1-c.x0)*(c.y1-c.y0) DESC, c.pos) = 1),
-re AS (SELECT * FROM br WHERE branch IN ('distance', 'containment') AND sku NOT IN (SELECT sku FROM co)), {_cand("re")}, {_CHOSEN},
-fo AS (SELECT * FROM ss UNION ALL SELECT * FROM si UNION ALL SELECT * FROM po UNION ALL SELECT * FROM la UNION ALL SELECT * FROM co UNION ALL SELECT * FROM ch),
-al AS (SELECT * FROM fo UNION ALL SELECT page, pos, sku, product, NULL, 0, 'none', false FROM br WHERE sku NOT IN (SELECT sku FROM fo)),
-gr AS (SELECT * FROM al WHERE method NOT IN ('single_sku_all_images', 'positional'))
-{_INHERIT.format("gr").replace("confidence END AS confidence", "confidence END::DOUBLE AS confidence")}
-UNION ALL SELECT sku, image, CAST(confidence AS DOUBLE), method FROM al WHERE method IN ('single_sku_all_images', 'positional')""")
+@query(f"WITH {b.SKUS}, {b.IMAGES}, {_SHAPED}, {bind_sql('shaped', 'images')} SELECT sku, image, confidence, method, ambiguous FROM bound")
 def bind_cascade(spark: SparkSession, sf: str) -> DataFrame:
-    return bd.bind(_shaped(spark, sf), b.images(spark, sf)).select("sku", "image", "confidence", "method")
+    return bd.bind(_shaped(spark, sf), b.images(spark, sf)).select("sku", "image", "confidence", "method", "ambiguous")
 
 
 @query(f"""WITH {b.SKUS}, {b.IMAGES}, sc AS (SELECT s.page, s.pos AS block, i.image, i.pos AS ip, sqrt(((s.x0+s.x1)/2 - (i.x0+i.x1)/2) ** 2 + ((s.y0+s.y1)/2 - (i.y0+i.y1)/2) ** 2) AS d,
   greatest(0, least(s.x1, i.x1) - greatest(s.x0, i.x0)) / greatest(1, s.x1 - s.x0) > 0.3 AND s.y0 >= i.y0 AS below FROM skus s LEFT JOIN images i ON s.page = i.page WHERE s.x1 > 0),
-r AS (SELECT *, round(CASE WHEN below THEN d * 0.3 ELSE d END, 4) AS score FROM sc)
-SELECT page, block, CASE WHEN score <= 300 THEN image END AS image, score FROM r QUALIFY row_number() OVER (PARTITION BY page, block ORDER BY score NULLS LAST, ip) = 1""")
+r AS (SELECT *, CASE WHEN below THEN d * 0.3::DOUBLE ELSE d END AS raw FROM sc)
+SELECT page, block, CASE WHEN raw <= 300 THEN image END AS image, round(raw, 4) AS score FROM r QUALIFY row_number() OVER (PARTITION BY page, block ORDER BY raw NULLS LAST, ip) = 1""")
 def anchor_assignment(spark: SparkSession, sf: str) -> DataFrame:
-    return bd.anchors(b.skus(spark, sf).where("x1 > 0"), b.images(spark, sf))
+    return bd.anchors(b.skus(spark, sf).where("x1 > 0"), b.images(spark, sf)).select("page", "block", "image", "score")
 
 
 @query(f"""WITH {b.SKUS}, k AS (SELECT page, sku, split_part(product_name, ' ', 1) AS kw FROM skus WHERE product_name IS NOT NULL),
@@ -166,12 +149,12 @@ t AS (SELECT page, product_name AS content, x0, y0, x1, y1 FROM skus WHERE produ
 SELECT k.page, sku, min(x0) AS x0, min(y0) AS y0, max(x1) AS x1, max(y1) AS y1, count(*) AS n FROM k JOIN t ON k.page = t.page AND contains(content, kw) GROUP BY k.page, sku""")
 def keyword_bbox_refine(spark: SparkSession, sf: str) -> DataFrame:
     s = b.skus(spark, sf).where(F.col("product_name").isNotNull())
-    keyed = s.select("page", "sku", F.split_part("product_name", F.lit(" "), F.lit(1)).alias("keyword"))
+    keyed = s.select("page", "sku", F.array(F.split_part("product_name", F.lit(" "), F.lit(1))).alias("keywords"))
     blocks = s.where("x1 > 0").select("page", F.col("product_name").alias("content"), "x0", "y0", "x1", "y1")
     return bd.refine_boxes(keyed, blocks)
 
 
-@query(f"""WITH {b.SKUS}, j AS (SELECT *, CASE WHEN y0 > lag(y0) OVER w AND y0 - lag(y1) OVER w > 30 THEN 1 ELSE 0 END AS j FROM skus WINDOW w AS (PARTITION BY page ORDER BY pos))
+@query(f"""WITH {b.SKUS}, j AS (SELECT *, CASE WHEN y0 - lag(y1) OVER w > 30 THEN 1 ELSE 0 END AS j FROM skus WINDOW w AS (PARTITION BY page ORDER BY pos))
 SELECT page, pos, CAST(sum(j) OVER (PARTITION BY page ORDER BY pos) AS BIGINT) AS grp FROM j""")
 def ygap_grouping(spark: SparkSession, sf: str) -> DataFrame:
     return bd.gap_groups(b.skus(spark, sf)).select("page", "pos", "grp")
@@ -197,13 +180,15 @@ def ungrouped_elements(spark: SparkSession, sf: str) -> DataFrame:
     return b.skus(spark, sf).join(b.images(spark, sf), ["page", "pos"], "left_anti").select("page", "pos")
 
 
-@query(f"""WITH {b.LINES}, {b.IMAGES}, s AS (SELECT page, width // 50 AS w, height // 50 AS h, count(*) AS n, sum(count(*)) OVER (PARTITION BY page) AS t FROM images GROUP BY 1, 2, 3)
-SELECT page, CAST(w AS INTEGER) AS w, CAST(h AS INTEGER) AS h, round(n / t, 4) AS share FROM s QUALIFY row_number() OVER (PARTITION BY page ORDER BY n DESC, w, h) = 1""")
+@query(f"""WITH {b.LINES}, {b.IMAGES}, s AS (SELECT page, width, height, count(*) AS n, sum(count(*)) OVER (PARTITION BY page) AS t FROM images GROUP BY 1, 2, 3)
+SELECT page, width, height, round(n / t, 4) AS share, n / t >= 0.5 AS dominant FROM s QUALIFY row_number() OVER (PARTITION BY page ORDER BY n DESC, width, height) = 1""")
 def dominant_tile(spark: SparkSession, sf: str) -> DataFrame:
+    """The most frequent image size of each page, and whether half of its images have it."""
     from pyspark.sql.window import Window
 
     from ..operators.relational import latest
 
-    n = b.images(spark, sf).groupBy("page", F.expr("width DIV 50").cast("int").alias("w"), F.expr("height DIV 50").cast("int").alias("h")).agg(F.count("*").alias("n"))
-    n = n.withColumn("share", F.round(F.col("n") / F.sum("n").over(Window.partitionBy("page")), 4))
-    return latest(n, ["page"], [F.desc("n"), F.col("w"), F.col("h")]).select("page", "w", "h", "share")
+    n = b.images(spark, sf).groupBy("page", "width", "height").agg(F.count("*").alias("n"))
+    share = F.col("n") / F.sum("n").over(Window.partitionBy("page"))
+    n = n.withColumns({"share": F.round(share, 4), "dominant": share >= 0.5})
+    return latest(n, ["page"], [F.desc("n"), F.col("width"), F.col("height")]).select("page", "width", "height", "share", "dominant")

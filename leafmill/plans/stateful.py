@@ -32,7 +32,7 @@ def fallback_streak(spark: SparkSession, sf: str) -> DataFrame:
     return series.streaks(b.outcomes(spark, sf)).select("event_id", "k", "streak", "suspend")
 
 
-@query(f"""WITH {b.OUTCOMES}, c AS (SELECT event_id, CAST(sum(CAST(round(value * 100) AS BIGINT)) OVER (PARTITION BY CAST(ts AS DATE) ORDER BY event_id) AS BIGINT) AS spent_cents FROM outcomes),
+@query(f"""WITH {b.OUTCOMES}, c AS (SELECT event_id, CAST(sum(CAST(round(value * 100) AS BIGINT)) OVER (PARTITION BY CAST(ts AS DATE) ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS spent_cents FROM outcomes),
 l AS (SELECT *, round(greatest(0.0, (1500000.0::DOUBLE - spent_cents) / 1500000.0::DOUBLE), 6) AS "left" FROM c)
 SELECT event_id, spent_cents, "left", CASE WHEN "left" <= 0.05 THEN 'EXHAUSTED' WHEN "left" <= 0.2 THEN 'WARNING' ELSE 'NORMAL' END AS phase FROM l""")
 def daily_budget_phase(spark: SparkSession, sf: str) -> DataFrame:
@@ -48,7 +48,8 @@ def circuit_breaker_replay(spark: SparkSession, sf: str) -> DataFrame:
 @query()
 def admission_control(spark: SparkSession, sf: str) -> DataFrame:
     """Feeds back on its own decisions: tested against a plain simulation."""
-    return series.admission(b.outcomes(spark, sf), limit=2, seconds=36_000.0)
+    calls = b.outcomes(spark, sf).withColumn("tokens", F.get_json_object("props", "$.k").cast("double"))
+    return series.admission(calls, limit=2, seconds=36_000.0, tokens=400.0, idle_s=172_800.0)
 
 
 @query(f"""WITH {b.TASKS}, o AS (SELECT * FROM tasks WHERE status = 'CREATED'), a AS (SELECT *, CASE WHEN priority = 'NORMAL' AND age_minutes > 15 THEN 'HIGH' ELSE priority END AS p1 FROM o),
@@ -119,19 +120,28 @@ def import_idempotent(spark: SparkSession, sf: str) -> DataFrame:
     return tk.import_plan(li.withColumn("validity", F.when(F.col("l_returnflag") != "N", "valid").otherwise("invalid")), imported)
 
 
-_INV = [
-    ("INV-01", "thresholds in order", "score IS NOT NULL AND (score < 0 OR score > 1)"),
-    ("INV-03", "eligible images are large", "total_pages > 170 AND status = 'PROCESSING'"),
-    ("INV-10", "user status follows status", "status = 'FULL_IMPORTED' AND total_pages = 0"),
-    ("INV-11", "finished jobs have a score", "status = 'FULL_IMPORTED' AND score IS NULL"),
-]
+_ENDED = "'FULL_IMPORTED', 'PARTIAL_IMPORTED'"
 
 
-@query(f"WITH {b.JOBS} " + " UNION ALL ".join(f"SELECT '{i}' AS rule, job FROM jobs WHERE {c}" for i, _, c in _INV))
+@query(f"""WITH {b.JOBS}, {b.JOB_PAGES}, {b.IMAGES}, {b.TASKS}, st AS (SELECT job, status, CASE WHEN job % 40 = 3 THEN 'completed' WHEN status IN ('UPLOADED','EVALUATING','EVALUATED','PROCESSING','ORPHANED') THEN 'processing'
+  WHEN status IN ('EVAL_FAILED','CANCELLED','REJECTED') THEN 'failed' WHEN status IN ('PARTIAL_FAILED','PARTIAL_IMPORTED') THEN 'partial_success' WHEN status = 'DEGRADED_HUMAN' THEN 'needs_manual' ELSE 'completed' END AS stored,
+  CASE WHEN status IN ('UPLOADED','EVALUATING','EVALUATED','PROCESSING','ORPHANED') THEN 'processing' WHEN status IN ('EVAL_FAILED','CANCELLED','REJECTED') THEN 'failed'
+  WHEN status IN ('PARTIAL_FAILED','PARTIAL_IMPORTED') THEN 'partial_success' WHEN status = 'DEGRADED_HUMAN' THEN 'needs_manual' ELSE 'completed' END AS due FROM jobs)
+SELECT 'INV-03' AS rule, image AS entity FROM images WHERE width > 150 AND least(width, height) < 200
+UNION ALL SELECT 'INV-04', CAST(job AS VARCHAR) FROM jobs WHERE status IN ({_ENDED}) AND EXISTS (SELECT 1 FROM job_pages p WHERE p.job = jobs.job AND p.status NOT IN ('IMPORTED_CONFIRMED', 'IMPORTED_ASSUMED', 'BLANK', 'SKIPPED'))
+UNION ALL SELECT 'INV-10', CAST(job AS VARCHAR) FROM st WHERE stored <> due
+UNION ALL SELECT 'INV-11', CAST(job AS VARCHAR) FROM (SELECT job FROM tasks WHERE status = 'PROCESSING' GROUP BY job HAVING count(*) > 1)""")
 def invariant_audit(spark: SparkSession, sf: str) -> DataFrame:
-    """All rules in one scan: an array of broken rules per row, exploded."""
-    broken = F.array_compact(F.array(*[F.when(F.expr(c), F.lit(i)) for i, _, c in _INV]))
-    return b.jobs(spark, sf).select(F.explode(broken).alias("rule"), "job")
+    """Images marked for search though small, finished jobs with pages that are not imported, client
+    states that do not follow the job's, and entities claimed more than once at a time (here a job's tasks)."""
+    from ..functions.vocab import user_status
+    from ..operators import audit
+
+    j = b.jobs(spark, sf)
+    shown = b.images(spark, sf).withColumns({"search_eligible": F.col("width") > 150, "short_edge": F.least("width", "height")})
+    stored = j.withColumn("user_status", F.when(F.col("job") % 40 == 3, "completed").otherwise(user_status(F.col("status"))))
+    claims = b.tasks(spark, sf).where("status = 'PROCESSING'").select(F.col("job").alias("entity"))
+    return audit.violations(audit.small_eligible(shown, 200), audit.unfinished(j, b.job_pages(spark, sf)), audit.stale_user_status(stored), audit.double_claims(claims))
 
 
 @query("""SELECT l_orderkey AS task, count(*) AS total, count(*) FILTER (l_returnflag <> 'N') AS succeeded, count(*) FILTER (l_returnflag = 'N') AS failed FROM lineitem GROUP BY 1""")
@@ -151,8 +161,9 @@ def session_queue(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("""SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, count(*) AS n, round(count(*) FILTER (event_type = 'error') / count(*), 4) AS error_ratio, round(quantile_cont(value, 0.95), 4) AS p95, round(quantile_cont(value, 0.5), 4) AS p50 FROM events GROUP BY 1""")
 def alert_windows(spark: SparkSession, sf: str) -> DataFrame:
-    """Error ratio and latency percentiles per tumbling window."""
-    ev = b.table(spark, sf, "events").withColumn("t", F.col("ts").cast("timestamp"))
+    """Error ratio and latency percentiles per tumbling window.  The percentiles are exact to a
+    hundredth: a window's aggregate counts distinct values, rounded so, and never holds its rows."""
+    ev = b.table(spark, sf, "events").withColumn("t", F.col("ts").cast("timestamp")).withColumn("value", F.round("value", 2))
     g = ev.groupBy(F.window("t", "1 hour"))
     out = g.agg(
         F.count("*").alias("n"), F.round(F.count_if(F.col("event_type") == "error") / F.count("*"), 4).alias("error_ratio"),

@@ -1,18 +1,26 @@
 """Structured Streaming forms: windows, deduplication, sessions, stateful outcomes, idempotent sinks.
 
 The batch operators specify the results; a stream over the same rows with an available-now trigger
-gives them, aggregates in complete mode (append mode would keep the last windows open).
+gives them.  Windows are kept as state only until the watermark passes them: changed ones are sent on at
+once and the newest version of each counts, or, where a window may only be sent when it is closed, a last
+row from far ahead closes those still open.
 """
 
 from __future__ import annotations
 
-import re
-import uuid
 from collections.abc import Callable, Iterator
+from typing import Any
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from ..operators import replay
+from ..sources.store import shared_path
+
+#: When the row that closes all windows happens.
+END = "2999-01-01 00:00:00"
 
 
 def event_stream(spark: SparkSession, sf_dir: str, files_per_trigger: int = 1) -> DataFrame:
@@ -58,31 +66,74 @@ def streak_alerts(events: DataFrame, least: int = 3) -> DataFrame:
     return events.groupBy("user_id").applyInPandasWithState(step, "event_id long, user_id long, streak long", "run long", "append", GroupStateTimeout.NoTimeout)
 
 
-def run_to_table(stream: DataFrame, mode: str) -> DataFrame:
-    """Runs a stream over what is there and returns its result table, written to the shared folder:
-    complete results replace each other, appended ones add up."""
-    spark = stream.sparkSession
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        root = "/tmp/checkpoints"
-    path = f"{root.rstrip('/')}/{spark.sparkContext.applicationId}/stream-{uuid.uuid4().hex}"
+def replayed(stream: DataFrame, machine: type, **settings: Any) -> DataFrame:
+    """:func:`operators.replay.replayed` as a stream: every key's machine is kept as state from batch to
+    batch.  Rows of a key come in order of event_id across batches."""
+    from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-    def each(batch: DataFrame, epoch: int) -> None:
-        if mode == "complete":
-            batch.write.mode("overwrite").parquet(f"{path}/table")
-        else:  # a folder per batch: one that runs again replaces what it wrote
-            batch.write.mode("overwrite").parquet(f"{path}/table/epoch={epoch}")
+    names = ["event_id", "k", *(n for n, _ in machine.outputs)]
+
+    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        live = machine(**settings)
+        if state.exists:
+            live.load(state.get)
+        pdf = pd.concat(list(batches)).sort_values("event_id")
+        out = [(event, key[0], *live.step(*values)) for event, *values in zip(pdf["event_id"], *[pdf[c] for c in machine.inputs], strict=True)]
+        state.update(live.save())
+        yield pd.DataFrame(out, columns=names)
+
+    rows = stream.select("event_id", F.col("k").cast("long").alias("k"), *machine.inputs)
+    return rows.groupBy("k").applyInPandasWithState(step, replay.schema_of(machine), machine.state, "append", GroupStateTimeout.NoTimeout)
+
+
+def _run(stream: DataFrame, mode: str, path: str) -> bool:
+    """Runs ``stream`` over what is there; its results are added to a table by batch.  False if there
+    was no batch yet."""
+
+    def each(batch: DataFrame, epoch: int) -> None:  # a folder per batch: one that runs again replaces what it wrote
+        batch.write.mode("overwrite").parquet(f"{path}/table/epoch={epoch}")
 
     q = stream.writeStream.foreachBatch(each).outputMode(mode).option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start()
     try:
         q.awaitTermination()
     finally:
         q.stop()
-    if q.lastProgress is None:
+    return q.lastProgress is not None
+
+
+def run_to_table(stream: DataFrame, keys: list[str] | None = None) -> DataFrame:
+    """Runs a stream over what is there and returns its result table, written to the shared folder.
+    With ``keys``, changed results are sent on and the newest row of a key counts."""
+    spark = stream.sparkSession
+    path = shared_path(spark, "stream")
+    if not _run(stream, "update" if keys else "append", path):
         return spark.createDataFrame([], stream.schema)
-    return spark.read.schema(stream.schema).parquet(f"{path}/table/*" if mode != "complete" else f"{path}/table")
+    rows = spark.read.schema(f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in stream.schema.fields)}, epoch long").parquet(f"{path}/table")
+    if keys:
+        newest = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("epoch")))
+        rows = rows.withColumn("__n", newest).where("__n = 1")
+    return rows.select(*stream.columns)
+
+
+def run_closed(spark: SparkSession, sf_dir: str, build: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """The windows that ``build`` makes of the events, each sent when it is closed.  After the events the
+    same query goes on with one row from far ahead, which moves the watermark past all of them; that row's
+    own window stays open."""
+    path = shared_path(spark, "closed")
+    live = event_stream(spark, sf_dir)
+    last = f"{path}/last"
+    spark.createDataFrame([], live.schema).write.parquet(last)
+
+    def stream() -> DataFrame:
+        return build(event_stream(spark, sf_dir).unionByName(spark.readStream.schema(live.schema).parquet(last)))
+
+    if not _run(stream(), "append", path):
+        return spark.createDataFrame([], stream().schema)
+    row = spark.range(1).select(*[(F.lit(END) if f.name == "ts" else F.lit(None)).cast(f.dataType).alias(f.name) for f in live.schema.fields])
+    row.write.mode("append").parquet(last)
+    done = stream()
+    _run(done, "append", path)
+    return spark.read.schema(f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in done.schema.fields)}, epoch long").parquet(f"{path}/table").select(*done.columns)
 
 
 def fan_out(stream: DataFrame, handlers: dict[str, Callable[[DataFrame, int], None]], checkpoint: str) -> dict[str, str]:

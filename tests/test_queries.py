@@ -43,10 +43,16 @@ def test_query_equals_its_sql(spark, duck, name):
     assert tidy([tuple(r) for r in df.collect()], df.columns) == tidy(want.fetchall(), want.columns)
 
 
+def test_streams_equal_their_batch_forms(spark):
+    for stream, batch in (("stream_circuit_breaker", "circuit_breaker_replay"), ("stream_admission", "admission_control")):
+        got, want = QUERIES[stream](spark, SF), QUERIES[batch](spark, SF)
+        assert tidy([tuple(r) for r in got.collect()], got.columns) == tidy([tuple(r) for r in want.collect()], want.columns)
+
+
 def test_entry_runs(spark):
     assert entry.entry(spark).count() > 0
 
 
 def test_every_query_without_sql_is_tested_otherwise():
-    own = {"table_aware_chunks", "nms_greedy", "overlap_dedup_greedy", "circuit_breaker_replay", "admission_control"}
+    own = {"table_aware_chunks", "nms_greedy", "overlap_dedup_greedy", "circuit_breaker_replay", "admission_control", "stream_circuit_breaker", "stream_admission"}
     assert {n for n in QUERIES if n not in SQL and not n.startswith("op") and n != "pipeline"} == own
