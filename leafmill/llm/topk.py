@@ -30,8 +30,9 @@ from .shared import materialize, table
 SCALE = 1024
 #: Bytes of a query block; it is counted before it is broadcast.
 BLOCK_BYTES = 16 << 20
-#: Candidate vectors in a tile.
+#: Candidate vectors in a tile, and queries multiplied with it at once: 8 MB of scores.
 TILE = 2048
+QUERIES_AT_ONCE = 512
 FAN_IN = 32
 _NO_ID = np.iinfo(np.int64).max
 
@@ -67,15 +68,24 @@ def _scores(queries: np.ndarray, tile: np.ndarray) -> np.ndarray:
     return np.clip(product, -(2**63), 2**63 - 1).astype(np.int64)
 
 
-def _best(score: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
-    """Positions of the k best: highest score, ties to the smaller id (ids are in ascending order)."""
-    if len(score) <= k:
-        return np.argsort(-score.astype(object) if score.min(initial=0) == -(2**63) else -score, kind="stable")
-    edge = np.partition(score, len(score) - k)[len(score) - k]
-    over = np.flatnonzero(score > edge)
-    level = np.flatnonzero(score == edge)[: k - len(over)]
-    pick = np.sort(np.concatenate((over, level)))
-    return pick[np.argsort(-score[pick], kind="stable")]
+def _keep(scores: np.ndarray, ids: np.ndarray, asked: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of a matrix of queries by candidates the k best of each row, without the query's own id: row
+    numbers, scores and ids.  Ids are in ascending order, so that of equal scores the first columns count."""
+    rows, width = scores.shape
+    own = ids[None, :] == asked[:, None]
+    if width > k:
+        # The k-th highest score of a row, its own id left out; what is above it stays, and of those equal
+        # to it as many of the first as there is room for.
+        low = np.where(own, np.iinfo(np.int64).min, scores)
+        edge = np.partition(low, width - k, axis=1)[:, width - k][:, None]
+        above = low > edge
+        level = (low == edge) & ~own
+        room = k - above.sum(axis=1, keepdims=True)
+        stay = (above | (level & (np.cumsum(level, axis=1) <= room))) & ~own
+    else:
+        stay = ~own
+    row, at = np.nonzero(stay)
+    return row, scores[row, at], ids[at]
 
 
 def _partial(block: DataFrame, candidates: DataFrame, k: int) -> DataFrame:
@@ -88,28 +98,28 @@ def _partial(block: DataFrame, candidates: DataFrame, k: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         asked, queries = held.value
-        top: list[tuple[np.ndarray, np.ndarray]] = [(np.zeros(0, np.int64), np.zeros(0, np.int64))] * len(asked)
+        none = np.zeros(0, np.int64)
+        best_row, best_score, best_id = none, none, none
         for batch in batches:
             for at in range(0, batch.num_rows, TILE):
                 part = batch.slice(at, TILE)
                 own = part.column(0).fill_null(_NO_ID).to_numpy(zero_copy_only=False)
                 order = np.argsort(own, kind="stable")
-                own = own[order]
-                for lo in range(0, len(asked), 256):
-                    scores = _scores(queries[lo : lo + 256], _matrix(part.column(1))[order])
-                    for i, score in enumerate(scores, lo):
-                        other = own != asked[i]
-                        pick = _best(score[other], own[other], k)
-                        s = np.concatenate((top[i][0], score[other][pick]))
-                        v = np.concatenate((top[i][1], own[other][pick]))
-                        keep = np.lexsort((v, -s))[:k]
-                        top[i] = s[keep], v[keep]
-        sizes = [len(s) for s, _ in top]
-        if sum(sizes):
-            found = np.concatenate([v for _, v in top])
+                own, tile = own[order], _matrix(part.column(1))[order]
+                found = [(best_row, best_score, best_id)]
+                for lo in range(0, len(asked), QUERIES_AT_ONCE):
+                    row, score, vec = _keep(_scores(queries[lo : lo + QUERIES_AT_ONCE], tile), own, asked[lo : lo + QUERIES_AT_ONCE], k)
+                    found.append((row + lo, score, vec))
+                row, score, vec = (np.concatenate(c) for c in zip(*found, strict=True))
+                # ~score falls as the score rises and never overflows.
+                line = np.lexsort((vec, ~score, row))
+                row = row[line]
+                place = np.arange(len(row)) - np.searchsorted(row, row, "left")
+                line = line[place < k]
+                best_row, best_score, best_id = row[place < k], score[line], vec[line]
+        if len(best_row):
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.repeat(asked, sizes)), pa.array(found, mask=found == _NO_ID), pa.array(np.concatenate([s for s, _ in top]))],
-                names=["query_id", "vec_id", "score"],
+                [pa.array(asked[best_row]), pa.array(best_id, mask=best_id == _NO_ID), pa.array(best_score)], names=["query_id", "vec_id", "score"]
             )
 
     return candidates.mapInArrow(run, "query_id long, vec_id long, score long").withColumn("shard", F.spark_partition_id())
