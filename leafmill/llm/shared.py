@@ -60,15 +60,17 @@ def crc_of(value: int) -> int:
 
 
 def hash_sample(df: DataFrame, key: str, size: int, seed: int = 17) -> DataFrame:
-    """At most about ``size`` rows: those whose key hashes lowest (rows of one key stay together).
+    """The rows of the ``size`` keys that hash lowest; rows of one key stay together, and the sample is
+    the same on every run.
 
-    Only the hashes are sorted; the rows themselves are filtered by the cut-off in a second scan,
-    so the sample never moves whole texts through a sort.  Null keys are left out.
+    Only distinct hashes are sorted; the rows themselves are filtered by the cut-off in a second scan,
+    so the sample never moves whole texts through a sort.  Null keys are left out.  Give rows of
+    distinct keys where the number of rows must be bounded too.
     """
     hashed = F.xxhash64(F.lit(seed), F.col(key))
     keyed = df.where(F.col(key).isNotNull())
-    cut = keyed.select(hashed.alias("h")).orderBy("h").limit(size).agg(F.max("h")).first()[0]
-    return keyed.where(hashed <= F.lit(cut if cut is not None else 0)).limit(2 * size)
+    cut = keyed.select(hashed.alias("h")).distinct().orderBy("h").limit(size).agg(F.max("h")).first()[0]
+    return keyed.where(hashed <= F.lit(cut if cut is not None else -(2**63)))
 
 
 def aside(docs: DataFrame, reserved: tuple[str, ...]) -> tuple[DataFrame, dict[str, str]]:

@@ -2,21 +2,24 @@
 
 Features are the presence of words and of word beginnings in a document's whole text, hashed to 32
 bits; those that tell the classes apart best on the training sample are kept.  The chain's linear
-models are fitted in order of ``CHAIN``: each sees the probabilities of the categories before it.
-While training, these are out-of-fold predictions, so later models meet them as they are on unseen
-documents; the final models are fitted on the whole sample.
+models are fitted in order: each sees the probabilities of the categories before it.  While training,
+these are out-of-fold predictions, so later models meet them as they are on unseen documents; the final
+models are fitted on the whole sample.
 
-``labels`` marks only toxicity as a whole.  The categories before it in the chain are narrower: a
-toxic document that addresses persons, or that runs things down, by the fixed words below.  They
-teach the first models in languages of those words; the last model, ``toxic``, is fitted to the label.
+``labels`` marks only toxicity as a whole.  The categories before it in the chain are kinds of toxic
+documents found in the labelled sample itself, whatever its languages: the toxic documents are parted
+into ``KINDS`` groups by the telling features that they hold (k-means, begun with the farthest documents),
+and the first models learn to tell each group; the last, ``toxic``, is fitted to the label.
 
-The sample is bounded: ``SAMPLE`` labelled documents, those of lowest hashed id, up to ``TOXIC_SHARE``
-of them toxic; rows are weighted so that the classes count as they do among all labels.
+The sample is bounded: the documents of ``SAMPLE`` labelled ids, those of lowest hashed id, up to
+``TOXIC_SHARE`` of them toxic; rows are weighted so that the classes count as they do among all labels.
+Its features are counted on the executors; the driver gets the kept ones and a bitmap of ``FEATURES`` bits
+per document, six megabytes with the settings below.
 
 Defined results: null, empty and word-less texts get the models' score of a document without
-features; a document labelled more than once counts with its largest label; without labelled
-documents, or with labels of one kind only, every score is that kind's constant (0 without labels).
-Repeated rows are each scored; other columns are ignored.
+features; a document labelled more than once counts with its largest label, one that is repeated in the
+sample counts once; without labelled documents, or with labels of one kind only, every score is that
+kind's constant (0 without labels).  Repeated rows are each scored; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -32,7 +35,7 @@ from pyspark.sql import types as T
 
 from . import textwork as tw
 from .linear import Logistic, Sparse
-from .shared import aside, hash_sample, restored, table
+from .shared import aside, discard, hash_sample, materialize, restored, table
 
 SAMPLE = 12_000
 #: Share of the sample that may be toxic.
@@ -42,12 +45,11 @@ FOLDS = 5
 THRESHOLD = 0.5
 PREFIXES = (4, 5, 6)
 
-# Seed words of the narrower categories.
-SEEDS = {
-    "insult": ["idiot", "moron", "clown", "loser", "scum", "stupid"],
-    "contempt": ["trash", "worthless", "disgusting", "pathetic"],
-}
-CHAIN = [*SEEDS, "toxic"]
+#: Groups of toxic documents that the chain learns to tell before it decides.
+KINDS = 2
+#: The features most telling of toxic documents, by which these are grouped.
+GROUPING = 256
+CHAIN = [*(f"kind_{i + 1}" for i in range(KINDS)), "toxic"]
 
 
 def _features(array: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -66,9 +68,31 @@ def _features(array: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return row[first], h[first]
 
 
-def word_hash(word: str) -> int:
-    words, _ = tw.tokenize(pa.array([word]))
-    return int(words.hash[0] >> np.uint64(32))
+def kinds(bits: np.ndarray, toxic: np.ndarray, groups: int = KINDS, rounds: int = 20) -> np.ndarray:
+    """A row per document and a column per group: whether it is a toxic document of that group.
+    ``bits``: documents by features, zeros and ones.  The same rows in the same order give the same
+    groups."""
+    out = np.zeros((len(bits), groups))
+    rows = np.flatnonzero(toxic)
+    if len(rows) < groups or not bits.shape[1]:
+        return out
+    lift = bits[toxic].mean(axis=0) - (bits[~toxic].mean(axis=0) if (~toxic).any() else 0.0)
+    telling = np.argsort(-lift, kind="stable")[:GROUPING]
+    x = bits[np.ix_(rows, telling[lift[telling] > 0])].astype(np.float64)
+    x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1.0)
+    centres = [x[0]]
+    for _ in range(1, groups):
+        gap = np.min([((x - c) ** 2).sum(axis=1) for c in centres], axis=0)
+        centres.append(x[int(np.argmax(gap))])
+    centre = np.array(centres)
+    for _ in range(rounds):
+        own = ((x[:, None, :] - centre[None]) ** 2).sum(axis=2).argmin(axis=1) if x.size < 1 << 22 else np.argmin([((x - c) ** 2).sum(axis=1) for c in centre], axis=0)
+        new = np.array([x[own == g].mean(axis=0) if (own == g).any() else centre[g] for g in range(groups)])
+        if np.array_equal(new, centre):
+            break
+        centre = new
+    out[rows, own] = 1.0
+    return out
 
 
 @dataclass
@@ -80,25 +104,21 @@ class Chain:
     models: list[Logistic]
 
     @classmethod
-    def fit(cls, rows: list[np.ndarray], toxic: np.ndarray, share: float | None = None, features: int = FEATURES, folds: int = FOLDS) -> Chain:
-        """``share``: the toxic share among all labels, if the sample's is another."""
+    def fit(cls, known: np.ndarray, bits: np.ndarray, toxic: np.ndarray, share: float | None = None, folds: int = FOLDS) -> Chain:
+        """``bits``: a row per document, ones where it has the known feature.  ``share``: the toxic share
+        among all labels, if the sample's is another."""
         own = toxic.mean() if len(toxic) else 0.0
         even = share is None or own in (0.0, 1.0)
         weight = np.ones(len(toxic)) if even else np.where(toxic, share / own, (1 - share) / (1 - own))
-        labels = {"toxic": toxic.astype(np.float64)}
-        for name, seeds in SEEDS.items():
-            wanted = np.array([word_hash(s) for s in seeds], np.uint32)
-            labels[name] = np.array([t and np.isin(wanted, r).any() for r, t in zip(rows, toxic, strict=True)], np.float64)
-        known = _select(rows, labels["toxic"], features)
-        x = Sparse.of([_lookup(known, r) for r in rows], len(known))
-        fold = np.arange(len(rows)) % folds
-        seen = np.zeros((len(rows), 0))
+        targets = [*kinds(bits, toxic).T, toxic.astype(np.float64)]
+        x = Sparse.of([np.flatnonzero(r) for r in bits], len(known))
+        fold = np.arange(len(bits)) % folds
+        seen = np.zeros((len(bits), 0))
         models = []
-        for name in CHAIN:
-            y = labels[name]
+        for y in targets:
             models.append(Logistic.fit(x, seen, y, weight))
-            out = np.zeros(len(rows))
-            for f in range(folds if len(rows) else 0):
+            out = np.zeros(len(bits))
+            for f in range(folds if len(bits) else 0):
                 inside, outside = np.flatnonzero(fold != f), np.flatnonzero(fold == f)
                 part = Logistic.fit(x.take(inside), seen[inside], y[inside], weight[inside])
                 out[outside] = part.predict(x.take(outside), seen[outside])
@@ -121,61 +141,69 @@ class Chain:
         return self.predict(Sparse(start.astype(np.int64), at[hit], len(self.known)))
 
 
-def _lookup(known: np.ndarray, hashes: np.ndarray) -> np.ndarray:
-    if not len(known):
-        return np.zeros(0, np.int64)
-    at = np.searchsorted(known, hashes)
-    at[at == len(known)] = 0
-    return at[known[at] == hashes]
-
-
-def _select(rows: list[np.ndarray], y: np.ndarray, features: int) -> np.ndarray:
-    """The features whose document counts differ most between the classes (log-likelihood ratio)."""
-    if not len(rows) or y.min() == y.max():
-        return np.zeros(0, np.uint32)
-    key = np.concatenate(rows).astype(np.uint64)  # sorted in place, the label in the lowest bit
-    key <<= np.uint64(1)
-    key |= np.repeat(y.astype(np.uint64), [len(r) for r in rows])
-    key.sort()
-    if not len(key):
-        return np.zeros(0, np.uint32)
-    first = np.flatnonzero(np.concatenate(([True], (key[1:] >> np.uint64(1)) != (key[:-1] >> np.uint64(1)))))
-    n = np.diff(np.append(first, len(key)))
-    pos = np.add.reduceat((key & np.uint64(1)).astype(np.int32), first)
-    often = n >= 2
-    first, n, pos = first[often], n[often], pos[often]
-    share = y.mean()
-    with np.errstate(divide="ignore", invalid="ignore"):
-        up = np.where(pos > 0, pos * np.log(pos / (n * share)), 0)
-        down = np.where(n > pos, (n - pos) * np.log((n - pos) / (n * (1 - share))), 0)
-    gain = up + down
-    best = np.argsort(-gain, kind="stable")[:features]
-    return np.sort((key[first[best[gain[best] > 2.0]]] >> np.uint64(1)).astype(np.uint32))
-
-
 def labelled(docs: DataFrame, marks: DataFrame) -> DataFrame:
     """(text, y) of the documents in ``marks`` (doc_id, y), a bounded sample: its size bounds what is
-    broadcast.  A document marked more than once counts with its largest mark."""
+    broadcast.  A document marked more than once counts with its largest mark, one that is repeated once."""
     once = marks.groupBy("doc_id").agg(F.max("y").cast("int").alias("y"))
-    return docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(once), "doc_id").select("text", "y")
+    found = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(once), "doc_id")
+    return found.dropDuplicates(["doc_id", "text"]).select("text", "y")
 
 
-def train(docs: DataFrame, labels: DataFrame, size: int = SAMPLE) -> Chain:
+def telling_features(sample: DataFrame, features: int) -> np.ndarray:
+    """The features of ``sample`` (text, y) whose document counts differ most between the classes
+    (log-likelihood ratio), at most ``features``; ties go to the smaller hash."""
+
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for piece in tw.pieces(batch):
                 row, h = _features(piece.column(0))
-                cuts = np.searchsorted(row, np.arange(piece.num_rows + 1))
-                found = [h[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(found, pa.binary()), piece.column(1)], names=["h", "y"])
+                toxic = piece.column(1).to_numpy() > 0
+                seen, at = np.unique(h, return_inverse=True)
+                n = np.bincount(at, minlength=len(seen))
+                pos = np.bincount(at, toxic[row].astype(np.float64), minlength=len(seen)).astype(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(seen.astype(np.int64)), pa.array(n), pa.array(pos)], names=["h", "n", "pos"])
+
+    counts = sample.mapInArrow(rows, "h long, n long, pos long").groupBy("h").agg(F.sum("n").alias("n"), F.sum("pos").alias("pos")).where("n >= 2")
+    share = sample.agg(F.avg(F.when(F.col("y") > 0, 1.0).otherwise(0.0))).first()[0]
+    if not share or share == 1.0:
+        return np.zeros(0, np.uint32)
+    half = lambda k, p: F.when(k > 0, k * F.ln(k / (F.col("n") * p))).otherwise(0.0)
+    gain = half(F.col("pos"), share) + half(F.col("n") - F.col("pos"), 1 - share)
+    best = counts.withColumn("gain", F.round(gain, 6)).where("gain > 2").orderBy(F.desc("gain"), "h").limit(features).select("h").toArrow()
+    return np.sort(best.column("h").to_numpy().astype(np.uint32))
 
+
+def present(known: np.ndarray, row: np.ndarray, h: np.ndarray, rows: int) -> np.ndarray:
+    """A row of zeros and ones over the known features for each of ``rows`` documents."""
+    out = np.zeros((rows, len(known)), np.uint8)
+    if len(known):
+        at = np.searchsorted(known, h)
+        at[at == len(known)] = 0
+        hit = known[at] == h
+        out[row[hit], at[hit]] = 1
+    return out
+
+
+def train(docs: DataFrame, labels: DataFrame, size: int = SAMPLE, features: int = FEATURES) -> Chain:
     marks = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull()).select("doc_id", F.col("toxic").cast("int").alias("y"))
     share = marks.agg(F.avg(F.when(F.col("y") > 0, 1.0).otherwise(0.0))).first()[0]
     bad, good = hash_sample(marks.where("y > 0"), "doc_id", int(size * TOXIC_SHARE)), hash_sample(marks.where("y <= 0"), "doc_id", int(size * (1 - TOXIC_SHARE)))
-    got = labelled(docs, bad.unionByName(good)).mapInArrow(rows, "h binary, y int").toArrow()
+    sample = materialize(labelled(docs, bad.unionByName(good)), "sample")
+    known = telling_features(sample, features)
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for piece in tw.pieces(batch):
+                packed = np.packbits(present(known, *_features(piece.column(0)), piece.num_rows), axis=1)
+                yield pa.RecordBatch.from_arrays([pa.array([r.tobytes() for r in packed], pa.binary()), piece.column(1)], names=["bits", "y"])
+
+    got = sample.mapInArrow(rows, "bits binary, y int").toArrow()
+    discard(sample)
     # In an order of their own, whatever the partitions: the same sample gives the same model.
-    pairs = sorted(zip(got.column("h").to_pylist(), got.column("y").to_pylist(), strict=True))
-    return Chain.fit([np.frombuffer(h, np.uint32) for h, _ in pairs], np.array([y > 0 for _, y in pairs], bool), share)
+    pairs = sorted(zip(got.column("bits").to_pylist(), got.column("y").to_pylist(), strict=True))
+    packed = np.frombuffer(b"".join(v for v, _ in pairs), np.uint8).reshape(len(pairs), -1) if pairs else np.zeros((0, 0), np.uint8)
+    bits = np.unpackbits(packed, axis=1, count=len(known)) if len(known) else np.zeros((len(pairs), 0), np.uint8)
+    return Chain.fit(known, bits, np.array([y > 0 for _, y in pairs], bool), share)
 
 
 def score(docs: DataFrame, chain: Chain, text_col: str = "text") -> DataFrame:

@@ -6,5 +6,5 @@ from leafmill.llm import linear, toxicity
 
 
 def test_features_and_steps_are_whole():
-    assert inspect.signature(toxicity.Chain.fit).parameters["features"].default >= 4096
+    assert inspect.signature(toxicity.train).parameters["features"].default >= 4096
     assert inspect.signature(linear.Logistic.fit).parameters["steps"].default >= 300
