@@ -9,7 +9,7 @@ No source is gathered in one task: a document's place in its queue comes from a
 digits cut every queue into ``16 ** SLICE_DIGITS`` slices; slices are summed, the sums accumulated,
 and documents ordered only within their slice.  In the same way virtual time is cut into slices,
 that is a range sort with ranges known beforehand: slices before the one in which the budget ends
-are taken whole, and only that one is sorted.
+are taken whole, that one is cut into finer ones, and only the finer one in which it ends is sorted.
 
 Defined results: a null or blank text has size 0 and is never taken; null sources form one source,
 ranked last; rows that repeat each other are documents of their own; an empty table gives an empty
@@ -18,7 +18,7 @@ mix.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -26,8 +26,9 @@ from .shared import materialize, table
 
 #: Hexadecimal digits of the queue hash that number a slice: 4096 slices a source.
 SLICE_DIGITS = 3
-#: Slices of a unit of virtual time.
+#: Slices of a unit of virtual time, and of the slice in which the budget ends.
 TIME_SLICES = 4096
+FINER = 1024
 MAX_PASSES = 3
 
 
@@ -83,6 +84,17 @@ def finish_times(queued: DataFrame, max_passes: int = MAX_PASSES) -> DataFrame:
     )
 
 
+def _edge(spanned: DataFrame, room: int, most: int | None) -> Row | None:
+    """The slice (span, held, spent) in which ``room`` ends, or None if it holds all.  Slices from ``most``
+    on are summed as one first: targets add up to the budget, so virtual time hardly runs past 1, and
+    only if it does are they told apart."""
+    run = Window.orderBy("span").rowsBetween(Window.unboundedPreceding, 0)
+    near = spanned.withColumn("span", F.least(F.col("span"), F.lit(most))) if most is not None else spanned
+    sums = near.groupBy("span").agg(F.sum("size").alias("held"))  # a row per slice
+    edge = sums.withColumn("spent", F.sum("held").over(run)).where(F.col("spent") > room).orderBy("span").first()
+    return _edge(spanned, room, None) if edge is not None and edge["span"] == most else edge
+
+
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", max_passes: int = MAX_PASSES) -> DataFrame:
     """Per document: id, source, size, source_size, target, and ``copies``, how often it is taken."""
     queued = materialize(queue(docs, id_col, text_col, source_col), "queue")
@@ -93,17 +105,18 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
         lambda p: (p * F.col("source_size") + F.col("before") + F.col("size")).cast("double") / F.col("target"),
     )
     timed = placed.where("size > 0").select("rank", "place", "id", "size", F.explode(finish).alias("finish"))
-    timed = timed.withColumn("span", F.floor(F.col("finish") * TIME_SLICES))
-    spans = timed.groupBy("span").agg(F.sum("size").alias("held"))
-    run = Window.orderBy("span").rowsBetween(Window.unboundedPreceding, 0)
     budget = placed.agg(F.sum("size")).first()[0] or 0
-    # The slice in which the budget ends, if it does.
-    edge = spans.withColumn("spent", F.sum("held").over(run)).where(F.col("spent") > budget).orderBy("span").first()
-    cut = None
-    if edge is not None:
-        room = budget - edge["spent"] + edge["held"]
+    room, inside, cut = budget, timed, None
+    # The budget ends in one slice of virtual time, and in one of that slice's slices; only these are sorted.
+    for width in (TIME_SLICES, TIME_SLICES * FINER):
+        edge = _edge(inside.withColumn("span", F.floor(F.col("finish") * width)), room, 2 * width if width == TIME_SLICES else None)
+        if edge is None:
+            break
+        room -= edge["spent"] - edge["held"]
+        inside = inside.where(F.floor(F.col("finish") * width) == edge["span"])
+    else:
         order = Window.orderBy("finish", "rank", "place", "id", "size").rowsBetween(Window.unboundedPreceding, 0)
-        used = timed.where(F.col("span") == edge["span"]).withColumn("used", F.sum("size").over(order))
+        used = inside.withColumn("used", F.sum("size").over(order))
         cut = used.where(F.col("used") > room).orderBy("finish", "rank", "place", "id", "size").first()
 
     def served(f: Column) -> Column:
