@@ -6,7 +6,9 @@ classifiers' margins against its codeword, weighted by how well each classifier
 the language of least loss is chosen, and ambiguity flagged where the runner-up is close.
 
 The classifiers learn from a bounded sample: about ``SAMPLE`` documents, shared evenly between the
-languages, chosen by hashed id.  Predictions use the text alone.
+languages, and about ``LEAST`` of each language where there are very many, chosen by hashed id.  Every
+language value is learned; the column is taken to hold tags, whose number does not grow with the rows.
+Predictions use the text alone.
 
 Defined results: a text that is null or has no letter is ``und`` with score 0; so is every text if
 nothing can be learned; with a single language, every text with a letter is of that language;
@@ -27,9 +29,10 @@ from pyspark.sql import functions as F
 
 from . import textwork as tw
 from .linear import sigmoid
-from .shared import id_crc, table
+from .shared import id_crc, materialize, table
 
 SAMPLE = 4000
+LEAST = 16
 WIDTH = 2048
 GRAMS = (2, 3, 4)
 AMBIGUOUS = 0.9
@@ -116,16 +119,18 @@ class Codes:
         return best, top, top < AMBIGUOUS
 
 
-def train(docs: DataFrame, learn: Column, size: int = SAMPLE) -> Codes:
-    """Fitted on documents with a language for which ``learn`` holds."""
-    rows = docs.where(learn & F.col("lang").isNotNull() & F.col("doc_id").isNotNull())
-    counts = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(size // 16).collect()
-    if not counts:
+def train(docs: DataFrame, learn: Column, size: int = SAMPLE, least: int = LEAST) -> Codes:
+    """Fitted on documents with a language for which ``learn`` holds, of every language."""
+    rows = docs.where(learn & F.col("lang").isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", "text", "lang")
+    counts = materialize(rows.groupBy("lang").agg(F.count("*").alias("n")), "languages")
+    many = counts.count()
+    if not many:
         return Codes.fit(np.zeros((0, WIDTH), np.float32), [])
-    each = size / len(counts)
+    each = max(size / many, least)
+    # Of a language with more documents, those whose hashed ids fall below its share.
     place = F.pmod(F.xxhash64(F.lit(23), "doc_id"), F.lit(1 << 30)) / float(1 << 30)
-    share = F.create_map(*[F.lit(v) for r in counts for v in (r["lang"], min(1.0, each / r["count"]))])
-    sample = rows.where(place < F.element_at(share, F.col("lang"))).select("text", "lang").limit(4 * size)
+    shares = counts.select(F.col("lang").alias("__lang"), F.least(F.lit(1.0), each / F.col("n")).alias("__share"))
+    sample = rows.join(F.broadcast(shares), F.col("lang") == F.col("__lang")).where(place < F.col("__share")).select("text", "lang")
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
