@@ -32,8 +32,9 @@ from .shared import aside, materialize, restored, table
 
 WINDOW = 10
 SHINGLE = 5
-#: Windows in a broadcast block: about 100 bytes each, so 40 MB at most.
-BLOCK_WINDOWS = 400_000
+#: Windows in a broadcast block: about 300 bytes each when sent (30 MB) and 2 kB each at the driver's peak
+#: (200 MB), while the block's shingles are counted.
+BLOCK_WINDOWS = 100_000
 
 
 def item_windows(items: DataFrame, id_col: str = "item_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
