@@ -7,6 +7,7 @@ import re
 
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from leafmill.llm import decontaminate, licenses, mixing, simhash, tokens, topk, warc
 from leafmill.llm.shared import shared_path
@@ -282,30 +283,89 @@ def test_warc_round_trip(spark):
     assert key(warc.read_archive(spark, copy).collect()) == key(got)
 
 
+def warc_record(kind, block, **fields):
+    lines = [f"WARC-Type: {kind}", *(f"{k.replace('_', '-')}: {v}" for k, v in fields.items()), f"Content-Length: {len(block)}"]
+    return "WARC/1.0\r\n".encode() + "\r\n".join(lines).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
+
+
+def test_foreign_archives_are_read_and_rewritten(spark, tmp_path):
+    """Records of every kind, an error page, a chunked response, bytes that are no text, a member per record."""
+    import base64
+    import gzip
+
+    rng = random.Random(1)
+    raw = bytes(rng.randrange(256) for _ in range(500))
+    sha1 = "sha1:" + base64.b32encode(hashlib.sha1(raw).digest()).decode()
+    chunked = b"".join(b"%x;x=y\r\n%s\r\n" % (len(raw[i : i + 77]), raw[i : i + 77]) for i in range(0, 500, 77)) + b"0\r\n\r\n"
+    http = "application/http; msgtype=response"
+    page = lambda status, body, *more: "\r\n".join([f"HTTP/1.1 {status}", *more]).encode() + b"\r\n\r\n" + body
+    files = [
+        warc_record("warcinfo", b"software: x\r\n", WARC_Record_ID="<urn:i>", WARC_Date="2020-01-01T00:00:00Z", Content_Type="application/warc-fields"),
+        warc_record("request", b"GET / HTTP/1.1\r\nHost: x\r\n\r\n", WARC_Record_ID="<urn:q>", WARC_Concurrent_To="<urn:a>", Content_Type="application/http; msgtype=request"),
+        warc_record("response", page("404 Not Found", raw, "Server: old", "Content-Length: 500"), WARC_Record_ID="<urn:b>", WARC_Date="2021-05-05T00:00:00Z", WARC_Target_URI="http://x/b", WARC_IP_Address="1.2.3.4", WARC_Payload_Digest=sha1, Content_Type=http),
+        warc_record("response", page("200 OK", chunked, "Transfer-Encoding: chunked", "X-Own: 1"), WARC_Record_ID="<urn:a>", WARC_Date="2020-05-05T00:00:00Z", WARC_Target_URI="http://x/a", Content_Type=http),
+        warc_record("revisit", page("200 OK", b"", "Content-Length: 500"), WARC_Record_ID="<urn:r>", WARC_Date="2022-01-01T00:00:00Z", WARC_Refers_To="<urn:b>", WARC_Payload_Digest=sha1, Content_Type=http),
+        warc_record("metadata", b"outlink: y", WARC_Record_ID="<urn:m>", Content_Type="application/warc-fields"),
+    ]
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in/a.warc.gz").write_bytes(b"".join(map(gzip.compress, files[:3])))
+    (tmp_path / "in/b.warc").write_bytes(b"".join(files[3:])[:-2])  # cut off in the last line end
+    got = {r["record_id"]: r for r in warc.read_archive(spark, str(tmp_path / "in")).collect()}
+    assert {k: r["record_type"] for k, r in got.items()} == {"<urn:i>": "warcinfo", "<urn:q>": "request", "<urn:b>": "response", "<urn:a>": "response", "<urn:r>": "revisit", "<urn:m>": "metadata"}
+    for k in ("<urn:a>", "<urn:b>"):
+        assert (got[k]["payload"], got[k]["payload_bytes"], got[k]["payload_digest"]) == (raw, 500, hashlib.sha256(raw).hexdigest())
+    assert got["<urn:b>"]["digest_ok"] and got["<urn:a>"]["digest_ok"] is None and got["<urn:b>"]["http_head"] == b"HTTP/1.1 404 Not Found\r\nServer: old"
+    warc.deduplicate_archive(spark, str(tmp_path / "in"), str(tmp_path / "out"))
+    new = {r["record_id"]: r for r in warc.read_archive(spark, str(tmp_path / "out")).collect()}
+    assert set(new) == set(got)
+    assert (new["<urn:a>"]["record_type"], new["<urn:a>"]["payload"], new["<urn:a>"]["http_head"], new["<urn:a>"]["date"], new["<urn:a>"]["digest_ok"]) == ("response", raw, b"HTTP/1.1 200 OK\r\nX-Own: 1", "2020-05-05T00:00:00Z", True)
+    b = new["<urn:b>"]
+    assert (b["record_type"], b["refers_to_id"], b["refers_to_uri"], b["refers_to_date"], b["date"], b["payload_bytes"]) == ("revisit", "<urn:a>", "http://x/a", "2020-05-05T00:00:00Z", "2021-05-05T00:00:00Z", 500)
+    assert b["http_head"].startswith(b"HTTP/1.1 404") and ("WARC-IP-Address", "1.2.3.4") in {(f["name"], f["value"]) for f in b["fields"]}
+    assert (new["<urn:r>"]["record_type"], new["<urn:r>"]["refers_to_id"]) == ("revisit", "<urn:a>")
+    for k in ("<urn:i>", "<urn:q>", "<urn:m>"):
+        keep = lambda r: [(f["name"], f["value"]) for f in r["fields"]]
+        assert (new[k]["payload"], keep(new[k])) == (got[k]["payload"], keep(got[k]))
+
+
 def test_warc_of_an_empty_table(spark):
     path = shared_path(spark, "t")
     warc.write_archive(warc.resolve_revisits(warc.records(spark.createDataFrame([], "page_id long, url string, html string"))), path)
     assert warc.read_archive(spark, path).count() == 0
 
 
+def viterbi(model, word):
+    """The token count of the best segmentation by trying all of them, shortest prefix first; of equal
+    ones that whose last piece is longest."""
+    word = "\u2581" + word
+    best = {0: (0.0, 0)}
+    for end in range(1, len(word) + 1):
+        options = []
+        for start in range(end):
+            piece = word[start:end]
+            if piece in model.score:
+                options.append((best[start][0] + model.score[piece], end - start, best[start][1] + 1))
+        if word[end - 1] not in model.score:
+            n = len(word[end - 1].encode())
+            options.append((best[end - 1][0] + n * model.byte_score, 0, best[end - 1][1] + n))
+        top = max(options)
+        best[end] = (top[0], top[2])
+    return best[len(word)][1]
+
+
 def test_token_counts_equal_a_plain_viterbi(spark):
     model = tokens.Unigram.of_pieces(["▁", "a", "b", "▁a", "ab", "ba", "▁ab", "abab", "é"])
     rng = random.Random(7)
     word = lambda: "".join(rng.choice("abécß") for _ in range(rng.randint(1, 12)))
     texts = [" ".join(word() for _ in range(rng.randint(0, 40))) for _ in range(60)] + [None, "", " \n\t", "ab" * 400, "a b", "a b"]
-    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    got = {r["id"]: (r["n_words"], r["n_tokens"]) for r in tokens.token_counts(df, model).collect()}
-    for i, t in enumerate(texts):
-        words = (t or "").split()
-        want = 0
-        for w in words:
-            best, count = [0.0], [0]
-            for end in range(1, len(w) + 2):
-                top, n = tokens.step(model, tokens.MARK + w, end, best, count)
-                best.append(top)
-                count.append(n)
-            want += count[-1]
-        assert got[i] == (len(words), want)
+    df = spark.createDataFrame([*enumerate(texts), (None, "ab a"), (3, "ab ab")], "doc_id long, text string")
+    for c in ("id", "n_words", "n_tokens"):
+        df = df.withColumn(c, F.lit("own"))
+    rows = tokens.token_counts(df, model).collect()
+    got = sorted(((r["id"], r["n_words"], r["n_tokens"]) for r in rows), key=str)
+    want = sorted(((i, len((t or "").split()), sum(viterbi(model, w) for w in (t or "").split())) for i, t in [*enumerate(texts), (None, "ab a"), (3, "ab ab")]), key=str)
+    assert got == want
+    assert tokens.token_counts(df.where("false"), model).count() == 0
 
 
 def test_tries_are_renewed_without_changing_counts(monkeypatch):
@@ -360,3 +420,25 @@ def test_license_scan(spark):
             else:
                 assert (i, name) not in got, (i, name, share)
     assert licenses.scan(spark.createDataFrame([], "doc_id long, text string"), licenses.template_table(spark)).count() == 0
+
+
+def test_license_scan_of_odd_rows(spark):
+    mit = licenses.TEMPLATES["MIT"]
+    rows = [(None, mit), (1, mit), (1, mit), (2, "x " + mit), (3, "none here at all")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for c in ("id", "license", "words", "at", "key", "start", "share"):
+        df = df.withColumn(c, F.lit("own"))
+    got = sorted(((r["id"], r["license"], r["position"]) for r in licenses.scan(df, licenses.template_table(spark)).collect()), key=str)
+    assert got == [(1, "MIT", 0), (2, "MIT", 1), (None, "MIT", 0)]
+
+
+def test_long_texts_and_clashing_names(spark):
+    long = " ".join(f"w{i % 977}" for i in range(200_000))
+    rows = [(1, long, "a"), (2, "few words", "a"), (3, long + " end", "b")]
+    df = docs_frame(spark, rows, extra=True)
+    got = {r["id"]: r["size"] for r in mixing.mix(df).collect()}
+    assert got == {1: 200_000, 2: 2, 3: 200_001}
+    for name in ("record_type", "payload", "date", "fields", "uri"):
+        df = df.withColumn(name, F.lit("own"))
+    found = warc.resolve_revisits(warc.records(df, key="doc_id", uri="source", payload="text"))
+    assert {r["record_key"]: r["payload_bytes"] for r in found.collect()} == {1: len(long), 2: 9, 3: len(long) + 4}

@@ -141,3 +141,132 @@ def test_long_texts_are_hashed_in_parts(monkeypatch):
     parts = tw.tokenize(texts, prefixes=(4,)), language.gram_features(texts), tw.runs(texts)
     assert np.array_equal(whole[0][0].hash, parts[0][0].hash) and np.array_equal(whole[0][1], parts[0][1])
     assert np.allclose(whole[1], parts[1]) and np.array_equal(whole[2].hash, parts[2].hash)
+
+
+def plain_hash(data):
+    """The library's hash of a run of bytes, in Python's integers."""
+    base, mask = 0x9E3779B97F4A7C15, 2**64 - 1
+    total = sum((b + 1) * pow(base, i, 2**64) for i, b in enumerate(data)) & mask
+    return mixed(total)
+
+
+def mixed(x):
+    mask = 2**64 - 1
+    x ^= x >> 30
+    x = x * 0xBF58476D1CE4E5B9 & mask
+    x ^= x >> 27
+    x = x * 0x94D049BB133111EB & mask
+    return x ^ (x >> 31)
+
+
+def logistic(z):
+    import math
+
+    return 1 / (1 + math.exp(-max(-40.0, min(40.0, z))))
+
+
+def test_toxicity_scores_equal_a_plain_rescoring(spark, corpus):
+    import re
+
+    docs, labels = corpus
+    chain = toxicity.train(docs, labels)
+    at = {int(h): i for i, h in enumerate(chain.known)}
+    base, mask = 0x9E3779B97F4A7C15, 2**64 - 1
+    got = {r["doc_id"]: r for r in toxicity.score(docs.where("doc_id < 60 OR doc_id >= 5000"), chain).collect()}
+    for r in got.values():
+        found = set()
+        for w in re.findall(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (r["text"] or "")[:20_000].encode().lower() if r["doc_id"] != 5003 else b""):
+            found.add(plain_hash(w) >> 32)
+            for k in toxicity.PREFIXES:
+                if len(w) > k:
+                    found.add(mixed((sum((b + 1) * pow(base, i, 2**64) for i, b in enumerate(w[:k])) + k) & mask) >> 32)
+        if r["doc_id"] == 5003:
+            continue
+        seen = []
+        for name, m in zip(chain.names, chain.models, strict=True):
+            z = sum(m.weight[at[h]] for h in found if h in at) + sum(d * p for d, p in zip(m.dense, seen, strict=True)) + m.bias
+            seen.append(logistic(z))
+            assert abs(seen[-1] - r[f"p_{name}"]) < 1e-9
+    assert len(got) > 60
+
+
+def test_kinds_part_the_toxic_documents(spark, corpus):
+    docs, labels = corpus
+    chain = toxicity.train(docs, labels)
+    assert chain.names == toxicity.CHAIN and len(chain.models) == toxicity.KINDS + 1
+    bits = np.array([[1, 0, 1], [1, 0, 0], [0, 1, 0], [0, 1, 1], [0, 0, 1], [0, 0, 1]], np.uint8)
+    toxic = np.array([True, True, True, True, False, False])
+    groups = toxicity.kinds(bits, toxic, 2)
+    assert groups[:4].sum(axis=1).tolist() == [1, 1, 1, 1] and not groups[4:].any()
+    assert (groups[0] == groups[1]).all() and (groups[2] == groups[3]).all() and (groups[0] != groups[2]).any()
+    assert not toxicity.kinds(bits, np.zeros(6, bool), 2).any()
+
+
+def test_quality_scores_equal_a_plain_rescoring(spark, corpus):
+    import re
+
+    docs, labels = corpus
+    vectors = quality.word_vectors(docs)
+    net = quality.train(docs, labels, vectors)
+    for r in quality.score(docs.where("doc_id < 40 OR doc_id IN (5000, 5001, 5002)"), vectors, net).collect():
+        runs = re.findall(rb"[0-9a-zA-Z\x80-\xff]+|[^0-9a-zA-Z\x80-\xff \t\n\r\x0b\x0c]+", (r["text"] or "").encode())
+        total, last = np.zeros(quality.DIMENSIONS), None
+        for run in runs:
+            word = re.match(rb"[0-9a-zA-Z\x80-\xff]", run) is not None
+            bucket = plain_hash(run) % (quality.BUCKETS - 1) + 1
+            total += vectors[0 if word and run == last else bucket]
+            last = run if word else last
+        x = total / (len(runs) + quality.SHRINK)
+        h = np.tanh((x - net.mean) / net.scale @ net.layers[0] + net.layers[1])
+        assert abs(logistic(float((h @ net.layers[2] + net.layers[3])[0]) / net.temperature) - r["quality_score"]) < 1e-4
+
+
+def test_language_scores_equal_a_plain_decoding(spark, corpus):
+    import math
+
+    docs, _ = corpus
+    model = language.train(docs, F.lit(True))
+    for r in language.identify(docs.where("doc_id < 40"), model).join(docs.where("doc_id < 40").select(F.col("doc_id").alias("id"), "text").distinct(), "id").collect():
+        flat = [b + 32 if 65 <= b <= 90 else b if b >= 128 or 97 <= b <= 122 else 0 for b in r["text"].encode()]
+        counts = {}
+        for n in language.GRAMS:
+            for i in range(len(flat) - n + 1):
+                code = 0
+                for b in flat[i : i + n]:
+                    code = code * 257 + b
+                if code:
+                    slot = mixed((code + (n << 40)) & (2**64 - 1)) % language.WIDTH
+                    counts[slot] = counts.get(slot, 0) + 1
+        total = max(1, sum(counts.values()))
+        margin = [sum(math.sqrt(c / total) * model.weight[s, j] for s, c in counts.items()) + model.bias[j] for j in range(model.code.shape[1])]
+        loss = [sum(t * math.log1p(math.exp(-m * c)) for t, m, c in zip(model.trust, margin, code, strict=True)) for code in model.code]
+        shares = [math.exp(-(v - min(loss)) * model.code.shape[1]) for v in loss]
+        assert r["lang_pred"] == model.langs[loss.index(min(loss))] and abs(r["score"] - max(shares) / sum(shares)) < 1e-3
+
+
+def test_every_language_is_learned(spark):
+    rng = random.Random(4)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    rows = []
+    for k in range(300):
+        own = ["".join(rng.choice(letters) for _ in range(4)) for _ in range(3)]
+        rows += [(k * 100 + i, " ".join(rng.choice(own) for _ in range(40)), f"l{k:03}") for i in range(8)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language.train(docs, F.lit(True), size=600)
+    assert len(model.langs) == 300
+    got = language.identify(docs, model).collect()
+    truth = {i: lang for i, _, lang in rows}
+    assert np.mean([r["lang_pred"] == truth[r["id"]] for r in got]) > 0.9
+
+
+def test_language_of_odd_tables(spark, corpus):
+    docs, _ = corpus
+    model = language.train(docs, F.lit(True))
+    assert language.identify(docs.where("false"), model).count() == 0
+    assert language.train(docs.where("false"), F.lit(True)).langs == []
+    for c in ("id", "lang_pred", "score", "ambiguous", "n", "__lang", "x"):
+        docs = docs.withColumn(c, F.lit("own"))
+    again = language.train(docs, F.lit(True))
+    assert np.array_equal(again.weight, model.weight)
+    rows = language.identify(docs, model)
+    assert rows.columns == ["id", "lang_pred", "score", "ambiguous"] and rows.count() == docs.count()

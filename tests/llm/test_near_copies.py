@@ -3,6 +3,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from leafmill.llm import simhash
 
@@ -51,16 +52,112 @@ def test_near_copies_meet(kind):
     assert met >= 299
 
 
-def test_no_pair_of_a_bucket_is_skipped(spark):
+@pytest.mark.parametrize("small", [1000, 8, 0])
+def test_no_pair_of_a_bucket_is_skipped(spark, small):
     # 3-45 and 17-31 lie among nodes like none; 50-59 are all alike; 60 joins 45 in another bucket only.
     alike = {(3, 45), (17, 31), (45, 60)} | {(a, b) for a in range(50, 60) for b in range(a + 1, 60)}
     met = spark.createDataFrame([(n, 9, 1) for n in range(60)] + [(n, 9, 2) for n in (40, 45, 60)] + [(70, 9, 3)] * 2, "node long, size long, bucket long")
     truth = spark.createDataFrame(sorted(alike), "a long, b long")
-    roots = simhash.grouped(met, lambda pairs: pairs.join(truth, ["a", "b"]))
+
+    def joined(crowd):
+        a, b = crowd.select(F.col("node").alias("a")), crowd.select(F.col("node").alias("b"))
+        return truth.join(a, "a", "left_semi").join(b, "b", "left_semi").select("a", "b")
+
+    roots = simhash.grouped(met, lambda pairs: pairs.join(truth, ["a", "b"]), joined, small)
     want = {3: 3, 45: 3, 60: 3, 17: 17, 31: 17} | {n: 50 for n in range(50, 60)}
     assert {r["node"]: r["root"] for r in roots.collect()} == want
 
 
+def test_prefixes_lose_no_pair_and_spare_what_is_common(spark):
+    rng = random.Random(6)
+    sets = []
+    for _ in range(60):
+        base = {rng.randrange(4000) for _ in range(rng.choice([4, 9, 30, 90]))}
+        sets.append(base)
+        for _ in range(3):
+            own = set(base)
+            for t in rng.sample(sorted(own), rng.randint(0, max(1, len(own) // 8))):
+                own.discard(t)
+            own |= {rng.randrange(4000) for _ in range(rng.randint(0, max(1, len(base) // 10)))}
+            sets.append(own or {1})
+    common = set(range(10_000, 10_060))
+    crowd = [common | {20_000 + 30 * i + j for j in range(20)} for i in range(150)]  # 0.6 alike
+    sets += crowd
+    nodes = spark.createDataFrame([(i, len(s), i) for i, s in enumerate(sets)], "node long, size long, root long")
+    held = spark.createDataFrame([(i, t) for i, s in enumerate(sets) for t in s], "node long, token long")
+    got = {(r["a"], r["b"]) for r in simhash.prefix_pairs(nodes, held).collect()}
+    want = {(a, b) for b in range(len(sets)) for a in range(b) if 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])}
+    assert want <= got and not any(a >= len(sets) - 150 and b >= len(sets) - 150 for a, b in got)
+    one_root = nodes.withColumn("root", F.lit(1).cast("long"))
+    assert simhash.prefix_pairs(one_root, held).count() == 0
+
+
+RECALL = {}
+
+
+@pytest.mark.parametrize("band", [(0.8, 0.85), (0.85, 0.9), (0.9, 1.0)])
+def test_recall_by_similarity(spark, band):
+    """Pairs of every kind of edit, and of one set of words in another order, against brute force."""
+    rng = random.Random(int(band[0] * 100))
+    pairs = []
+    while len(pairs) < 240:
+        kind = ["appended", "truncated", "substituted", "reordered"][len(pairs) % 4]
+        words = plain(rng, rng.choice([120, 300, 700]))
+        n = len(words)
+        share = rng.uniform(0.0, 0.25)
+        out = list(words)
+        if kind == "appended":
+            out += plain(rng, max(1, int(n * share)))
+        elif kind == "truncated":
+            out = out[: n - max(1, int(n * share))]
+        elif kind == "substituted":
+            for i in rng.sample(range(n), max(1, int(n * share / 9))):
+                out[i] = f"new{rng.randint(0, 9999)}"
+        else:
+            for i in rng.sample(range(n - 1), max(1, int(n * share / 11))):
+                out[i], out[i + 1] = out[i + 1], out[i]
+        a, b = " ".join(words), " ".join(out)
+        if band[0] <= jaccard(a, b) < band[1]:
+            pairs.append((a, b))
+    rows = [(2 * i + j, t) for i, p in enumerate(pairs) for j, t in enumerate(p)]
+    found = {r["id"]: r["component"] for r in simhash.similar_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    linked = sum(found[2 * i + 1] == 2 * i for i in range(len(pairs)))
+    RECALL[band] = linked / len(pairs)
+    print(band, linked, len(pairs))
+    assert linked >= 0.99 * len(pairs)
+
+
+def test_many_texts_around_one_passage(spark):
+    """Texts that share most of their words but are not 0.8 alike, pairs of copies among them."""
+    rng = random.Random(12)
+    form = plain(rng, 200)
+    texts = []
+    for i in range(80):
+        own = form + [f"own{i}x{j}" for j in range(60)]
+        texts.append(" ".join(own))
+        if i % 4 == 0:
+            texts.append(" ".join([*own[:-1], "other"]))
+    found = {r["id"]: r["component"] for r in simhash.similar_groups(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    want = {i: (i - 1 if t.endswith("other") else i) for i, t in enumerate(texts)}
+    assert found == want
+
+
+def test_odd_rows_of_the_stage(spark):
+    rng = random.Random(3)
+    a, b, c = (" ".join(plain(rng, 80)) for _ in range(3))
+    long = " ".join(f"l{i}" for i in range(120_000))
+    rows = [(1, a), (1, b), (1, b), (2, a + " tail"), (3, c), (3, c), (None, a), (None, None), (4, None), (5, ""), (6, long), (7, long + " end"), (8, "one")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("key", F.lit("own")).withColumn("__key", F.lit(1)).withColumn("first", F.lit(2))
+    kept = simhash.drop_near_duplicates(df)
+    assert kept.columns == df.columns
+    got = sorted(((r["doc_id"], r["text"]) for r in kept.collect()), key=str)
+    want = sorted([(1, a), (1, b), (3, c), (None, a), (None, None), (4, None), (6, long), (8, "one")], key=str)
+    assert got == want
+    again = sorted(((r["doc_id"], r["text"]) for r in simhash.drop_near_duplicates(df.repartition(5)).collect()), key=str)
+    assert again == want
+    assert simhash.drop_near_duplicates(df.where("false")).count() == 0
+
+
 def test_groups_equal_brute_force(spark):
     """Edits from far below to far above 0.8, and templated texts that share most of their words."""
     rng = random.Random(8)

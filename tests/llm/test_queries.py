@@ -10,7 +10,7 @@ import __spark_entry__ as entry
 from leafmill.llm import licenses, tokens
 from leafmill.llm.queries import QUERIES, SQL
 
-from .test_exact import license_brute, op3_brute
+from .test_exact import license_brute, op3_brute, viterbi
 
 SF = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="the test tables are not here")
@@ -59,11 +59,13 @@ def test_license_query(spark, docs):
 
 
 def test_token_query(spark, docs):
-    trie = tokens.Trie(tokens.Unigram.load())
+    model = tokens.Unigram.load()
     got = {r["doc_id"]: (r["n_words"], r["n_tokens"]) for r in QUERIES["op9_tokens"](spark, SF).collect()}
-    for i in list(docs)[:40]:
+    for i in docs:
         words = (docs[i][1] or "").encode().split()
-        assert got[i] == (len(words), sum(trie.alone(tokens.MARK + w.decode()) for w in words))
+        assert got[i][0] == len(words)
+        if len(words) < 3000:
+            assert got[i][1] == sum(viterbi(model, w.decode()) for w in words)
 
 
 def test_classifier_queries(spark, duck, docs):
