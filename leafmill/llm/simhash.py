@@ -5,7 +5,13 @@ radius of each other share a variant, so shuffling on variants brings every pair
 65 distinct fingerprints can meet in one variant (for radius 2), whatever the number of copies.
 Links are verified and deduplicated, and components found by repeated contraction: each round every
 node hooks to its smallest neighbour, the trees are flattened by pointer doubling, and the edges are
-rewritten between their roots, which at least halves the nodes of every unfinished component.
+rewritten between their roots, which over two rounds at least halves the nodes of every unfinished
+component.
+
+The pipeline's near duplicates (:func:`drop_near_duplicates`) are texts 0.8 alike by five-word shingles,
+which fingerprints of few differing bits cannot tell: a pair at 0.8 differs in about a sixth of the bits
+of any SimHash.  So they are found by MinHash bands and, where many unlike texts meet, by prefix
+filtering, and confirmed by their sets.
 
 Defined results: a null or blank text has fingerprint zero, linked like any other; a null id never
 names a component unless no member has an id (then the component's id is null); repeated rows are
@@ -30,6 +36,10 @@ from .shared import discard, materialize, table
 #: a band with probability 1 - (1 - 0.8 ** 6) ** 32 = 0.9999, whatever the edit that parts them.
 BANDS = 32
 BAND_ROWS = 6
+#: Buckets of at most so many nodes are compared pair by pair; the rest by their rare shingles.
+SMALL_BUCKET = 8
+#: How often one pair of each two components is tried before all that are left.
+ROUNDS = 3
 #: Bits set in a byte value, one per byte lane of a 64-bit word.
 _LANES = np.array([sum(((b >> i) & 1) << (8 * i) for i in range(8)) for b in range(256)], np.uint64)
 
@@ -199,33 +209,106 @@ def sketch(text: bytes) -> np.ndarray:
     return out
 
 
-def grouped(met: DataFrame, alike: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """(node, root) for the components of all pairs of one bucket that ``alike`` keeps; ``met`` has node,
-    the size of its set, and bucket.
+def grouped(met: DataFrame, alike: Callable[[DataFrame], DataFrame], joined: Callable[[DataFrame, bool], DataFrame], small: int = SMALL_BUCKET) -> DataFrame:
+    """(node, root) for the components of all alike pairs that meet in a bucket; ``met`` has node, the size
+    of its set, and bucket.
 
-    Every node is compared with the smallest of each of its buckets.  Then all pairs of a bucket in
-    different components are compared too: only those may still join components, so none is lost.
+    Every node is compared with the smallest of each of its buckets.  Buckets that this leaves in several
+    components go on: all pairs of different components of one of at most ``small`` nodes are compared;
+    the nodes of larger ones (node, size, root) are handed to ``joined``, which gives all pairs that can be
+    alike without pairing the members of a bucket.  First it is asked, a few times, for one pair of each two
+    components: what these link needs no further pairs.  So no pair is lost that may join components.
     """
     heads = met.groupBy("bucket").agg(F.min("node").alias("head"), F.max("node").alias("last")).where("head <> last").drop("last")
     shared = materialize(met.join(heads, "bucket"), "shared")
     first = materialize(shared.where("node <> head").select(F.col("head").alias("a"), F.col("node").alias("b")).distinct(), "pairs")
     links = materialize(alike(first), "links")
     roots = components(links)
-    rooted = shared.drop("head").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    rooted = materialize(rooted, "rooted")
-    apart = rooted.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("bucket")
-    sides = [rooted.join(apart, "bucket").select("bucket", *[F.col(c).alias(x + c) for c in ("node", "size", "root")]) for x in ("a", "b")]
+    name = lambda df, roots: df.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    rooted = materialize(name(shared.drop("head").distinct(), roots), "rooted")
+    apart = rooted.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("members")).where("low <> high")
+    apart = materialize(apart.select("bucket", "members"), "apart")
+    many = apart.where(F.col("members") > small)
+    crowd = materialize(rooted.join(many, "bucket", "left_semi").select("node", "size", "root").distinct(), "crowd")
+    crowded = bool(crowd.limit(1).count())
+    for _ in range(ROUNDS if crowded else 0):
+        found = materialize(alike(joined(crowd, True)), "links")
+        if not found.limit(1).count():
+            break
+        links = materialize(links.unionByName(found), "links")
+        roots = components(links)
+        crowd = materialize(name(crowd.drop("root"), roots), "crowd")
+    rooted = materialize(name(rooted.drop("root"), roots), "rooted")
+    few = apart.where(F.col("members") <= small).select("bucket")
+    sides = [rooted.join(few, "bucket").select("bucket", *[F.col(c).alias(x + c) for c in ("node", "size", "root")]) for x in ("a", "b")]
     sized = (5 * F.col("asize") >= 4 * F.col("bsize")) & (5 * F.col("bsize") >= 4 * F.col("asize"))
     rest = sides[0].join(sides[1], "bucket").where("anode < bnode AND aroot <> broot").where(sized)
-    rest = rest.select(F.col("anode").alias("a"), F.col("bnode").alias("b")).distinct()
-    rest = materialize(rest.join(first, ["a", "b"], "left_anti"), "pairs")
+    rest = rest.select(F.col("anode").alias("a"), F.col("bnode").alias("b"))
+    if crowded:
+        rest = rest.unionByName(joined(crowd, False))
+    rest = materialize(rest.distinct().join(first, ["a", "b"], "left_anti"), "pairs")
     if rest.limit(1).count():
         roots = components(links.unionByName(alike(rest)))
-    for old in (shared, first, links, rooted, rest):
+    for old in (shared, first, links, rooted, apart, crowd, rest):
         discard(old)
     return roots
 
 
+def prefixes(crowd: DataFrame, tokens: DataFrame) -> DataFrame:
+    """(token, node, size, place): the first tokens of each set, by rarity among all sets, of which an alike
+    set must hold one: all but the last ceil(0.8 n), and one more.  ``crowd``: node and size; ``tokens``: node
+    and each token of its set.  Tokens of a single set are left out, but have their places."""
+    counts = tokens.groupBy("token").agg(F.count("*").alias("n")).where("n > 1")
+    held = tokens.join(counts, "token").join(crowd.select("node", "size"), "node")
+    # Tokens of a single set come first in it; they pair nothing, and only their number counts.
+    w = Window.partitionBy("node")
+    place = F.row_number().over(w.orderBy("n", "token")) + F.col("size") - F.count("*").over(w)  # from 1
+    placed = held.withColumn("place", place).where(F.col("place") <= F.col("size") - F.ceil(4 * F.col("size") / 5) + 1)
+    return materialize(placed.select("token", "node", "size", "place"), "prefixes")
+
+
+def prefix_pairs(placed: DataFrame, roots: DataFrame, one_each: bool = False) -> DataFrame:
+    """(a, b), a < b: the pairs of nodes of different roots whose sets can have a Jaccard similarity of
+    0.8 or more; with ``one_each`` one such pair at most of each two roots.  ``placed``: as from
+    :func:`prefixes`; ``roots``: node and root.
+
+    Prefix filtering: of an alike pair the larger set has among its first tokens one that the smaller has
+    among all but its last ceil(8/9 n) and one more, at places from which the rest can still overlap
+    enough.  What many sets share comes last in all of them and pairs nothing.
+    """
+    known = placed.join(roots.select("node", "root"), "node")
+    mixed = known.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("token")
+    met = known.join(mixed, "token", "left_semi")
+    small = met.where(F.col("place") <= F.col("size") - F.ceil(8 * F.col("size") / 9) + 1)
+    if one_each:  # of each root the set that has the token foremost
+        lead = lambda df: df.groupBy("token", "root").agg(F.min(F.struct("place", "node", "size")).alias("e")).select("token", "root", "e.*")
+        small, met = lead(small), lead(met)
+    side = lambda df, x: df.select("token", *[F.col(c).alias(x + c) for c in ("node", "size", "root", "place")])
+    ordered = (F.col("ssize") < F.col("lsize")) | ((F.col("ssize") == F.col("lsize")) & (F.col("snode") < F.col("lnode")))
+    most = F.least(F.col("ssize") - F.col("splace"), F.col("lsize") - F.col("lplace")) + 1
+    enough = (5 * F.col("ssize") >= 4 * F.col("lsize")) & (9 * most >= 4 * (F.col("ssize") + F.col("lsize")))
+    pairs = side(small, "s").join(side(met, "l"), "token").where(F.col("sroot") != F.col("lroot")).where(ordered & enough)
+    pairs = pairs.select(F.least("snode", "lnode").alias("a"), F.greatest("snode", "lnode").alias("b"), F.least("sroot", "lroot").alias("ra"), F.greatest("sroot", "lroot").alias("rb"))
+    if one_each:
+        pairs = pairs.groupBy("ra", "rb").agg(F.min(F.struct("a", "b")).alias("p")).select("p.*")
+    return pairs.select("a", "b").distinct()
+
+
+def tokens_of(nodes: DataFrame, distinct: DataFrame, texts: DataFrame) -> DataFrame:
+    """(node, token) for every shingle of the texts of ``nodes``, once per set."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for node, text in zip(batch.column(0), batch.column(1), strict=True):
+                found = shingles(text.as_buffer().to_pybytes()).view(np.int64)
+                for at in range(0, len(found), 1 << 16):
+                    part = found[at : at + (1 << 16)]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), node.as_py())), pa.array(part)], names=["node", "token"])
+
+    keys = distinct.select("node", "key").join(nodes.select("node"), "node", "left_semi")
+    return texts.join(keys, "key").select("node", "t").dropDuplicates(["node"]).mapInArrow(rows, "node long, token long")
+
+
 def alike(pairs: DataFrame, distinct: DataFrame, texts: DataFrame) -> DataFrame:
     """The pairs (a, b) of nodes of ``distinct`` whose texts' sets of shingles are 0.8 alike or more."""
     ends = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
@@ -250,13 +333,14 @@ def alike(pairs: DataFrame, distinct: DataFrame, texts: DataFrame) -> DataFrame:
 
 
 def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, component) of near duplicates: texts whose sets of five-word shingles have a Jaccard
-    similarity of 0.8 or more, and texts that such pairs join.
-
-    Texts of one set of shingles are one node.  Nodes are looked up by MinHash bands.  Those that meet
-    in a bucket are compared with its smallest node; then all pairs of a bucket that verified links
-    leave in different components are compared as well, so no pair is skipped that could join two
-    components, and a large group of copies costs one comparison each.  Candidate pairs are
+    """(id, key, component, first) of near duplicates, a row per row of ``docs``: texts whose sets of
+    five-word shingles have a Jaccard similarity of 0.8 or more, and texts that such pairs join.
+    ``component`` is the group's smallest id, ``key`` a hash of the row's own text, and ``first`` tells
+    whether the row has the smallest (id, key) of its group.
+
+    Texts of one set of shingles are one node.  Nodes are looked up by MinHash bands and compared as in
+    :func:`grouped`; a large group of copies costs one comparison each, and texts that only share much of
+    their words are told apart by their rare shingles (:func:`prefix_pairs`).  Candidate pairs are
     deduplicated and confirmed on their texts.
     """
     names = ["node", "size", *(f"m{i}" for i in range(BANDS))]
@@ -271,22 +355,36 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     texts = docs.select(F.xxhash64(text).alias("key"), text.alias("t"))
     cells = docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("key"), text.alias("t"))
     marked = materialize(cells.mapInArrow(rows, ", ".join([f"id {kind}", "key long", *(f"{c} long" for c in names)])), "sketches")
-    distinct = materialize(marked.groupBy(*names).agg(F.min("id").alias("least"), F.min("key").alias("key")), "distinct")
+    # Rows without an id come after all others.
+    own = F.struct(F.col("id").isNull().alias("none"), "id", "key")
+    distinct = materialize(marked.groupBy(*names).agg(F.min(own).alias("least"), F.min("key").alias("key")), "distinct")
     met = distinct.where("size > 0").select("node", "size", F.explode(F.array(*names[2:])).alias("bucket"))
-    roots = grouped(met, lambda pairs: alike(pairs, distinct, texts))
+    held: list[DataFrame] = []  # the prefixes of the crowd, the same in every round
+
+    def joined(crowd: DataFrame, one_each: bool) -> DataFrame:
+        if not held:
+            held.append(prefixes(crowd, tokens_of(crowd, distinct, texts)))
+        return prefix_pairs(held[0], crowd, one_each)
+
+    roots = grouped(met, lambda pairs: alike(pairs, distinct, texts), joined)
     rooted = distinct.select("node", "least").join(roots, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root"))
     # Written first, so that the join exchanges both sides and a large component can be split.
-    least = materialize(rooted.groupBy("root").agg(F.min("least").alias("component")), "components")
-    named = materialize(rooted.join(least, "root").select("node", "component"), "named")
-    return marked.select("id", "node").join(named, "node").select("id", "component")
+    least = materialize(rooted.groupBy("root").agg(F.min("least").alias("first")), "components")
+    named = materialize(rooted.join(least, "root").select("node", "first"), "named")
+    found = marked.select("id", "key", "node").join(named, "node")
+    return found.select("id", "key", F.col("first.id").alias("component"), (F.col("id").eqNullSafe(F.col("first.id")) & (F.col("key") == F.col("first.key"))).alias("first"))
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Keep one row per group of :func:`similar_groups`, that of its smallest id; rows that repeat this
-    id fall to one.
+    """Keep one row per group of :func:`similar_groups`, that of its smallest id, then hash of the text.
 
-    Rows with a null id cannot be named as anyone's copy and are kept."""
+    Rows that repeat this id and text fall to one; different texts under one id are kept if they are
+    not alike.  Rows with a null id cannot be named as anyone's copy and are kept."""
     found = similar_groups(docs, id_col, text_col)
-    keep = found.where(F.col("id") == F.col("component")).select(F.col("id").alias(id_col)).distinct()
-    kept = docs.join(keep, id_col, "left_semi").dropDuplicates([id_col])  # partitioned by the id already
-    return kept.unionByName(docs.where(F.col(id_col).isNull()))
+    key, taken = "__key", {c.lower() for c in docs.columns}
+    while key in taken:
+        key += "_"
+    keep = found.where(F.col("first") & F.col("id").isNotNull()).select(F.col("id").alias(id_col), F.col("key").alias(key)).distinct()
+    keyed = docs.withColumn(key, F.xxhash64(F.col(text_col).cast("string")))
+    kept = keyed.join(keep, [id_col, key], "left_semi").dropDuplicates([id_col, key])  # partitioned by both already
+    return kept.select(*[f"`{c}`" for c in docs.columns]).unionByName(docs.where(F.col(id_col).isNull()))

@@ -59,7 +59,7 @@ def test_no_pair_of_a_bucket_is_skipped(spark, small):
     met = spark.createDataFrame([(n, 9, 1) for n in range(60)] + [(n, 9, 2) for n in (40, 45, 60)] + [(70, 9, 3)] * 2, "node long, size long, bucket long")
     truth = spark.createDataFrame(sorted(alike), "a long, b long")
 
-    def joined(crowd):
+    def joined(crowd, one_each):
         a, b = crowd.select(F.col("node").alias("a")), crowd.select(F.col("node").alias("b"))
         return truth.join(a, "a", "left_semi").join(b, "b", "left_semi").select("a", "b")
 
@@ -85,11 +85,15 @@ def test_prefixes_lose_no_pair_and_spare_what_is_common(spark):
     sets += crowd
     nodes = spark.createDataFrame([(i, len(s), i) for i, s in enumerate(sets)], "node long, size long, root long")
     held = spark.createDataFrame([(i, t) for i, s in enumerate(sets) for t in s], "node long, token long")
-    got = {(r["a"], r["b"]) for r in simhash.prefix_pairs(nodes, held).collect()}
+    placed = simhash.prefixes(nodes, held)
+    got = {(r["a"], r["b"]) for r in simhash.prefix_pairs(placed, nodes).collect()}
     want = {(a, b) for b in range(len(sets)) for a in range(b) if 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])}
     assert want <= got and not any(a >= len(sets) - 150 and b >= len(sets) - 150 for a, b in got)
     one_root = nodes.withColumn("root", F.lit(1).cast("long"))
-    assert simhash.prefix_pairs(one_root, held).count() == 0
+    assert simhash.prefix_pairs(placed, one_root).count() == 0
+    few = nodes.withColumn("root", F.col("node") % 5)
+    one_each = {(r["a"], r["b"]) for r in simhash.prefix_pairs(placed, few, True).collect()}
+    assert one_each <= got and len({tuple(sorted((a % 5, b % 5))) for a, b in one_each}) == len(one_each) <= 10
 
 
 RECALL = {}
