@@ -8,10 +8,10 @@ node hooks to its smallest neighbour, the trees are flattened by pointer doublin
 rewritten between their roots, which over two rounds at least halves the nodes of every unfinished
 component.
 
-The pipeline's near duplicates (:func:`drop_near_duplicates`) are texts 0.8 alike by five-word shingles,
-which fingerprints of few differing bits cannot tell: a pair at 0.8 differs in about a sixth of the bits
-of any SimHash.  So they are found by MinHash bands and, where many unlike texts meet, by prefix
-filtering, and confirmed by their sets.
+The pipeline's near duplicates (:func:`drop_near_duplicates`) are texts 0.8 alike by five-word shingles.
+They meet in the components of their fingerprints, found as above.  A pair at 0.8 differs in about a sixth
+of the bits of any SimHash, though, so most lie beyond the radius: for these, texts meet in MinHash bands
+too.  Where many unlike texts meet, prefix filtering finds the pairs; all are confirmed by their sets.
 
 Defined results: a null or blank text has fingerprint zero, linked like any other; a null id never
 names a component unless no member has an id (then the component's id is null); repeated rows are
@@ -146,12 +146,17 @@ def components(edges: DataFrame) -> DataFrame:
             return roots
 
 
+def classed(distinct: DataFrame, radius: int = 2) -> DataFrame:
+    """``distinct`` (fp and more, a row per fingerprint) with ``root``: the smallest fingerprint reachable over links."""
+    roots = components(links(distinct, radius)).withColumnRenamed("node", "fp")
+    return distinct.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 3, seed: int = 42, radius: int = 2) -> DataFrame:
     """Per row of ``docs``: id, ``fp``, and ``component`` (the smallest id reachable over links)."""
     marked = materialize(fingerprints(docs, id_col, text_col, k, seed), "fingerprints")
     distinct = materialize(marked.groupBy("fp").agg(F.min("id").alias("least")), "distinct")
-    roots = components(links(distinct, radius))
-    rooted = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    rooted = classed(distinct, radius)
     # Written first, so that the join exchanges both sides and a large component can be split.
     least = materialize(rooted.groupBy("root").agg(F.min("least").alias("component")), "components")
     named = materialize(rooted.join(least, "root").select("fp", "component"), "named")
@@ -199,13 +204,15 @@ def similar(a: np.ndarray, b: np.ndarray) -> bool:
 
 
 def sketch(text: bytes) -> np.ndarray:
-    """A hash of the set of shingles, its size and ``BANDS`` band values.  Blank texts are all zero."""
-    out = np.zeros(2 + BANDS, np.uint64)
+    """A hash of the set of shingles, its size, the query's fingerprint and ``BANDS`` band values.  Blank
+    texts are all zero."""
+    out = np.zeros(3 + BANDS, np.uint64)
     whole = shingles(text)
     if len(whole):
         out[0] = xxhash.xxh64_intdigest(whole.tobytes(), 9)
         out[1] = len(whole)
-        out[2:] = bands(whole)
+        out[2] = fingerprint(text, 3, 42)
+        out[3:] = bands(whole)
     return out
 
 
@@ -338,27 +345,34 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     ``component`` is the group's smallest id, ``key`` a hash of the row's own text, and ``first`` tells
     whether the row has the smallest (id, key) of its group.
 
-    Texts of one set of shingles are one node.  Nodes are looked up by MinHash bands and compared as in
-    :func:`grouped`; a large group of copies costs one comparison each, and texts that only share much of
-    their words are told apart by their rare shingles (:func:`prefix_pairs`).  Candidate pairs are
-    deduplicated and confirmed on their texts.
+    Texts of one set of shingles are one node.  Nodes meet if their fingerprints, of all texts of a node, are
+    linked by the query's ball hashing, over any number of links, or if they share a MinHash band, which
+    finds the pairs beyond its radius.  They are compared as in :func:`grouped`; a large group of copies costs
+    few comparisons each, and texts that only share much of their words are told apart by their rare
+    shingles (:func:`prefix_pairs`).  Candidate pairs are deduplicated and confirmed on their texts.
     """
     names = ["node", "size", *(f"m{i}" for i in range(BANDS))]
+    columns = [*names[:2], "fp", *names[2:]]
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = np.stack([sketch(t.as_buffer().to_pybytes() if t.is_valid else b"") for t in batch.column(2)]) if batch.num_rows else np.zeros((0, len(names)), np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(np.ascontiguousarray(c).view(np.int64)) for c in found.T)], names=["id", "key", *names])
+            found = np.stack([sketch(t.as_buffer().to_pybytes() if t.is_valid else b"") for t in batch.column(2)]) if batch.num_rows else np.zeros((0, len(columns)), np.uint64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(np.ascontiguousarray(c).view(np.int64)) for c in found.T)], names=["id", "key", *columns])
 
     kind = docs.schema[id_col].dataType.simpleString()
     text = F.col(text_col).cast("string")
     texts = docs.select(F.xxhash64(text).alias("key"), text.alias("t"))
     cells = docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("key"), text.alias("t"))
-    marked = materialize(cells.mapInArrow(rows, ", ".join([f"id {kind}", "key long", *(f"{c} long" for c in names)])), "sketches")
+    marked = materialize(cells.mapInArrow(rows, ", ".join([f"id {kind}", "key long", *(f"{c} long" for c in columns)])), "sketches")
     # Rows without an id come after all others.
     own = F.struct(F.col("id").isNull().alias("none"), "id", "key")
     distinct = materialize(marked.groupBy(*names).agg(F.min(own).alias("least"), F.min("key").alias("key")), "distinct")
     met = distinct.where("size > 0").select("node", "size", F.explode(F.array(*names[2:])).alias("bucket"))
+    printed = materialize(marked.where("size > 0").select("node", "size", "fp").distinct(), "fingerprints")
+    # Written first, so that the join exchanges both sides and a frequent fingerprint can be split.
+    classes = materialize(classed(materialize(printed.select("fp").distinct(), "distinct")), "classes")
+    linked = printed.join(classes, "fp").select("node", "size", F.xxhash64(F.lit("fingerprints"), "root").alias("bucket"))
+    met = met.unionByName(materialize(linked.distinct(), "linked"))
     held: list[DataFrame] = []  # the prefixes of the crowd, the same in every round
 
     def joined(crowd: DataFrame, one_each: bool) -> DataFrame:

@@ -131,6 +131,23 @@ def test_recall_by_similarity(spark, band):
     assert linked >= 0.99 * len(pairs)
 
 
+def test_texts_of_linked_fingerprints_meet(spark):
+    """Pairs 0.8 alike that no MinHash band brings together, but the balls of their fingerprints do."""
+    texts = []
+    for times, words, bits in ((50, "w531873 w459645 w431943 w762731", 0), (6, "w914392 w5176 w984429 w286748", 2)):
+        whole = " ".join(["a"] * times + words.split())
+        a, b = whole.rsplit(" ", 1)[0], whole
+        x, y = simhash.sketch(a.encode()), simhash.sketch(b.encode())
+        assert jaccard(a, b) == 0.8 and not (x[-simhash.BANDS :] == y[-simhash.BANDS :]).any()
+        assert bin(simhash.fingerprint(a.encode(), 3, 42) ^ simhash.fingerprint(b.encode(), 3, 42)).count("1") == bits
+        texts += [a, b]
+    texts += [" ".join(["a"] * 50 + [f"v{i}" for i in range(n)]) for n in (9, 20)]  # one fingerprint, less than half alike
+    assert len({simhash.fingerprint(texts[i].encode(), 3, 42) for i in (0, 4)}) == 1
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r["id"]: r["component"] for r in simhash.similar_groups(df).collect()} == {0: 0, 1: 0, 2: 2, 3: 2, 4: 4, 5: 5}
+    assert {r["doc_id"] for r in simhash.drop_near_duplicates(df).collect()} == {0, 2, 4, 5}
+
+
 def test_many_texts_around_one_passage(spark):
     """Texts that share most of their words but are not 0.8 alike, pairs of copies among them."""
     rng = random.Random(12)
